@@ -24,9 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import byte_slices, new_path, open_fs, table, text_of
 
 WIDTH = 64
-ENTRY = struct.Struct("<qBQQQI")  # id, id is there, offset, length, payload bytes without padding, CRC-32 of the member
-FOOTER = struct.Struct("<8sQQ")  # magic, members, where the directory begins
+ENTRY = "<qBQQQI"  # id, id is there, offset, length, payload bytes without padding, CRC-32 of the member
+FOOTER = "<8sQQ"  # magic, members, where the directory begins
 MAGIC = b"MEDARCH1"
+ENTRY_BYTES, FOOTER_BYTES = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -95,7 +96,7 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         def close() -> None:
             nonlocal out, entries, k, at, total
-            out.write(b"".join(entries) + FOOTER.pack(MAGIC, len(entries), at))
+            out.write(b"".join(entries) + struct.pack(FOOTER, MAGIC, len(entries), at))
             out.close()
             fs.move(temp, f"{root}/part-{pid:06d}-{k:04d}.mar")
             k, total, out, entries, at = k + 1, total + len(entries), None, [], 0
@@ -109,7 +110,7 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     raw = text.encode()
                     data = to_image(pad(raw))
                     out.write(data)
-                    entries.append(ENTRY.pack(key or 0, key is not None, at, len(data), len(raw), zlib.crc32(data)))
+                    entries.append(struct.pack(ENTRY, key or 0, key is not None, at, len(data), len(raw), zlib.crc32(data)))
                     at += len(data)
                     if at >= ARCHIVE_BYTES:
                         close()
@@ -145,9 +146,9 @@ class MediaReader(DataSourceReader):
 
     @staticmethod
     def _footer(f, size: int) -> tuple[bytes, int, int]:
-        f.seek(size - FOOTER.size)
-        magic, n, at = FOOTER.unpack(f.read(FOOTER.size))
-        if magic != MAGIC or at + n * ENTRY.size + FOOTER.size != size:
+        f.seek(size - FOOTER_BYTES)
+        magic, n, at = struct.unpack(FOOTER, f.read(FOOTER_BYTES))
+        if magic != MAGIC or at + n * ENTRY_BYTES + FOOTER_BYTES != size:
             raise ValueError("not a whole archive")
         return magic, n, at
 
@@ -177,8 +178,8 @@ class MediaReader(DataSourceReader):
         _, n, start = self._footer(f, f.size())
 
         def entry(i: int) -> tuple:
-            f.seek(start + i * ENTRY.size)
-            return ENTRY.unpack(f.read(ENTRY.size))
+            f.seek(start + i * ENTRY_BYTES)
+            return struct.unpack(ENTRY, f.read(ENTRY_BYTES))
 
         def first_from(offset: int) -> int:
             low, high = 0, n
@@ -188,8 +189,8 @@ class MediaReader(DataSourceReader):
             return low
 
         low, high = first_from(partition.first), first_from(partition.last)
-        f.seek(start + low * ENTRY.size)
-        entries = list(ENTRY.iter_unpack(f.read((high - low) * ENTRY.size)))
+        f.seek(start + low * ENTRY_BYTES)
+        entries = list(struct.iter_unpack(ENTRY, f.read((high - low) * ENTRY_BYTES)))
         rows, held = [], 0
         for key, there, offset, length, raw, crc in entries:
             data, f = self._member(fs, name, f, offset, length, crc)

@@ -83,7 +83,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, pid = encoder(path, True), TaskContext.get().partitionId()
+        tok, pid = encoder(path), TaskContext.get().partitionId()
         rows: list[tuple] = []
         count = 0
 
@@ -99,8 +99,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         windows = Windows(width, open_windows, LEAST_PIECE, emit)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                for doc, raw in zip(part.column(0).to_pylist(), tok.encode(text_of(part)), strict=True):
-                    ids = memoryview(raw + end)
+                for doc, text in zip(part.column(0).to_pylist(), text_of(part), strict=True):
+                    ids = memoryview(tok.ids(text) + end)
                     total = len(ids) // 4
                     for start in range(0, total, width):
                         # a copy of the last piece, so that a window doesn't keep a long document alive

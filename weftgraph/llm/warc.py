@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, path: str) -> int:
         def begin() -> None:
             nonlocal out, size, context, temp
             temp = f"{root}/_tmp-{pid:06d}-{attempt}"
-            out, size = fs.open_output_stream(temp), 0
+            out, size = fs.open_output_stream(temp, compression=None), 0
             data = _dictionary([x[:SAMPLE_BYTES] for x in waiting])
             out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
             context = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
@@ -201,7 +201,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(name) as stream:
+                with store.open_input_stream(name, compression=None) as stream:
                     for raw in frames(stream):
                         one = parse(raw)
                         head = one["headers"]
