@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, media, packing, simhash, tokens, warc
+from . import decontam, langid, licenses, media, packing, pii, simhash, tokens, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontam.op6_decontamination,
     "op7_media_columns": media.op7_media_columns,
     "op8_warc": warc.op8_warc,
+    "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
 }
 
