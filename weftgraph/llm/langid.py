@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, table, text_of
+from .common import byte_slices, materialize, table, text_of
 from .rnn import F32, Adam, framed, gru_back, gru_step, gru_weights, softmax, windows
 
 HIDDEN, CORE, CONTEXT, PAD, BATCH = 12, 224, 16, 256, 1536
 PER_LANGUAGE, SNIPPET, STEPS = 1_024, 96, 260
 """Training takes about PER_LANGUAGE snippets of SNIPPET bytes for each language, chosen by a hash, and STEPS batches."""
 UNKNOWN = "und"
+MOST_BROADCAST = 4_096
 
 
 class Model:
@@ -145,7 +146,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The sample is bounded by per_language x SNIPPET bytes x languages; a hash of the text chooses rows and places.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    share = known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
+    share = materialize(known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")), "languages")
+    if share.count() <= MOST_BROADCAST:  # else a join by language, which has as many keys as that
+        share = F.broadcast(share)
     mark = F.xxhash64("text")
     chance = (F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53)).alias("chance")
     kept = known.withColumn("mark", mark).withColumn("chance", chance).join(share, "lang").where("chance < share")
