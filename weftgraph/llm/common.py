@@ -67,3 +67,18 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 def text_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Strings of a column; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def per_slice(docs: DataFrame, text_col: str, make) -> DataFrame:
+    """docs with every column, each byte-balanced run of rows passed through a function of a record batch.
+
+    make() is called once per task and returns that function; it returns a batch of the same columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for batch in batches:
+            for part in byte_slices(batch, text_col):
+                yield change(part)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, table, text_of
+from .common import byte_slices, per_slice, table, text_of
 
 NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -175,26 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = []
     for rows in _blocks(benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text].alias("text"))):
-        items = Items(rows)
-        known = np.unique(np.concatenate([items.codes(x)[1] for x in items.items] or [np.zeros(0, np.int64)]))
-        shared = spark.sparkContext.broadcast((items, known))  # a block has a bounded size
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, codes = shared.value
-            total = np.zeros(len(codes), np.int64)
-            for batch in batches:
-                for part in byte_slices(batch, "text"):
-                    for text in text_of(part):
-                        for _, code in own.short_codes(own.numbers(text)):
-                            where = np.searchsorted(codes, code)
-                            where[where == len(codes)] = 0
-                            total += np.bincount(where[codes[where] == code], minlength=len(codes)) if len(codes) else 0
-            seen = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(codes[seen]), pa.array(total[seen])], names=["code", "n"])
-
-        counts = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        items.choose({r.code: r.n for r in counts.collect()})  # at most the block's own n-grams
-        chosen = spark.sparkContext.broadcast(items)
+        chosen = spark.sparkContext.broadcast(with_seeds(docs, rows))  # a block has a bounded size
 
         def search(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             own = chosen.value
@@ -215,6 +196,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return reduce(DataFrame.unionByName, found)
 
 
+def with_seeds(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
+    """A block of items with the seeds that all of docs (text) leave them."""
+    items = Items(rows)
+    known = np.unique(np.concatenate([items.codes(x)[1] for x in items.items] or [np.zeros(0, np.int64)]))
+    shared = docs.sparkSession.sparkContext.broadcast((items, known))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, codes = shared.value
+        total = np.zeros(len(codes), np.int64)
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                for text in text_of(part):
+                    for _, code in own.short_codes(own.numbers(text)):
+                        where = np.searchsorted(codes, code)
+                        where[where == len(codes)] = 0
+                        total += np.bincount(where[codes[where] == code], minlength=len(codes)) if len(codes) else 0
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(codes[seen]), pa.array(total[seen])], names=["code", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    items.choose({r.code: r.n for r in counts.collect()})  # at most the block's own n-grams
+    return items
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no passage of the benchmark: the documents find_leaks() names are gone."""
+    for rows in _blocks(benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text].alias("text"))):
+        chosen = docs.sparkSession.sparkContext.broadcast(with_seeds(docs.select(docs[text_col].alias("text")), rows))
+
+        def make(chosen=chosen):
+            own = chosen.value
+            return lambda part: part.filter(pa.array([not own.find(x) for x in text_of(part, text_col)], pa.bool_()))
+
+        docs = per_slice(docs, text_col, make)
+    return docs
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, table, text_of
+from .common import byte_slices, materialize, per_slice, table
 from .rnn import F32, Adam, framed, gru_back, gru_step, gru_weights, softmax, windows
 
 HIDDEN, CORE, CONTEXT, PAD, BATCH = 12, 224, 16, 256, 1536
@@ -22,6 +22,8 @@ PER_LANGUAGE, SNIPPET, STEPS = 1_024, 96, 260
 """Training takes about PER_LANGUAGE snippets of SNIPPET bytes for each language, chosen by a hash, and STEPS batches."""
 UNKNOWN = "und"
 MOST_BROADCAST = 4_096
+LEAST_SCORE = 0.3
+"""Below this share no language is taken to be found; with four languages chance alone gives a quarter."""
 
 
 class Model:
@@ -173,6 +175,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and a language of at least that score.
+
+    Where nothing was learned, for want of labels, a letter is enough.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w))
+
+    def make():
+        own = Model(*shared.value)
+
+        def change(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part.column(text_col).to_pylist()
+            if not own.languages:
+                return part.filter(pa.array([bool(x) and any(map(str.isalpha, x)) for x in texts], pa.bool_()))
+            return part.filter(pa.array([k != UNKNOWN and p >= least for k, p in own.predict(texts)], pa.bool_()))
+
+        return change
+
+    return per_slice(docs, text_col, make)
+
+
 def held_out(key, by: int = 5, at: int = 0) -> bool:
     return zlib.crc32(str("" if key is None else key).encode()) % by == at
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, table, text_of
+from .common import byte_slices, per_slice, table, text_of
 from .rnn import F32, Adam, framed, lstm_back, lstm_step, lstm_weights, windows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -372,6 +372,28 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
+def redact_texts(docs: DataFrame, tagger: Tagger, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with [KIND] for each span in its texts; length_col, where there is one, follows the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.w)
+
+    def make():
+        own = Tagger(shared.value)
+
+        def change(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = part.column(text_col).to_pylist()
+            new = [x if not found else redact(x, found) for x, (_, found) in zip(texts, own.find([x or "" for x in texts]), strict=True)]
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            columns[text_col] = pa.array(new, part.schema.field(text_col).type)
+            if length_col in columns:
+                lengths = [n if a is b or n is None else len(b) for n, a, b in zip(columns[length_col].to_pylist(), texts, new, strict=True)]
+                columns[length_col] = pa.array(lengths, part.schema.field(length_col).type)
+            return pa.record_batch(list(columns.values()), names=list(columns))
+
+        return change
+
+    return per_slice(docs, text_col, make)
+
+
 def joined(column: str) -> Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, media, packing, pii, simhash, tokens, warc
+from . import decontam, langid, licenses, lm, media, packing, pii, simhash, tokens, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_language_id": langid.op3_language_id,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_lm_score": lm.op5_lm_score,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_media_columns": media.op7_media_columns,
     "op8_warc": warc.op8_warc,

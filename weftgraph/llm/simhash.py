@@ -238,5 +238,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, less the near-duplicates: of each component the row with the smallest id stays.
+
+    A null id is replaced, for this choice, by a hash of the text; of rows that share an id and a component one stays.
+    """
+    key = "__simhash_key"
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    found = near_duplicates(keyed, key, text_col)
+    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    again = materialize(found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "again")
+    kept = keyed.join(gone, key, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
