@@ -59,6 +59,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def least_hot(counts: DataFrame, most: int = HOT) -> int:
+    """The least count with which at most ``most`` words are hot, to within 3 percent; from a histogram of some hundred rows."""
+    step = F.floor(F.log2("n") * 24)
+    left = most
+    least = 1
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
+        if r.words > left:
+            break
+        left, least = left - r.words, r.least
+    else:
+        return 1
+    return least if left < most else (1 << 62)
+
+
 class Lexicon:
     """Hot words by falling count, the first VOCABULARY of them with an id each; sums over the rest."""
 
@@ -93,7 +107,7 @@ class Network:
         w["v"] = rng.normal(0, 0.1, (lexicon.size, HIDDEN)).astype(F32)
         counts = np.array([lexicon.count[x] for x in lexicon.ids], np.float64) + 1
         share = np.array([counts[a:b].sum() for a, b in zip(lexicon.bounds, lexicon.bounds[1:], strict=False)] + [lexicon.rest_n + lexicon.rest_v + 1.0])
-        w["kb"] = np.log(share / share.sum()).astype(F32)[:, None]
+        w["kb"] = np.log(np.maximum(share, 1e-9) / share.sum()).astype(F32)[:, None]
         w["vb"] = np.log(counts / counts.sum()).astype(F32)[:, None] if lexicon.size else np.zeros((0, 1), F32)
         return cls(lexicon, w)
 
@@ -240,8 +254,8 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     training = training.select(training[text_col].alias("text"))
     counts = materialize(count_words(training).where("n > 0"), "words")
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    hot = counts.orderBy(F.desc("n"), "word").limit(HOT).collect()
-    lexicon = Lexicon([(bytes(r.word), r.n) for r in hot], n, v)
+    hot = counts.where(F.col("n") >= least_hot(counts)).collect()
+    lexicon = Lexicon(sorted(((bytes(r.word), r.n) for r in hot), key=lambda x: (-x[1], x[0])), n, v)
     network = Network.new(lexicon)
     mark = F.xxhash64("text")
     place = F.pmod(mark, F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1).cast("int") + 1
