@@ -27,6 +27,9 @@ FANOUT, QUERIES, PAIRS = 16, 256, 1 << 21
 """Codes under a node; queries that go down together, fewer where they could meet more than PAIRS codes."""
 AVERAGE_BUCKET = 4_096
 FULL = (1 << 64) - 1
+WIDE, STAGE_SHINGLE, SIMILARITY, SLACK = 8, 5, 0.8, 4
+BANDS, BAND_BITS = 32, 16
+"""For documents that are to be similar: 512 bits over five-word shingles, and the buckets in which they meet."""
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -60,31 +63,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The place of each code in the Gray sequence."""
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """The order of codes (n, words) in the Gray sequence of all their bits, the first word's highest bit first."""
     rank = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    return rank
+    odd = np.zeros(len(codes), bool)
+    for k in range(codes.shape[1]):
+        rank[odd, k] ^= np.uint64(FULL)
+        odd ^= (np.bitwise_count(codes[:, k]) & 1).astype(bool)
+    return np.lexsort(rank.T[::-1])
 
 
 class GrayIndex:
-    """Codes in Gray order under nodes of FANOUT; a node holds the bits that all below it share.
+    """Codes (n, words of 64 bits) in Gray order under nodes of FANOUT; a node holds the bits that all below it share.
 
     A query adds, level by level, its differences in those bits only that a node shares and its parent doesn't, and
     leaves a node once the sum is over the distance.
     """
 
     def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+        self.order = gray_order(codes)
         self.codes = codes[self.order]
         self.levels = []  # from the leaves up: (pattern, shared bits)
-        pattern, shared = self.codes, np.full(len(codes), FULL, np.uint64)
+        pattern, shared = self.codes, np.full(codes.shape, FULL, np.uint64)
         self.levels.append((pattern, shared))
         while len(pattern) > FANOUT:
             starts = np.arange(0, len(pattern), FANOUT)
-            first = np.repeat(pattern[starts], np.diff(np.append(starts, len(pattern))))
-            differ = np.bitwise_or.reduceat((pattern ^ first) | ~shared, starts)
+            first = np.repeat(pattern[starts], np.diff(np.append(starts, len(pattern))), axis=0)
+            differ = np.bitwise_or.reduceat((pattern ^ first) | ~shared, starts, axis=0)
             shared = ~differ
             pattern = pattern[starts] & shared
             self.levels.append((pattern, shared))
@@ -126,12 +133,12 @@ class GrayIndex:
             q = np.arange(q0, min(q0 + step, n))
             query = np.repeat(q, len(self.levels[top][0]))
             node = np.tile(np.arange(len(self.levels[top][0])), len(q))
-            spent = np.zeros(len(query), np.uint8)
+            spent = np.zeros(len(query), np.int32)
             above = None
             for level in range(top, -1, -1):
                 pattern, shared = self.levels[level]
                 fresh = shared[node] if above is None else shared[node] & ~above
-                spent = spent + np.bitwise_count((self.codes[query] ^ pattern[node]) & fresh)
+                spent = spent + np.bitwise_count((self.codes[query] ^ pattern[node]) & fresh).sum(axis=1, dtype=np.int32)
                 # a node whose members all are in the query's own component has no link to add; pairs are met once
                 keep = (spent <= distance) & (self.uniform[level][node] != self.label[query]) & ((node + 1) * FANOUT**level > query + 1)
                 query, node, spent = query[keep], node[keep], spent[keep]
@@ -140,7 +147,7 @@ class GrayIndex:
                 above_all = shared[node]
                 below = len(self.levels[level - 1][0])
                 child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                query, spent, above = (np.repeat(x, FANOUT) for x in (query, spent, above_all))
+                query, spent, above = (np.repeat(x, FANOUT, axis=0) for x in (query, spent, above_all))
                 there = child < below
                 query, node, spent, above = query[there], child[there], spent[there], above[there]
             if len(query):
@@ -149,11 +156,11 @@ class GrayIndex:
 
 
 def forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of stars that join the distinct codes within the distance."""
+    """Places (a, b) of edges of stars that join the codes (n, words) within the distance."""
     index = GrayIndex(codes)
     label = index.link(distance)
     at = np.flatnonzero(label != np.arange(len(label)))
-    return index.codes[label[at]], index.codes[at]
+    return index.order[label[at]], index.order[at]
 
 
 def _masks(choose: int, segments: int, within: int = FULL) -> list[int]:
@@ -189,37 +196,47 @@ def links(nodes: DataFrame, distance: int = DISTANCE, n: int | None = None) -> D
         for part in parts:
             dealt = dealt.unionByName(part)
 
+    def solve(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        fp = rows.column("fp").to_numpy()
+        a, b = forest(fp.view(np.uint64)[:, None], distance)
+        return fp[a], fp[b]
+
+    return per_bucket(dealt, ["mask", "bits"], solve)
+
+
+def per_bucket(dealt: DataFrame, keys: list[str], solve) -> DataFrame:
+    """Edges (a, b) that solve() makes of the rows of each bucket with two rows or more; a bucket is one task's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # of the bucket that the last batch ended in
+        held: list[pa.RecordBatch] = []  # of the bucket that the last batch ended in
 
-        def solve(fp: np.ndarray) -> pa.RecordBatch:
-            a, b = forest(fp.view(np.uint64), distance)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sum(p.num_rows for p in parts) > 1:
+                a, b = solve(pa.Table.from_batches(parts).combine_chunks())
+                if len(a):
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, bits, fp = (batch.column(x).to_numpy() for x in ("mask", "bits", "fp"))
-            edge = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
-            bounds = [0, *edge.tolist(), len(fp)]
+            cols = [batch.column(k).to_numpy() for k in keys]
+            turn = np.zeros(batch.num_rows - 1, bool)
+            for c in cols:
+                turn |= c[1:] != c[:-1]
+            bounds = [0, *(np.flatnonzero(turn) + 1).tolist(), batch.num_rows]
             for a, b in zip(bounds, bounds[1:], strict=False):
-                key = (mask[a], bits[a])
-                if held and held[0][0] != key:
-                    group = np.concatenate([x for _, x in held])
-                    held = []
-                    if len(group) > 1:
-                        yield solve(group)
-                if b < len(fp):
-                    group = np.concatenate([x for _, x in held] + [fp[a:b]]) if held else fp[a:b]
+                key = tuple(c[a] for c in cols)
+                if held and last != key:
+                    yield from done(held)
                     held = []
-                    if len(group) > 1:
-                        yield solve(group)
-                else:
-                    held.append((key, fp[a:b].copy()))
-        if held and len(group := np.concatenate([x for _, x in held])) > 1:
-            yield solve(group)
+                last = key
+                if b - a > 1 or b == batch.num_rows or held:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from done(held)
 
-    return dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits").mapInArrow(run, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -238,14 +255,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(text: str, shingle: int = STAGE_SHINGLE) -> bytes:
+    """WIDE x 64 bits over the distinct shingles: a bit is 1 if set in over half of their hashes of its word."""
+    words = text.encode().lower().split()
+    if not words:
+        return bytes(8 * WIDE)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        hashes = np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
+    else:
+        ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+        raw = b"".join([xxhash.xxh64_digest(joined[a : b - 1]) for a, b in zip(ends, ends[shingle:], strict=False)])
+        hashes = np.unique(np.frombuffer(raw, np.uint64))
+    ones = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        block = hashes[at : at + (1 << 14)]
+        for k in range(WIDE):
+            h = (block ^ np.uint64(k * 0x9E3779B97F4A7C15 & FULL)) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(33)
+            h *= np.uint64(0xC4CEB9FE1A85EC53)
+            h ^= h >> np.uint64(33)
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def most_differing(similarity: float) -> int:
+    """How many of the wide bits may differ at a Jaccard similarity: sets with cosine c differ in acos(c)/pi of them."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(64 * WIDE * np.arccos(cosine) / np.pi + SLACK)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: id (long, not null), component_id, the smallest id reachable.
+
+    Documents link where their wide fingerprints differ in no more bits than those of sets of that similarity do. They
+    meet in BANDS buckets, by runs of BAND_BITS bits each: at a similarity of 0.8 nine of ten pairs meet in one, at 0.87
+    nearly all. Texts without words are one group. In a bucket the Gray-order index joins them, as near_duplicates() has it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                yield pa.record_batch([part.column(0), pa.array([wide_fingerprint(x, shingle) for x in text_of(part)], pa.binary())], names=["id", "fp"])
+
+    marks = materialize(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, fp binary"), "wide")
+    nodes = materialize(marks.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    step = BAND_BITS // 8
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.conv(F.hex(F.substring("fp", 1 + k * step, step)), 16, 10).cast("long").alias("bits")) for k in range(BANDS)])
+    dealt = nodes.select("node", "fp", F.explode(bands).alias("k")).select("node", "fp", "k.band", "k.bits")
+    most = most_differing(similarity)
+
+    def solve(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node = rows.column("node").to_numpy()
+        codes = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), WIDE)
+        if len(node) == 2:  # most buckets
+            near = int(np.bitwise_count(codes[0] ^ codes[1]).sum()) <= most
+            return (node[:1], node[1:]) if near else (node[:0], node[:0])
+        a, b = forest(codes, most)
+        return node[a], node[b]
+
+    label = components(per_bucket(dealt, ["band", "bits"], solve))
+    placed = nodes.join(label, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
+    return marks.join(placed, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, less the near-duplicates: of each component the row with the smallest id stays.
+    """The rows of docs, all columns, less the near-duplicates by similar_documents(): of each component the smallest id stays.
 
     A null id is replaced, for this choice, by a hash of the text; of rows that share an id and a component one stays.
     """
     key = "__simhash_key"
     keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
-    found = near_duplicates(keyed, key, text_col)
+    found = materialize(similar_documents(keyed, key, text_col), "similar")
     gone = materialize(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
     again = materialize(found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "again")
     kept = keyed.join(gone, key, "left_anti")
