@@ -191,10 +191,33 @@ class Graph:
         df = self.members.join(agg, F.col("l_orderkey") == F.col("a_key"))
         return df.select(digest_id("membership", F.col("aggregate_id"), F.col("ordinal")).alias("id"), "aggregate_id", F.col("l_partkey").cast("string").alias("value"), F.lit("number").alias("value_kind"), "ordinal", F.lit("literal").alias("evidence"))
 
+    def stored(self) -> Stored:
+        """The same tables written once to the shared folder, for queries that read them many times."""
+        return Stored(self)
+
     def tables(self) -> dict[str, DataFrame]:
         return {"files": self.files, "symbols": self.symbols, "edges": self.edges, "references": self.references, "topics": self.topics, "effects": self.effects, "aggregates": self.aggregates.drop("key"), "memberships": self.memberships}
 
 
+class Stored:
+    """Each table of a graph is written when it is first asked for, and read back from then on."""
+
+    def __init__(self, graph: Graph):
+        self.spark, self._graph = graph.spark, graph
+
+    def __getattr__(self, name: str) -> DataFrame:
+        from ..operators.traverse import cut
+
+        if name.startswith("_") or name not in ("files", "symbols", "edges", "references", "topics", "effects", "aggregates", "memberships", "customers"):
+            raise AttributeError(name)
+        df = getattr(self._graph, name)
+        setattr(self, name, cut(df.drop("key") if name == "aggregates" else df))
+        return getattr(self, name)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in ("files", "symbols", "edges", "references", "topics", "effects", "aggregates", "memberships")}
+
+
 def _id(prefix: str, *parts: str) -> str:
     joined = "||chr(31)||".join(f"coalesce(cast({p} as varchar),'')" for p in parts)
     return f"'{prefix}:'||substr(sha256({joined}),1,32)"

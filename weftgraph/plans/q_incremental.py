@@ -109,6 +109,7 @@ GONE = "+ gone_files as (select id from files where modified_at < 3), gone as (s
 def cascade(g):
     from functools import reduce
 
+    g = g.stored()
     left = I.delete_files(g.tables(), g.files.where("modified_at < 3"))
     return reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(name).alias("entity"), F.count("*").alias("n")) for name, df in left.items()])
 
@@ -116,6 +117,7 @@ def cascade(g):
 @query("d_replace_identity")
 def replace(g):
     """A full replay of some files' own facts changes nothing: no rows."""
+    g = g.stored()
     tables = g.tables()
     f = g.files.where("modified_at in (1, 2)")
     gone = tables["symbols"].join(f.select(F.col("id").alias("x")), F.col("file_id") == F.col("x"), "left_semi").select(F.col("id").alias("x"))
@@ -130,6 +132,7 @@ def replace(g):
 
 @query("d_violations", "select 'x' as \"table\", 'x' as rule, 'x' as id where false")
 def violations(g):
+    g = g.stored()
     return schema.violations(I.delete_files(g.tables(), g.files.where("modified_at < 3")))
 
 
