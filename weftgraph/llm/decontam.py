@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, per_slice, table, text_of
 
-NGRAM = 3
+NGRAM, COMMON = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 """Of the score of an item aligned with itself: about two thirds of its words in place, or half of it word for word."""
@@ -109,11 +109,14 @@ class Items:
         return out
 
     def choose(self, counts: dict[int, int]) -> None:
-        """Seeds: of each item the n-grams that the corpus has no more often than the item's median one."""
+        """Seeds: of each item the n-grams that the corpus has no more than COMMON times as often as the item's median one.
+
+        A measure by the item itself: that a passage leaks often makes all its n-grams frequent, and none of them common.
+        """
         for i, ids in enumerate(self.items):
             at, code = self.codes(ids)
             seen = np.array([counts.get(c, 0) for c in code.tolist()])
-            rare = np.flatnonzero(seen <= np.median(seen)) if len(seen) else []
+            rare = np.flatnonzero(seen <= COMMON * max(1.0, np.median(seen))) if len(seen) else []
             for j in rare:
                 self.places.setdefault(int(code[j]), []).append((i, int(at[j])))
             self.least.append(1 if len(rare) < 10 else 2)
