@@ -17,4 +17,11 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Base 32 of a digest of 40 hex digits: each five of them make four characters.
+BASE32 = "array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((('0x'||substr(d, cast((j//4)*5+1 as int), 5))::bigint >> (15-5*(j%4))) & 31) as int)+1, 1)), '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": f"""with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) d from pages), m as (select d, min(page_id) f from p group by d)
+        select page_id, cast(strlen(h) as bigint) payload_bytes, {BASE32} payload_digest, case when page_id = f then 'response' else 'revisit' end record_type,
+        case when page_id <> f then f end refers_to from p join m using (d)""",
+}
