@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices, materialize, table, text_of
 from .tokens import encoder, tokenizer_path
 
-WIDTH, OPEN, LEAST_PIECE, FAN, END_ID = 2048, 64, 16, 64, 1
+WIDTH, OPEN, LEAST_PIECE, FAN, END_ID = 2048, 64, 16, 8, 1
 MERGED = 1 << 29
 """Sequence numbers are (partition << 32) + a count; those of merged leftovers begin at partition MERGED."""
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
