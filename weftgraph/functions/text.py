@@ -130,15 +130,15 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
     """(id, score) of rows with at least one of the words; k1 1.2, b 0.75, idf ln(1 + (N - df + 0.5)/(df + 0.5)).
 
-    Only postings of the words leave the scan. The number of rows and their mean length come from one aggregate row.
+    Only postings of the words leave the scan. The number of rows and their mean length are one row.
     """
     wanted = sorted(set(words))
     split = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     base = docs.select(F.col(id_col).alias("id"), split.alias("words"))
-    size = base.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    size = base.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     hits = base.select("id", F.size("words").alias("length"), F.explode(F.filter("words", lambda x: x.isin(*wanted))).alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as there are query words
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = hits.join(F.broadcast(df), "term")
+    idf = F.log(1 + (F.lit(size.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(size.mean or 1.0)))
     return scored.groupBy("id").agg(F.sum(part).alias("score"))

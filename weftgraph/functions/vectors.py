@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,13 +28,41 @@ def max_sim(query: Column, doc: Column) -> Column:
     return F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x) / F.size(query)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, query: vector), at most some thousands of rows; corpus (id, embedding). Best k of each by cosine.
+def collected(queries: DataFrame, most: int = 4_096) -> tuple[list, np.ndarray]:
+    """A stated query set (query_id, query: vector) as ids and a matrix; ValueError beyond ``most`` rows, which are to be asked in blocks."""
+    rows = queries.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} queries; ask them in blocks")
+    rows.sort(key=lambda r: r.query_id)
+    return [r.query_id for r in rows], np.array([r.query for r in rows], np.float64)
+
+
+def scores(queries: DataFrame, corpus: DataFrame, digits: int = 6, k: int | None = None) -> DataFrame:
+    """(query_id, id, score): cosines of a stated query set with all of corpus (id, embedding), rounded.
 
-    The corpus is read once and stays where it is; each of its partitions keeps k rows a query before they meet.
+    The corpus stays where it is and meets the queries as matrices, batch by batch; with k a batch keeps its k best of
+    each query. Rows without a vector are passed over; a vector of zeros scores 0.
     """
-    from pyspark.sql import Window
+    ids, q = collected(queries)
+    kinds = dict(corpus.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(ids) else q
 
-    met = corpus.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("query"), F.col("embedding")).alias("score"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f[f["embedding"].notna()]
+            if not len(f) or not ids:
+                continue
+            m = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+            s = np.round(q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T, digits)
+            key = f["id"].to_numpy()
+            for row, name in zip(s, ids, strict=True):
+                at = np.lexsort((key, -row))[:k] if k else np.arange(len(key))
+                yield pd.DataFrame({"query_id": [name] * len(at), "id": key[at], "score": row[at]})
+
+    return corpus.select("id", "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best of corpus for each of a stated query set, with their rank; ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores(queries, corpus, k=k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -39,9 +39,10 @@ def stats(g) -> DataFrame:
 
 def graph_quality(g) -> DataFrame:
     """One row: exact edges, references and how many are of each class."""
-    e = g.edges.agg(F.count_if(F.col("resolution") == "exact").alias("exact_edges"))
-    r = g.references.agg(F.count("*").alias("reference_count"), *[F.count_if(F.col("classification") == c).alias(c) for c in ("external", "dynamic", "ambiguous", "unresolved")])
-    return e.crossJoin(r)  # one row each
+    e = g.edges.where("resolution = 'exact'").select(F.lit("exact edge").alias("fact"))
+    r = g.references.select(F.col("classification").alias("fact"))
+    classes = [F.count_if(F.col("fact") == c).alias(c) for c in ("external", "dynamic", "ambiguous", "unresolved")]
+    return e.unionByName(r).agg(F.count_if(F.col("fact") == "exact edge").alias("exact_edges"), F.count_if(F.col("fact") != "exact edge").alias("reference_count"), *classes)
 
 
 def reference_summary(g, ids: DataFrame) -> DataFrame:

@@ -77,8 +77,7 @@ def fresh(candidates: DataFrame, indexed: DataFrame, jobs: DataFrame, dirty: Dat
     i = indexed.select(F.col("symbol_id").alias("i_symbol"), F.col("document_hash").alias("i_hash"), F.col("model_revision").alias("i_model"))
     ok = candidates.join(i, (F.col("symbol_id") == F.col("i_symbol")) & (F.col("document_hash") == F.col("i_hash")) & (F.col("model_revision") == F.col("i_model"))).drop("i_symbol", "i_hash", "i_model")
     ok = ok.join(jobs.select("symbol_id").distinct(), "symbol_id", "left_anti").join(dirty.select("file_id").distinct(), "file_id", "left_anti")
-    whole = dirty.where(F.col("file_id").startswith("project:")).limit(1).select(F.lit(True).alias("all_dirty"))
-    return ok.join(F.broadcast(whole), how="left").where("all_dirty is null").drop("all_dirty")
+    return ok.limit(0) if not dirty.where(F.col("file_id").startswith("project:")).isEmpty() else ok
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, exact: DataFrame) -> DataFrame:

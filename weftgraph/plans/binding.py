@@ -118,11 +118,11 @@ class Graph:
     def calls(self) -> DataFrame:
         o = self.table("orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
         li = self.table("lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-        part, n = self.table("part"), self.table("part").agg(F.count("*").alias("n"))
-        p = part.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("a"), F.expr("(p_partkey * 7 + 1) % n").alias("b"))  # n is one row
-        m = self.table("customer").agg(F.count("*").alias("n"))
+        part = self.table("part")
+        p = part.select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 1) % F.lit(part.count())).alias("b"))
+        m = self.table("customer").count()
         users = self.table("events").where("event_type = 'purchase'").select("user_id").distinct()
-        u = users.crossJoin(F.broadcast(m)).select(F.col("user_id").alias("a"), F.expr("(user_id * 7 + 3) % n").alias("b"))
+        u = users.select(F.col("user_id").alias("a"), ((F.col("user_id") * 7 + 3) % F.lit(m)).alias("b"))
         return reduce(DataFrame.unionByName, [
             self._edges(o, "calls", self.customers, self.orders, "orders"),
             self._edges(li, "calls", self.orders, self.parts, "lineitem"),

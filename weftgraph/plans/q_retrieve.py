@@ -19,18 +19,15 @@ def _queries(g):
 
 @query("v_topk", f"+ {VEC} select query_id, id, round(score, 6) score, rank from (select query_id, vec_id id, score, row_number() over (partition by query_id order by score desc, vec_id) rank from (select query_id, vec_id, {COS} score from qs q, vecs c)) where rank <= 10")
 def topk(g):
-    corpus = g.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    met = corpus.crossJoin(F.broadcast(_queries(g)))  # one query for each label
-    scored = met.select("query_id", "id", F.round(V.cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
-    return scored.withColumn("rank", R._first([F.desc("score"), "id"], "query_id")).where("rank <= 10")
+    return V.top_k(_queries(g), g.table("embeddings").select(F.col("vec_id").alias("id"), "embedding"), 10)
 
 
 @query("v_maxsim", "+ e as (select vec_id, embedding::double[] v from embeddings), docs as (select vec_id//4 doc, list(v order by vec_id) vs from e group by 1), q as (select list(v order by vec_id) qs from e where vec_id < 3) select doc, round(list_avg(list_transform(qs, lambda a: list_max(list_transform(vs, lambda b: list_dot_product(a, b))))), 6) score from docs, q order by score desc, doc limit 20")
 def maxsim(g):
     e = g.table("embeddings")
     docs = e.groupBy((F.floor(F.col("vec_id") / 4)).cast("long").alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vs"))
-    q = e.where("vec_id < 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("qs"))
-    scored = docs.crossJoin(F.broadcast(q)).select("doc", F.round(V.max_sim(F.col("qs"), F.col("vs")), 6).alias("score"))
+    query = F.array(*[F.array(*[F.lit(x) for x in r.embedding]) for r in e.where("vec_id < 3").orderBy("vec_id").collect()])
+    scored = docs.select("doc", F.round(V.max_sim(query, F.col("vs")), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "doc").limit(20)
 
 
@@ -50,9 +47,8 @@ def collapse(g):
 
 @query("v_router_margin", f"+ {VEC}, ranked as (select vec_id question_id, query_id shape, {COS} score from qs q, vecs c where query_id < 3), l as (select *, row_number() over (partition by question_id order by score desc, shape) rn, score - lead(score) over (partition by question_id order by score desc, shape) margin from ranked) select question_id, shape as suggested, round(margin, 6) margin from l where rn=1")
 def router_margin(g):
-    met = g.table("embeddings").select(F.col("vec_id").alias("question_id"), "embedding").crossJoin(F.broadcast(_queries(g).where("query_id < 3")))
-    scores = met.select("question_id", F.col("query_id").alias("shape"), F.round(V.cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
-    return R.shape_margin(scores).withColumn("margin", F.round("margin", 6))
+    met = V.scores(_queries(g).where("query_id < 3"), g.table("embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    return R.shape_margin(met.select(F.col("id").alias("question_id"), F.col("query_id").alias("shape"), "score")).withColumn("margin", F.round("margin", 6))
 
 
 LEX = "lex as (select doc_id id, n_chars::double score from documents where doc_id % 3 = 0 and doc_id < 600), sem as (select doc_id id, strlen(text)::double score from documents where doc_id % 2 = 0 and doc_id < 600)"
