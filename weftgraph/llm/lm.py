@@ -4,8 +4,9 @@ Words are counted over all training documents. The VOCABULARY most frequent ones
 about equal size by rank; all others make one more class, within which a word's probability is its add-one share of that
 class's count. Counts of the HOT most frequent words travel with the scoring function, as that many words are a bound;
 every other word of a document meets its count in a join, where no word has more than a HOT-th of all tokens.
-The recurrent weights are fitted on windows of about SAMPLE_DOCS documents chosen by a hash; the biases of the output,
-and with them its unigram distribution, are set from the counts of the whole corpus.
+The biases of the output, and with them its unigram distribution, are set from the counts of the whole corpus. The
+weights are begun on windows of about SAMPLE_DOCS documents chosen by a hash; then every partition goes on from there over
+a window of each of its training documents, and the partitions' weights are averaged.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 2_048, 48, 256, 24
 WINDOW, LANES = 64, 512
 SAMPLE_DOCS, SNIPPET, EPOCHS, TRAIN_WINDOW, TRAIN_LANES = 2_048, 1_200, 3, 32, 128
 FLUSH = 200_000
+REFINE_WINDOW, PARTS, FAN = 32, 16, 32
+"""Words of each training document over which all partitions go on training; how their weights are cut and averaged."""
 
 
 def tokens(text: str) -> list[bytes]:
@@ -196,6 +199,30 @@ class Network:
                         back = gru_back(self.w, "g", back + dflat[:, t], saved[t], grads)
                     adam.step(grads, 0.01 if epoch < EPOCHS - 1 else 0.003)
 
+    def learn_windows(self, rows: list[tuple[np.ndarray, np.ndarray]], adam: Adam, rate: float) -> None:
+        """One step over windows of different documents, (symbols read, target ids) of REFINE_WINDOW words at most each."""
+        longest = max(len(b) for _, b in rows)
+        ins, outs = np.zeros((longest, len(rows)), np.int64), np.full((longest, len(rows)), -1)
+        for k, (a, b) in enumerate(rows):
+            ins[: len(a), k], outs[: len(b), k] = a, b
+        grads = {k: np.zeros_like(v) for k, v in self.w.items()}
+        h, saved, states = np.zeros((HIDDEN, len(rows)), F32), [], []
+        for t in range(longest):
+            h, s = gru_step(self.w, "g", ins[t], h)
+            saved.append(s)
+            states.append(h)
+        y = outs.ravel()
+        live = y >= 0
+        flat = np.stack(states, axis=1).reshape(HIDDEN, -1)
+        _, d = self.outputs(np.ascontiguousarray(flat[:, live]), y[live], grads)
+        dflat = np.zeros_like(flat)
+        dflat[:, live] = d
+        dflat = dflat.reshape(HIDDEN, longest, len(rows))
+        back = np.zeros_like(h)
+        for t in range(longest - 1, -1, -1):
+            back = gru_back(self.w, "g", back + dflat[:, t], saved[t], grads)
+        adam.step(grads, rate)
+
     def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """docs: (symbols read, target ids). Natural log probability of each, its words of the last class by class only.
 
@@ -243,6 +270,65 @@ class Network:
         return total
 
 
+def refine(network: Network, training: DataFrame) -> None:
+    """Goes on training over a window of every training document, wherever it lies, and averages what partitions learned.
+
+    Each partition begins with the same weights and takes steps over windows of its own documents; a hash of the text
+    places the window. The results, a megabyte each, are averaged by weight, FAN at a time, in parts by place.
+    """
+    spark = training.sparkSession
+    shared = spark.sparkContext.broadcast((network.x, network.w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, w = shared.value
+        net = Network(lex, {k: v.copy() for k, v in w.items()})
+        adam, rows, seen = Adam(net.w), [], 0
+        ids, symbol = lex.ids, lex.symbol
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                for text in text_of(part):
+                    raw = text.encode()
+                    words = [END, *raw.lower().split(), END]
+                    at = zlib.crc32(raw) % max(1, len(words) - REFINE_WINDOW)
+                    words = words[at : at + REFINE_WINDOW + 1]
+                    rows.append((np.array([symbol(x) for x in words[:-1]]), np.array([ids.get(x, lex.size) for x in words[1:]])))
+                    seen += len(words) - 1
+                    if len(rows) == TRAIN_LANES:
+                        net.learn_windows(rows, adam, 0.002)
+                        rows = []
+        if rows:
+            net.learn_windows(rows, adam, 0.002)
+        if seen:
+            flat = np.concatenate([net.w[k].ravel() for k in sorted(net.w)])
+            parts = [x.tobytes() for x in np.array_split(flat, PARTS)]
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int64()), pa.array([float(seen)] * PARTS), pa.array(parts, pa.binary())], names=["part", "who", "n", "v"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        n, total = 0.0, None
+        for share, v in zip(t.column("n").to_pylist(), t.column("v").to_pylist(), strict=True):
+            v = np.frombuffer(v, F32).astype(np.float64) * share
+            total = v if total is None else total + v
+            n += share
+        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("who")[0].as_py() // FAN], pa.int64()), pa.array([n]), pa.array([(total / n).astype(F32).tobytes()], pa.binary())], names=["part", "who", "n", "v"])
+
+    schema = "part int, who long, n double, v binary"
+    learned = materialize(training.select("text").mapInArrow(run, schema), "weights")
+    most = learned.agg(F.max("who")).first()[0]
+    if most is None:
+        return
+    while True:
+        learned = learned.groupBy("part", F.expr(f"who div {FAN}")).applyInArrow(mean, schema)
+        most //= FAN
+        if not most:
+            break
+    flat = np.concatenate([np.frombuffer(r.v, F32) for r in sorted(learned.collect(), key=lambda r: r.part)])  # PARTS rows
+    at = 0
+    for k in sorted(network.w):
+        size = network.w[k].size
+        network.w[k] = flat[at : at + size].reshape(network.w[k].shape).copy()
+        at += size
+
+
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
     """One row per row of docs: id, n_tokens, n_known, train_tokens, base_score, score, from the rows of training.
 
@@ -263,6 +349,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     rate = sample / max(1, texts.count())
     picked = texts.where(F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53) < rate).select(F.substring("text", place, F.lit(SNIPPET)).alias("text"))
     network.train(sorted(r.text for r in picked.collect()))
+    refine(network, training)
     shared = spark.sparkContext.broadcast((lexicon, network.w))  # HOT words and weights of fixed size
     log_rest = np.log(lexicon.rest_n + lexicon.rest_v + 1.0)
 
