@@ -65,4 +65,4 @@ def scores(queries: DataFrame, corpus: DataFrame, digits: int = 6, k: int | None
 def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k best of corpus for each of a stated query set, with their rank; ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores(queries, corpus, k=k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores(queries, corpus, k=k).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

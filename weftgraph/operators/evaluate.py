@@ -82,5 +82,5 @@ def bootstrap(values: DataFrame, column: str, rounds: int = 2000, seed: int = 20
 
 def round_robin(df: DataFrame, stratum: str, key: str, limit: int) -> DataFrame:
     """A stratified sample: the first of each stratum, then the second of each, and so on."""
-    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(key))
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(key)).cast("long")
     return df.withColumn("turn", turn).orderBy("turn", stratum).limit(limit)

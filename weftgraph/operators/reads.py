@@ -185,4 +185,4 @@ def null_safe_filter(column: str, value) -> Column:
 
 def rank(order: list[Column], partition: list[str] | None = None) -> Column:
     w = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    return F.row_number().over(w.orderBy(*order))
+    return F.row_number().over(w.orderBy(*order)).cast("long")

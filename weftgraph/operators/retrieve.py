@@ -12,7 +12,7 @@ SUGGESTIONS, POOL = 8, 128
 
 
 def _first(order: list, *by: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))
+    return F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("long")
 
 
 def gram_table(symbols: DataFrame) -> DataFrame:
