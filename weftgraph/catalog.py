@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.binding import Graph, sql
+from .plans.binding import Graph, sql, stored_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,7 +16,7 @@ def query(name: str, oracle: str | None = None):
     """Registers a function of a Graph; oracle is DuckDB SQL over the bound tables, see binding.sql()."""
 
     def add(f: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(stored_graph(spark, sf_dir))
         if oracle:
             ORACLE_SQL[name] = sql(oracle)
         return f

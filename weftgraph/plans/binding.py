@@ -10,6 +10,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.traverse import cut
 from ..schema import digest_id
 
 EFFECT_CONFIDENCE = {"1-URGENT": 0.99, "2-HIGH": 0.95, "3-MEDIUM": 0.9, "4-NOT SPECIFIED": 0.85, "5-LOW": 0.75}
@@ -193,29 +194,47 @@ class Graph:
 
     def stored(self) -> Stored:
         """The same tables written once to the shared folder, for queries that read them many times."""
-        return Stored(self)
+        return stored_graph(self.spark, self.sf_dir)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"files": self.files, "symbols": self.symbols, "edges": self.edges, "references": self.references, "topics": self.topics, "effects": self.effects, "aggregates": self.aggregates.drop("key"), "memberships": self.memberships}
 
 
-class Stored:
-    """Each table of a graph is written when it is first asked for, and read back from then on."""
+class Stored(Graph):
+    """The same graph, each table written to the shared folder when it is first asked for, and read back from then on."""
 
-    def __init__(self, graph: Graph):
-        self.spark, self._graph = graph.spark, graph
+    def stored(self) -> Stored:
+        return self
+
+    @cached_property
+    def keyed_symbols(self) -> DataFrame:
+        return cut(Graph(self.spark, self.sf_dir).keyed_symbols)
 
-    def __getattr__(self, name: str) -> DataFrame:
-        from ..operators.traverse import cut
+    def _of(self, src: str) -> DataFrame:
+        return self.keyed_symbols.where(F.col("src") == src)
 
-        if name.startswith("_") or name not in ("files", "symbols", "edges", "references", "topics", "effects", "aggregates", "memberships", "customers"):
-            raise AttributeError(name)
-        df = getattr(self._graph, name)
-        setattr(self, name, cut(df.drop("key") if name == "aggregates" else df))
-        return getattr(self, name)
+    namespaces = cached_property(lambda self: self._of("nation"))
+    customers = cached_property(lambda self: self._of("customer"))
+    suppliers = cached_property(lambda self: self._of("supplier"))
+    parts = cached_property(lambda self: self._of("part"))
+    orders = cached_property(lambda self: self._of("order"))
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in ("files", "symbols", "edges", "references", "topics", "effects", "aggregates", "memberships")}
+
+def _written(name: str) -> cached_property:
+    made = cached_property(lambda self: cut(Graph.__dict__[name].func(self)))
+    made.__set_name__(Stored, name)
+    return made
+
+
+for _name in ("files", "topics", "edges", "references", "effects", "aggregates", "memberships"):
+    setattr(Stored, _name, _written(_name))
+
+_stored: dict[tuple[str, str], Stored] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Stored:
+    """One stored graph for each application and input folder, as a store is built once and then asked many times."""
+    return _stored.setdefault((spark.sparkContext.applicationId, sf_dir), Stored(spark, sf_dir))
 
 
 def _id(prefix: str, *parts: str) -> str:
