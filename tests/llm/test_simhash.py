@@ -132,3 +132,33 @@ def test_unlike_documents_stay(spark, documents):
     left = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     gone = [(i, t) for i, t in rows if i not in left]
     assert all(max(jaccard(t, u) for j, u in rows if j != i) > 0.6 for i, t in gone)
+
+
+def test_links_are_exact(spark):
+    rng = random.Random(7)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    texts = []
+    for n in (8, 9, 10, 12, 15, 20, 60, 240):  # a text, the same less or with some words at its end, or with one changed
+        for _ in range(12):
+            base = words(n)
+            shingles = n - 4
+            texts += [base, [*base, *words(max(1, round(shingles * rng.uniform(0.12, 0.4))))], base[: 4 + max(1, round(shingles * rng.uniform(0.7, 0.9)))]]
+            at = rng.randrange(n)
+            texts.append([*base[:at], "changed", *base[at + 1 :]])
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    close = [(4 * k + i, 4 * k + j) for k in range(len(rows) // 4) for i in range(4) for j in range(i + 1, 4)]
+    near = [(a, b) for a, b in close if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    border = [p for p in close if 0.75 <= jaccard(rows[p[0]][1], rows[p[1]][1]) <= 0.85]
+    assert len(border) > 40 and any(p in near for p in border) and any(p not in near for p in border)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(near, range(len(rows)))
+
+
+def test_rows_that_share_an_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, one), (5, one), (5, two), (5, two)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, one), (5, two)]

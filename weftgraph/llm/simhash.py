@@ -27,9 +27,12 @@ FANOUT, QUERIES, PAIRS = 16, 256, 1 << 21
 """Codes under a node; queries that go down together, fewer where they could meet more than PAIRS codes."""
 AVERAGE_BUCKET = 4_096
 FULL = (1 << 64) - 1
-WIDE, STAGE_SHINGLE, SIMILARITY, SLACK = 8, 5, 0.8, 4
-BANDS, BAND_BITS = 32, 16
-"""For documents that are to be similar: 512 bits over five-word shingles, and the buckets in which they meet."""
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS, SKETCH, SKETCH_DIFFER, BYTES_AGREE = 40, 5, 128, 36, 126
+"""For documents that are to be similar: bands of least hashes in which they meet, and bits and bytes that rule out far pairs."""
+_draw = np.random.default_rng(42)
+FLIP = _draw.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), np.uint32)
+ODD = _draw.integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -204,17 +207,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE, n: int | None = None) -> D
     return per_bucket(dealt, ["mask", "bits"], solve)
 
 
-def per_bucket(dealt: DataFrame, keys: list[str], solve) -> DataFrame:
-    """Edges (a, b) that solve() makes of the rows of each bucket with two rows or more; a bucket is one task's."""
+def per_bucket(dealt: DataFrame, keys: list[str], solve, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The rows, edges (a, b) as a rule, that solve() makes of each bucket with two rows or more; a bucket is one task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the bucket that the last batch ended in
 
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(p.num_rows for p in parts) > 1:
-                a, b = solve(pa.Table.from_batches(parts).combine_chunks())
-                if len(a):
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                found = solve(pa.Table.from_batches(parts).combine_chunks())
+                if len(found[0]):
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=list(names))
 
         last = None
         for batch in batches:
@@ -236,7 +239,7 @@ def per_bucket(dealt: DataFrame, keys: list[str], solve) -> DataFrame:
         if held:
             yield from done(held)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -255,83 +258,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str, shingle: int = STAGE_SHINGLE) -> bytes:
-    """WIDE x 64 bits over the distinct shingles: a bit is 1 if set in over half of their hashes of its word."""
+def shingles(text: str, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles; texts of fewer words are one shingle, texts without words have none."""
     words = text.encode().lower().split()
     if not words:
-        return bytes(8 * WIDE)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
-    else:
-        ends = list(accumulate((len(w) + 1 for w in words), initial=0))
-        raw = b"".join([xxhash.xxh64_digest(joined[a : b - 1]) for a, b in zip(ends, ends[shingle:], strict=False)])
-        hashes = np.unique(np.frombuffer(raw, np.uint64))
-    ones = np.zeros((WIDE, 64), np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        block = hashes[at : at + (1 << 14)]
-        for k in range(WIDE):
-            h = (block ^ np.uint64(k * 0x9E3779B97F4A7C15 & FULL)) * np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(33)
-            h *= np.uint64(0xC4CEB9FE1A85EC53)
-            h ^= h >> np.uint64(33)
-            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
-
-
-def most_differing(similarity: float) -> int:
-    """How many of the wide bits may differ at a Jaccard similarity: sets with cosine c differ in acos(c)/pi of them."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(64 * WIDE * np.arccos(cosine) / np.pi + SLACK)
+        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    raw = b"".join([xxhash.xxh64_digest(joined[a : b - 1]) for a, b in zip(ends, ends[shingle:], strict=False)])
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: id (long, not null), component_id, the smallest id reachable.
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Of BANDS x BAND_ROWS orders of the shingles the least each: two sets agree in one with their Jaccard similarity."""
+    least = np.full(BANDS * BAND_ROWS, (1 << 32) - 1, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1 << 11):
+        np.minimum(least, ((short[at : at + (1 << 11)] ^ FLIP) * ODD).min(axis=1), out=least)
+    return least
+
+
+def meeting(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the bands (none for no shingles), SKETCH bits as two longs, and a byte of each least hash.
 
-    Documents link where their wide fingerprints differ in no more bits than those of sets of that similarity do. They
-    meet in BANDS buckets, by runs of BAND_BITS bits each: at a similarity of 0.8 nine of ten pairs meet in one, at 0.87
-    nearly all. Texts without words are one group. In a bucket the Gray-order index joins them, as near_duplicates() has it.
+    Sets agree in (1 + similarity) / 2 of the bits, and in a little over their similarity of the bytes.
     """
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(2, np.int64), np.zeros(BANDS * BAND_ROWS, np.uint8)
+    least = least_hashes(hashes)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for v in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ v) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    return key.view(np.int64), np.packbits(mixed[:SKETCH] >> np.uint32(31)).view(np.int64), (mixed >> np.uint32(24)).astype(np.uint8)
+
+
+def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have that Jaccard similarity or more, counted exactly."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                yield pa.record_batch([part.column(0), pa.array([wide_fingerprint(x, shingle) for x in text_of(part)], pa.binary())], names=["id", "fp"])
+            keep = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.sort(np.concatenate([x, y]))
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared >= similarity * (len(both) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(met.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "verified")
+
+
+def _chain(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """A bucket's nodes, each with the next, the bucket and its size."""
+    node = np.sort(rows.column("node").to_numpy())
+    m = len(node) - 1
+    return node[:-1], node[1:], np.full(m, rows.column("bits")[0].as_py()), np.full(m, m + 1)
+
 
-    marks = materialize(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, fp binary"), "wide")
-    nodes = materialize(marks.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    step = BAND_BITS // 8
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.conv(F.hex(F.substring("fp", 1 + k * step, step)), 16, 10).cast("long").alias("bits")) for k in range(BANDS)])
-    dealt = nodes.select("node", "fp", F.explode(bands).alias("k")).select("node", "fp", "k.band", "k.bits")
-    most = most_differing(similarity)
+def _across(similarity: float):
+    """Of a bucket all pairs of nodes with different labels, less those whose sizes or sketches rule the similarity out."""
 
     def solve(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node = rows.column("node").to_numpy()
-        codes = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), WIDE)
-        if len(node) == 2:  # most buckets
-            near = int(np.bitwise_count(codes[0] ^ codes[1]).sum()) <= most
-            return (node[:1], node[1:]) if near else (node[:0], node[:0])
-        a, b = forest(codes, most)
-        return node[a], node[b]
+        node, label, n, *sketch = (rows.column(c).to_numpy() for c in ("node", "label", "n", "s0", "s1"))
+        out: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
+        if (label != label[0]).any():
+            parts = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(len(node), -1)
+            step = max(1, min(QUERIES, (1 << 18) // len(node)))
+            for at in range(0, len(node), step):
+                i, rest = slice(at, at + step), slice(at, None)
+                low, high = np.minimum(n[i, None], n[rest]), np.maximum(n[i, None], n[rest])
+                open_ = (label[i, None] != label[rest]) & (low >= similarity * high - 1e-9)
+                open_ &= sum(np.bitwise_count(s[i, None] ^ s[rest]).astype(np.int16) for s in sketch) <= SKETCH_DIFFER
+                x, y = np.nonzero(open_)
+                agree = (parts[at + x] == parts[at + y]).sum(axis=1) >= BYTES_AGREE
+                x, y = node[at + x[agree]], node[at + y[agree]]
+                out.append((np.minimum(x, y), np.maximum(x, y)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    return solve
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """One row per row of docs: id, mark (a hash of the text), least: the smallest (id, mark) of its component."""
 
-    label = components(per_bucket(dealt, ["band", "bits"], solve))
-    placed = nodes.join(label, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    return marks.join(placed, "fp").select(F.col("id").alias(id_col), "component_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                found = [shingles(x, shingle) for x in text_of(part)]
+                bands, sketch, each = zip(*map(meeting, found), strict=True)
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+                s0, s1 = np.array(sketch, np.int64).T
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(node), pa.array([len(x) for x in found], pa.int32()), pa.array(s0), pa.array(s1), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=names)
+
+    names = ["id", "mark", "node", "n", "s0", "s1", "bands", "bytes", "shingles"]
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
+    marks = materialize(texts.mapInArrow(run, "id long, mark long, node long, n int, s0 long, s1 long, bands binary, bytes binary, shingles binary"), "shingles")
+    nodes = materialize(marks.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("least"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands", "bytes")]), "nodes")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("bands")]
+            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in bits])
+            yield pa.record_batch([pa.array(node), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]))], names=["node", "bits"])
+
+    dealt = nodes.select("node", "bands").mapInArrow(deal, "node long, bits long")
+    met = materialize(per_bucket(dealt, ["bits"], _chain, ("a", "b", "bits", "size")), "met")
+    facts = nodes.select("node", "n", "s0", "s1")
+    first = met.select("a", "b").distinct()
+    for x in "ab":
+        first = first.join(facts.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")]), x)
+    near = F.expr(f"bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_DIFFER}") & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    first = materialize(first.where(near).select("a", "b"), "pairs")
+    edges = verified(first, marks, similarity)
+    label = components(edges)
+    members = met.where("size > 2").select("bits", F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = members.join(label, "node", "left").select("bits", "node", F.coalesce("label", "node").alias("label"))
+    mixed = members.groupBy("bits").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bits")
+    members = members.join(mixed, "bits", "left_semi").join(nodes.select("node", "n", "s0", "s1", "bytes"), "node")
+    more = materialize(per_bucket(members, ["bits"], _across(similarity)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        label = components(edges.unionByName(verified(more, marks, similarity)))
+    joined = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    placed = joined.join(joined.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", F.col("first").alias("least"))
+    return marks.select("id", "mark", "node").join(placed, "node").select("id", "mark", "least")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: id (long, not null), component_id, the smallest id reachable.
+
+    Documents link where their sets of shingles have that Jaccard similarity, counted exactly. Equal sets are one node.
+    Candidates agree in all BAND_ROWS least hashes of one of BANDS bands: a pair at 0.8 is no candidate with a chance of
+    1e-7, at any length. A bucket's chain of nodes is counted first; then every pair of the bucket that isn't in one
+    component yet, unless its sketches rule it out, for a pair at 0.8 with a chance below 1e-7.
+    """
+    return _grouped(docs, id_col, text_col, shingle, similarity).select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, less the near-duplicates by similar_documents(): of each component the smallest id stays.
 
     A null id is replaced, for this choice, by a hash of the text; of rows that share an id and a component one stays.
+    Rows that share an id, but no component, are told apart by a hash of the text.
     """
-    key = "__simhash_key"
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
-    found = materialize(similar_documents(keyed, key, text_col), "similar")
-    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    again = materialize(found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "again")
-    kept = keyed.join(gone, key, "left_anti")
+    key, mark = "__simhash_key", "__simhash_mark"
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))).withColumn(mark, F.xxhash64(text_col))
+    found = _grouped(keyed, key, text_col, STAGE_SHINGLE, SIMILARITY).select(F.col("id").alias(key), F.col("mark").alias(mark), (F.struct("id", "mark") == F.col("least")).alias("stays"))
+    found = materialize(found, "similar")
+    gone = materialize(found.where("not stays").select(key, mark).distinct(), "gone")
+    again = materialize(found.where("stays").groupBy(key, mark).count().where("count > 1").select(key, mark), "again")
+    kept = keyed.join(gone, [key, mark], "left_anti")
     if not again.isEmpty():
-        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+        kept = kept.join(again, [key, mark], "left_anti").unionByName(kept.join(again, [key, mark], "left_semi").dropDuplicates([key, mark]))
     return kept.select(*docs.columns)
 
 
