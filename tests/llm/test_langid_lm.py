@@ -156,3 +156,29 @@ def test_state_is_carried_over_windows(monkeypatch):
     monkeypatch.setattr(lm, "WINDOW", 7)
     monkeypatch.setattr(lm, "LANES", 2)
     assert np.allclose(whole, net.score(docs), rtol=1e-4)
+
+
+def test_lm_trains_over_every_word(monkeypatch):
+    monkeypatch.setattr(lm, "REFINE_LANES", 3)
+    net = lm.Network.new(lm.Lexicon([(b"", 50), (b"a", 30), (b"b", 20)], 110, 7))
+    rng = np.random.default_rng(6)
+    docs = [(rng.integers(0, 3, n).astype(np.int32), rng.integers(0, 4, n).astype(np.int32)) for n in (5, 300, 1, 70, 32, 64, 2, 2, 150)]
+    windows, real = [], lm.Network.learn_window
+    monkeypatch.setattr(lm.Network, "learn_window", lambda self, ins, outs, first, h, adam, rate: windows.append((ins, outs, first, h)) or real(self, ins, outs, first, h, adam, rate))
+    before = net.w["gx"].copy()
+    assert net.learn_all(iter(docs), 0.002) == sum(len(b) for _, b in docs)
+    taught = Counter((a, b) for ins, outs, _, _ in windows for a, b in zip(ins[outs >= 0].tolist(), outs[outs >= 0].tolist(), strict=True))
+    assert taught == Counter((a, b) for x, y in docs for a, b in zip(x.tolist(), y.tolist(), strict=True))
+    assert sum(int(first.sum()) for _, _, first, _ in windows) == len(docs)
+    assert all(np.abs(h).sum() > 0 for *_, h in windows[1:]) and not np.array_equal(before, net.w["gx"])
+
+
+def test_lm_pieces_have_no_false_ends(monkeypatch):
+    net = lm.Network.new(lm.Lexicon([(b"", 50), (b"a", 30), (b"b", 20)], 110, 7))
+    taught = []
+    real = lm.Network.outputs
+    monkeypatch.setattr(lm.Network, "outputs", lambda self, hidden, target, grads=None: taught.extend(target.tolist()) or real(self, hidden, target, grads))
+    net.train([("a b a b", False, False)])
+    assert 0 not in taught and len(taught) == lm.EPOCHS
+    net.train([("a b", True, True)])
+    assert taught.count(0) == lm.EPOCHS

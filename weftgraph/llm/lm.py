@@ -5,8 +5,8 @@ about equal size by rank; all others make one more class, within which a word's
 class's count. Counts of the HOT most frequent words travel with the scoring function, as that many words are a bound;
 every other word of a document meets its count in a join, where no word has more than a HOT-th of all tokens.
 The biases of the output, and with them its unigram distribution, are set from the counts of the whole corpus. The
-weights are begun on windows of about SAMPLE_DOCS documents chosen by a hash; then every partition goes on from there over
-a window of each of its training documents, and the partitions' weights are averaged.
+weights are begun on pieces of about SAMPLE_DOCS documents chosen by a hash; then every partition goes on from there over
+all words of all of its training documents, the state carried from window to window, and the partitions' weights are averaged.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 2_048, 48, 256, 24
 WINDOW, LANES = 64, 512
 SAMPLE_DOCS, SNIPPET, EPOCHS, TRAIN_WINDOW, TRAIN_LANES = 2_048, 1_200, 3, 32, 128
 FLUSH = 200_000
-REFINE_WINDOW, PARTS, FAN = 32, 16, 32
-"""Words of each training document over which all partitions go on training; how their weights are cut and averaged."""
+REFINE_WINDOW, REFINE_LANES, PARTS, FAN = 32, 256, 16, 32
+"""Words of a step and documents side by side as partitions go on training; how their weights are cut and averaged."""
 
 
 def tokens(text: str) -> list[bytes]:
@@ -159,13 +159,18 @@ class Network:
                 dh[:, own] += w["v"][a:b].T @ d
         return out, dh
 
-    def train(self, texts: list[str]) -> None:
-        """Truncated backpropagation: the state goes on from window to window, the gradient doesn't."""
+    def train(self, pieces: list[tuple[str, bool, bool]]) -> None:
+        """Pieces of texts: whether the text begins and ends with them. Cut words and ends that aren't there are left out.
+
+        Truncated backpropagation: the state goes on from window to window, the gradient doesn't.
+        """
         x = self.x
         rows = []
-        for text in texts:
-            words = tokens(text)
-            rows.append((np.array([x.symbol(END), *map(x.symbol, words[:-1])]), np.array([x.ids.get(w, x.size) for w in words])))
+        for text, begins, ends in pieces:
+            words = [END, *tokens(text)]
+            words = words[0 if begins else 2 : None if ends else -2]
+            if len(words) > 1:
+                rows.append((np.array([x.symbol(w) for w in words[:-1]]), np.array([x.ids.get(w, x.size) for w in words[1:]])))
         rows.sort(key=lambda r: len(r[1]))
         adam = Adam(self.w)
         rng = np.random.default_rng(3)
@@ -199,15 +204,16 @@ class Network:
                         back = gru_back(self.w, "g", back + dflat[:, t], saved[t], grads)
                     adam.step(grads, 0.01 if epoch < EPOCHS - 1 else 0.003)
 
-    def learn_windows(self, rows: list[tuple[np.ndarray, np.ndarray]], adam: Adam, rate: float) -> None:
-        """One step over windows of different documents, (symbols read, target ids) of REFINE_WINDOW words at most each."""
-        longest = max(len(b) for _, b in rows)
-        ins, outs = np.zeros((longest, len(rows)), np.int64), np.full((longest, len(rows)), -1)
-        for k, (a, b) in enumerate(rows):
-            ins[: len(a), k], outs[: len(b), k] = a, b
+    def learn_window(self, ins: np.ndarray, outs: np.ndarray, first: np.ndarray, h: np.ndarray, adam: Adam, rate: float) -> np.ndarray:
+        """One step over a window (words, lanes) of symbols read and target ids, -1 for none; returns the state after it.
+
+        Where first is set a document begins: there the state is 0 and no gradient passes.
+        """
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        h, saved, states = np.zeros((HIDDEN, len(rows)), F32), [], []
-        for t in range(longest):
+        saved, states = [], []
+        for t in range(len(ins)):
+            if first[t].any():
+                h = h * ~first[t]
             h, s = gru_step(self.w, "g", ins[t], h)
             saved.append(s)
             states.append(h)
@@ -217,11 +223,50 @@ class Network:
         _, d = self.outputs(np.ascontiguousarray(flat[:, live]), y[live], grads)
         dflat = np.zeros_like(flat)
         dflat[:, live] = d
-        dflat = dflat.reshape(HIDDEN, longest, len(rows))
+        dflat = dflat.reshape(HIDDEN, *ins.shape)
         back = np.zeros_like(h)
-        for t in range(longest - 1, -1, -1):
+        for t in range(len(ins) - 1, -1, -1):
             back = gru_back(self.w, "g", back + dflat[:, t], saved[t], grads)
+            if first[t].any():
+                back = back * ~first[t]
         adam.step(grads, rate)
+        return h
+
+    def learn_all(self, docs: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
+        """Steps over every word of docs, (symbols read, target ids); returns how many words there were.
+
+        Documents run in lanes, one after another, and a lane takes the next one when it has come to an end.
+        """
+        adam, seen, more = Adam(self.w), 0, True
+        lanes: list[list] = [[np.zeros(0, np.int32), np.zeros(0, np.int32), 0] for _ in range(REFINE_LANES)]
+        h = np.zeros((HIDDEN, REFINE_LANES), F32)
+        while True:
+            ins, outs = np.zeros((REFINE_WINDOW, len(lanes)), np.int64), np.full((REFINE_WINDOW, len(lanes)), -1)
+            first = np.zeros(ins.shape, bool)
+            for k, lane in enumerate(lanes):
+                at = 0
+                while at < REFINE_WINDOW:
+                    if lane[2] == len(lane[1]):
+                        doc = next(docs, None) if more else None
+                        if doc is None:
+                            more = False
+                            break
+                        lane[:] = *doc, 0
+                        first[at, k] = True
+                    n = min(REFINE_WINDOW - at, len(lane[1]) - lane[2])
+                    ins[at : at + n, k], outs[at : at + n, k] = (x[lane[2] : lane[2] + n] for x in lane[:2])
+                    lane[2] += n
+                    at += n
+            live = outs >= 0
+            if not live.any():
+                return seen
+            seen += int(live.sum())
+            h = self.learn_window(ins, outs, first, h, adam, rate)
+            left = [k for k, lane in enumerate(lanes) if more or lane[2] < len(lane[1])]
+            if len(left) < len(lanes):
+                lanes, h = [lanes[k] for k in left], np.ascontiguousarray(h[:, left])
+            if not lanes:
+                return seen
 
     def score(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """docs: (symbols read, target ids). Natural log probability of each, its words of the last class by class only.
@@ -271,10 +316,10 @@ class Network:
 
 
 def refine(network: Network, training: DataFrame) -> None:
-    """Goes on training over a window of every training document, wherever it lies, and averages what partitions learned.
+    """Goes on training over every word of every training document, wherever it lies, and averages what partitions learned.
 
-    Each partition begins with the same weights and takes steps over windows of its own documents; a hash of the text
-    places the window. The results, a megabyte each, are averaged by weight, FAN at a time, in parts by place.
+    Each partition begins with the same weights and takes steps over its own documents. The results, a megabyte each, are
+    averaged by their words, FAN at a time, in parts by place.
     """
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast((network.x, network.w))
@@ -282,22 +327,16 @@ def refine(network: Network, training: DataFrame) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, w = shared.value
         net = Network(lex, {k: v.copy() for k, v in w.items()})
-        adam, rows, seen = Adam(net.w), [], 0
         ids, symbol = lex.ids, lex.symbol
-        for batch in batches:
-            for part in byte_slices(batch, "text"):
-                for text in text_of(part):
-                    raw = text.encode()
-                    words = [END, *raw.lower().split(), END]
-                    at = zlib.crc32(raw) % max(1, len(words) - REFINE_WINDOW)
-                    words = words[at : at + REFINE_WINDOW + 1]
-                    rows.append((np.array([symbol(x) for x in words[:-1]]), np.array([ids.get(x, lex.size) for x in words[1:]])))
-                    seen += len(words) - 1
-                    if len(rows) == TRAIN_LANES:
-                        net.learn_windows(rows, adam, 0.002)
-                        rows = []
-        if rows:
-            net.learn_windows(rows, adam, 0.002)
+
+        def documents() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for part in byte_slices(batch, "text"):
+                    for text in text_of(part):
+                        words = tokens(text)
+                        yield np.array([symbol(x) for x in [END, *words[:-1]]], np.int32), np.array([ids.get(x, lex.size) for x in words], np.int32)
+
+        seen = net.learn_all(documents(), 0.002)
         if seen:
             flat = np.concatenate([net.w[k].ravel() for k in sorted(net.w)])
             parts = [x.tobytes() for x in np.array_split(flat, PARTS)]
@@ -347,8 +386,8 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     place = F.pmod(mark, F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1).cast("int") + 1
     texts = training.where("text is not null")
     rate = sample / max(1, texts.count())
-    picked = texts.where(F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53) < rate).select(F.substring("text", place, F.lit(SNIPPET)).alias("text"))
-    network.train(sorted(r.text for r in picked.collect()))
+    picked = texts.where(F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53) < rate).select(F.substring("text", place, F.lit(SNIPPET)).alias("text"), (place == 1).alias("begins"), (place + SNIPPET > F.length("text")).alias("ends"))
+    network.train(sorted((r.text, r.begins, r.ends) for r in picked.collect()))
     refine(network, training)
     shared = spark.sparkContext.broadcast((lexicon, network.w))  # HOT words and weights of fixed size
     log_rest = np.log(lexicon.rest_n + lexicon.rest_v + 1.0)
