@@ -134,7 +134,9 @@ def test_unlike_documents_stay(spark, documents):
     assert all(max(jaccard(t, u) for j, u in rows if j != i) > 0.6 for i, t in gone)
 
 
-def test_links_are_exact(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+def test_links_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(7)
 
     def words(n):
@@ -162,3 +164,47 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, one), (5, one), (5, two), (5, two)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, one), (5, two)]
+
+
+def test_no_text_goes_with_another_of_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a), (6, b), (7, c), (None, c), (None, a + " more")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b), (7, c)]
+
+
+def test_ids_missing(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    kept = simhash.keep_one(spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(None, a), (None, b)]
+
+
+def test_recall_near_the_border(spark):
+    rng = random.Random(9)
+    rows, pairs = [], []
+    while len(pairs) < 300:  # copies of 30 to 400 words with words changed, of similarity 0.80 to 0.88
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 400))]
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), rng.randrange(1, 1 + max(1, len(copy) // 40))):
+            copy[at] = "changed"
+        if 0.8 <= jaccard(" ".join(words), " ".join(copy)) <= 0.88:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # each a copy with two or three words changed; many are only similar by way of others
+        words = list(base)
+        for at in rng.sample(range(60), rng.randrange(1, 4)):
+            words[at] = f"x{rng.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    near = [(a, b) for a in range(150) for b in range(a + 1, 150) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(near, range(150))

@@ -28,11 +28,17 @@ FANOUT, QUERIES, PAIRS = 16, 256, 1 << 21
 AVERAGE_BUCKET = 4_096
 FULL = (1 << 64) - 1
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS, SKETCH, SKETCH_DIFFER, BYTES_AGREE = 40, 5, 128, 36, 126
-"""For documents that are to be similar: bands of least hashes in which they meet, and bits and bytes that rule out far pairs."""
+BANDS, BAND_ROWS = 24, 5
+WIDE, CUT = 4, 64
+"""Longs of a wide fingerprint, and the most bits in which two may differ to be counted: at a similarity of 0.8 two long
+texts differ in 39 on average, and texts of five shingles in 48."""
+BLOCK, BLOCK_BYTES = 8_192, 64 << 20
+"""Nodes, and bytes of shingle sets, that a block of a bucket holds; a bucket beyond that is several tasks'."""
 _draw = np.random.default_rng(42)
 FLIP = _draw.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), np.uint32)
 ODD = _draw.integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+TURN = _draw.integers(0, FULL, WIDE, np.uint64)
+TIMES = _draw.integers(0, FULL >> 1, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -85,7 +91,8 @@ class GrayIndex:
     leaves a node once the sum is over the distance.
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, label: np.ndarray | None = None):
+        """label: of each code what tells its component, where some are joined already."""
         self.order = gray_order(codes)
         self.codes = codes[self.order]
         self.levels = []  # from the leaves up: (pattern, shared bits)
@@ -99,6 +106,9 @@ class GrayIndex:
             pattern = pattern[starts] & shared
             self.levels.append((pattern, shared))
         self.label = np.arange(len(codes))
+        if label is not None:
+            _, first, of = np.unique(label[self.order], return_index=True, return_inverse=True)
+            self.label = first[of]
         self.uniform: list[np.ndarray] = []
         self._summarise()
 
@@ -128,8 +138,11 @@ class GrayIndex:
         if changed:
             self._summarise()
 
-    def link(self, distance: int) -> np.ndarray:
-        """Joins all codes within the distance; per code in Gray order the place of its component's first member."""
+    def link(self, distance: int, accept=None) -> np.ndarray:
+        """Joins all codes within the distance; per code in Gray order the place of its component's first member.
+
+        accept: of pairs of places (in the order given) within the distance, those that count.
+        """
         n = len(self.codes)
         top, step = len(self.levels) - 1, max(1, min(QUERIES, PAIRS // n))
         for q0 in range(0, n, step):
@@ -153,15 +166,18 @@ class GrayIndex:
                 query, spent, above = (np.repeat(x, FANOUT, axis=0) for x in (query, spent, above_all))
                 there = child < below
                 query, node, spent, above = query[there], child[there], spent[there], above[there]
+            if len(query) and accept is not None:
+                counts = accept(self.order[query], self.order[node])
+                query, node = query[counts], node[counts]
             if len(query):
                 self._unite(query, node)
         return self.label
 
 
-def forest(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of edges of stars that join the codes (n, words) within the distance."""
-    index = GrayIndex(codes)
-    label = index.link(distance)
+def forest(codes: np.ndarray, distance: int, label: np.ndarray | None = None, accept=None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of edges of stars that join the codes (n, words) within the distance, and those joined before."""
+    index = GrayIndex(codes, label)
+    label = index.link(distance, accept)
     at = np.flatnonzero(label != np.arange(len(label)))
     return index.order[label[at]], index.order[at]
 
@@ -280,26 +296,43 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def meeting(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the bands (none for no shingles), SKETCH bits as two longs, and a byte of each least hash.
-
-    Sets agree in (1 + similarity) / 2 of the bits, and in a little over their similarity of the bytes.
-    """
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of BAND_ROWS least hashes; none for no shingles."""
     if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(2, np.int64), np.zeros(BANDS * BAND_ROWS, np.uint8)
-    least = least_hashes(hashes)
+        return np.zeros(0, np.int64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for v in least.reshape(BANDS, BAND_ROWS).T:
+    for v in least_hashes(hashes).reshape(BANDS, BAND_ROWS).T:
         key = (key ^ v) * np.uint64(0xFF51AFD7ED558CCD)
         key ^= key >> np.uint64(32)
-    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
-    return key.view(np.int64), np.packbits(mixed[:SKETCH] >> np.uint32(31)).view(np.int64), (mixed >> np.uint32(24)).astype(np.uint8)
+    return key.view(np.int64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE longs: a bit is 1 if set in over half of the distinct shingles, each of which gives 64 bits to each long."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        bits = (hashes[at : at + (1 << 12), None] ^ TURN) * TIMES
+        bits ^= bits >> np.uint64(32)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).view(np.int64)
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes wanted (node, mark), from one text of each; texts: (text, mark)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                found = [shingles(x, shingle) for x in text_of(part)]
+                yield pa.record_batch([part.column("mark"), pa.array([x.tobytes() for x in found], pa.binary())], names=["mark", "shingles"])
+
+    found = texts.join(wanted.select("mark"), "mark", "left_semi").select("mark", "text").mapInArrow(run, "mark long, shingles binary")
+    found = found.groupBy("mark").agg(F.first("shingles").alias("shingles"))
+    return materialize(found.join(wanted, "mark").select("node", "shingles"), "sets")
 
 
-def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have that Jaccard similarity or more, counted exactly."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(marks.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, shingles) have that Jaccard similarity or more, counted exactly."""
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,52 +348,77 @@ def verified(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame
     return materialize(met.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "verified")
 
 
-def _chain(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """A bucket's nodes, each with the next, the bucket and its size."""
-    node = np.sort(rows.column("node").to_numpy())
-    m = len(node) - 1
-    return node[:-1], node[1:], np.full(m, rows.column("bits")[0].as_py()), np.full(m, m + 1)
+CODES = [f"c{k}" for k in range(WIDE)]
+
+
+def _codes(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy() for c in CODES], axis=1).view(np.uint64)
+
+
+def _near(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest over a block of a bucket, by wide fingerprints in Gray order."""
+    node = rows.column("node").to_numpy()
+    a, b = forest(_codes(rows), CUT)
+    apart = node[a] != node[b]  # a pivot meets itself
+    return np.minimum(node[a], node[b])[apart], np.maximum(node[a], node[b])[apart]
 
 
 def _across(similarity: float):
-    """Of a bucket all pairs of nodes with different labels, less those whose sizes or sketches rule the similarity out."""
+    """Edges that join what isn't joined in a block of a bucket: near in Gray order, and similar by their sets of shingles.
+
+    A pair counts in the first bucket that both have, so it is counted once.
+    """
 
     def solve(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, label, n, *sketch = (rows.column(c).to_numpy() for c in ("node", "label", "n", "s0", "s1"))
-        out: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
-        if (label != label[0]).any():
-            parts = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8).reshape(len(node), -1)
-            step = max(1, min(QUERIES, (1 << 18) // len(node)))
-            for at in range(0, len(node), step):
-                i, rest = slice(at, at + step), slice(at, None)
-                low, high = np.minimum(n[i, None], n[rest]), np.maximum(n[i, None], n[rest])
-                open_ = (label[i, None] != label[rest]) & (low >= similarity * high - 1e-9)
-                open_ &= sum(np.bitwise_count(s[i, None] ^ s[rest]).astype(np.int16) for s in sketch) <= SKETCH_DIFFER
-                x, y = np.nonzero(open_)
-                agree = (parts[at + x] == parts[at + y]).sum(axis=1) >= BYTES_AGREE
-                x, y = node[at + x[agree]], node[at + y[agree]]
-                out.append((np.minimum(x, y), np.maximum(x, y)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+        if (label == label[0]).all():
+            return node[:0], node[:0]
+        bucket = rows.column("bits")[0].as_py()
+        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(len(node), -1)
+        whole = np.frombuffer(b"".join(rows.column("shingles").to_pylist()), np.uint64)
+        words, of = np.unique(whole, return_inverse=True)
+        ends = np.cumsum(n)
+        own = [of[a:b] for a, b in zip(ends - n, ends, strict=True)]
+        there = np.zeros(len(words), bool)
+
+        def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            open_ = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9) & (node[x] != node[y])
+            shared = bands[x] == bands[y]
+            open_ &= bands[x, shared.argmax(axis=1)] == bucket
+            at = np.flatnonzero(open_)
+            out = np.zeros(len(x), bool)
+            for part in np.split(at, np.flatnonzero(np.diff(x[at])) + 1) if len(at) else []:
+                mine = own[x[part[0]]]
+                there[mine] = True
+                sizes = n[y[part]]
+                shared = np.add.reduceat(there[np.concatenate([own[j] for j in y[part]])].astype(np.int32), np.cumsum(sizes) - sizes)
+                there[mine] = False
+                out[part] = shared >= similarity * (len(mine) + sizes - shared) - 1e-9
+            return out
+
+        a, b = forest(_codes(rows), CUT, label, accept)
+        new = label[a] != label[b]
+        return np.minimum(node[a], node[b])[new], np.maximum(node[a], node[b])[new]
 
     return solve
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """One row per row of docs: id, mark (a hash of the text), least: the smallest (id, mark) of its component."""
+    """One row per row of docs: id, mark (a hash of the text), least: the smallest (id is null, id, mark) of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 found = [shingles(x, shingle) for x in text_of(part)]
-                bands, sketch, each = zip(*map(meeting, found), strict=True)
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-                s0, s1 = np.array(sketch, np.int64).T
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(node), pa.array([len(x) for x in found], pa.int32()), pa.array(s0), pa.array(s1), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=names)
+                codes = np.stack([wide_fingerprint(x) for x in found])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(node), pa.array([len(x) for x in found], pa.int32()), *[pa.array(c) for c in codes.T], pa.array([band_keys(x).tobytes() for x in found], pa.binary())], names=["id", "mark", "node", "n", *CODES, "bands"])
 
-    names = ["id", "mark", "node", "n", "s0", "s1", "bands", "bytes", "shingles"]
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
-    marks = materialize(texts.mapInArrow(run, "id long, mark long, node long, n int, s0 long, s1 long, bands binary, bytes binary, shingles binary"), "shingles")
-    nodes = materialize(marks.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("least"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands", "bytes")]), "nodes")
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
+    marks = materialize(texts.mapInArrow(run, "id long, mark long, node long, n int, " + ", ".join(f"{c} long" for c in CODES) + ", bands binary"), "marks")
+    facts = ["n", *CODES, "bands"]
+    first_id = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    nodes = materialize(marks.groupBy("node").agg(F.min(first_id).alias("least"), F.min("mark").alias("mark"), *[F.first(c).alias(c) for c in facts]), "nodes")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,34 +427,50 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
             yield pa.record_batch([pa.array(node), pa.array(np.concatenate([*bits, np.zeros(0, np.int64)]))], names=["node", "bits"])
 
     dealt = nodes.select("node", "bands").mapInArrow(deal, "node long, bits long")
-    met = materialize(per_bucket(dealt, ["bits"], _chain, ("a", "b", "bits", "size")), "met")
-    facts = nodes.select("node", "n", "s0", "s1")
-    first = met.select("a", "b").distinct()
+    sizes = materialize(dealt.groupBy("bits").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = materialize(dealt.join(sizes, "bits").join(nodes.drop("least"), "node"), "members")
+
+    # candidates: in each block of a bucket a forest of near fingerprints; a bucket's smallest node is in all its blocks
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    split = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    columns = ["bits", "block", "node", *CODES]
+    pivot = members.where(F.col("size") > BLOCK).groupBy("bits").agg(F.min(F.struct("node", *CODES)).alias("pivot"), F.first("size").alias("size"))
+    pivot = pivot.select("bits", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "pivot.*")
+    first = per_bucket(split.select(columns).unionByName(pivot.select(columns)), ["bits", "block"], _near).distinct()
     for x in "ab":
-        first = first.join(facts.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1")]), x)
-    near = F.expr(f"bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {SKETCH_DIFFER}") & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    first = materialize(first.where(near).select("a", "b"), "pairs")
-    edges = verified(first, marks, similarity)
+        first = first.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
+    first = materialize(first.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9).select("a", "b"), "pairs")
+    wanted = nodes.join(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "mark")
+    edges = verified(first, _sets(texts, wanted, shingle), similarity)
     label = components(edges)
-    members = met.where("size > 2").select("bits", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = members.join(label, "node", "left").select("bits", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("bits").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bits")
-    members = members.join(mixed, "bits", "left_semi").join(nodes.select("node", "n", "s0", "s1", "bytes"), "node")
-    more = materialize(per_bucket(members, ["bits"], _across(similarity)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+
+    # what a forest of candidates left apart: members of a bucket with another label than most of it meet all of its blocks
+    members = members.where("size > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = members.groupBy("bits", "label").agg(F.count("*").alias("held"), F.sum("n").alias("words"))
+    mixed = by_label.groupBy("bits").agg(F.count("*").alias("labels"), F.max(F.struct("held", "label")).alias("most"), F.sum("held").alias("total"), F.sum("words").alias("words")).where("labels > 1")
+    parts = F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("words") * 8 / BLOCK_BYTES)).cast("int")
+    mixed = mixed.select("bits", F.col("most.label").alias("common"), parts.alias("parts"))
+    members = members.join(mixed, "bits")
+    place = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = materialize(members.withColumn("block", F.explode(F.when(F.col("label") == F.col("common"), place).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))), "mixed")
+    sets = _sets(texts, members.select("node", "mark").distinct(), shingle)
+    more = per_bucket(members.select("bits", "block", "node", "label", "n", "bands", *CODES).join(sets, "node"), ["bits", "block"], _across(similarity))
+    more = materialize(more.distinct(), "more")
     if not more.isEmpty():
-        label = components(edges.unionByName(verified(more, marks, similarity)))
+        label = components(edges.unionByName(more))
     joined = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     placed = joined.join(joined.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", F.col("first").alias("least"))
     return marks.select("id", "mark", "node").join(placed, "node").select("id", "mark", "least")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: id (long, not null), component_id, the smallest id reachable.
+    """One row per row of docs: id (long), component_id, the smallest id reachable; null ids are passed over in it.
 
-    Documents link where their sets of shingles have that Jaccard similarity, counted exactly. Equal sets are one node.
-    Candidates agree in all BAND_ROWS least hashes of one of BANDS bands: a pair at 0.8 is no candidate with a chance of
-    1e-7, at any length. A bucket's chain of nodes is counted first; then every pair of the bucket that isn't in one
-    component yet, unless its sketches rule it out, for a pair at 0.8 with a chance below 1e-7.
+    Documents link where their sets of shingles have that Jaccard similarity, counted exactly; equal sets are one node, and
+    texts without words (null, empty) are one node too. Candidates come from a Gray-order index over SimHash fingerprints
+    of 256 bits, in buckets of documents that agree in all BAND_ROWS least hashes of one of BANDS bands: a pair at 0.8
+    shares no bucket with a chance of 1e-4. What a first forest of candidates leaves apart is compared pair by pair.
+    Other columns are not read; repeated rows stay; an empty table gives no rows.
     """
     return _grouped(docs, id_col, text_col, shingle, similarity).select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
 
@@ -404,18 +478,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, less the near-duplicates by similar_documents(): of each component the smallest id stays.
 
-    A null id is replaced, for this choice, by a hash of the text; of rows that share an id and a component one stays.
-    Rows that share an id, but no component, are told apart by a hash of the text.
+    A row without an id stays only where no row of its component has one. Rows that share an id are told apart by a hash
+    of the text, so one that is in no other's component stays; of rows equal in id and text one stays. Texts without
+    words (null, empty) are one component. An empty table gives no rows.
     """
-    key, mark = "__simhash_key", "__simhash_mark"
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))).withColumn(mark, F.xxhash64(text_col))
-    found = _grouped(keyed, key, text_col, STAGE_SHINGLE, SIMILARITY).select(F.col("id").alias(key), F.col("mark").alias(mark), (F.struct("id", "mark") == F.col("least")).alias("stays"))
+    mark = "__simhash_mark"
+    keyed = docs.withColumn(mark, F.xxhash64(text_col))
+    found = _grouped(docs, id_col, text_col, STAGE_SHINGLE, SIMILARITY).select(F.col("id").alias("__simhash_key"), F.col("mark").alias(mark), (F.struct(F.col("id").isNull(), "id", "mark") == F.col("least")).alias("stays"))
     found = materialize(found, "similar")
-    gone = materialize(found.where("not stays").select(key, mark).distinct(), "gone")
-    again = materialize(found.where("stays").groupBy(key, mark).count().where("count > 1").select(key, mark), "again")
-    kept = keyed.join(gone, [key, mark], "left_anti")
+    same = lambda other: keyed[id_col].cast("long").eqNullSafe(other["__simhash_key"]) & (keyed[mark] == other["__other"])
+    gone = materialize(found.where("not stays").select("__simhash_key", F.col(mark).alias("__other")).distinct(), "gone")
+    again = materialize(found.where("stays").groupBy("__simhash_key", mark).count().where("count > 1").select("__simhash_key", F.col(mark).alias("__other")), "again")
+    kept = keyed.join(gone, same(gone), "left_anti")
     if not again.isEmpty():
-        kept = kept.join(again, [key, mark], "left_anti").unionByName(kept.join(again, [key, mark], "left_semi").dropDuplicates([key, mark]))
+        kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates([id_col, mark]))
     return kept.select(*docs.columns)
 
 
