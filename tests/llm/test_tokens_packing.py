@@ -24,28 +24,42 @@ def test_counts(odd, empty, library):
     assert tokens.count_tokens(empty).count() == 0
 
 
-def test_fast_ids_are_the_librarys(library):
-    own = tokens.encoder(tokens.tokenizer_path())
-    assert own.fast is not None
+def test_ids_are_those_of_whole_texts(library):
+    own = tokens.Encoder(tokens.tokenizer_path())
+    assert own.cuts
     rng = random.Random(1)
-    marks = " \n\t  ab1'.,stéß中\x85\x1c🙂"
-    texts = ["".join(rng.choice(marks) for _ in range(80)) + rng.choice(["", "<|endoftext|>", " <|endoftext|> x"]) for _ in range(500)]
+    marks = " \n\t  ab1'.,stéß中\x85\x1c🙂\u2003"
+    texts = ["", " ", *["".join(rng.choice(marks) for _ in range(80)) + rng.choice(["", "<|endoftext|>", " <|endoftext|> x"]) for _ in range(2000)]]
     points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     texts += ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}\n{chr(c)}  x" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
-    for x, found in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        assert own.ids(x) == np.array(found.ids, "<u4").tobytes()
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.ids(texts) == want and own.lengths(texts) == [len(x) // 4 for x in want]
+    assert own.ids(texts[::-1]) == want[::-1]  # now from what is kept
+
+
+def test_little_is_kept(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 50)
+    own = tokens.Encoder(tokens.tokenizer_path())
+    texts = [f"word{i} and {'x' * (i % 90)} end" for i in range(400)]
+    for at in range(0, 400, 10):
+        assert own.lengths(texts[at : at + 10]) == [len(library.encode(x, add_special_tokens=False).ids) for x in texts[at : at + 10]]
+        assert len(own.kept) <= 50 and max(map(len, own.kept)) <= tokens.LONGEST_CACHED
+
+
+def test_long_runs_of_blanks(library):
+    own = tokens.encoder(tokens.tokenizer_path())
+    for text in (" " * 3_000_000 + "x", "\n" * 1_200_000 + "a b", "word " * 300_000, "y" * 500_000):
+        assert own.lengths([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
-def test_cut_is_safe(library):
-    text = "some words, and  double blanks\n and lines " * 5000
-    parts = list(tokens.cut(text, 1000))
-    assert "".join(parts) == text and len(parts) > 50
-    assert [i for p in parts for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+def test_batches_are_balanced_by_bytes():
+    runs = list(tokens.batches_of(["ä" * 10] * 100 + ["x" * 500], 100))
+    assert sum(map(len, runs)) == 101 and all(sum(len(x.encode()) for x in r) <= 100 or len(r) == 1 for r in runs) and len(runs) == 21
 
 
-def test_other_files_go_through_the_library():
+def test_other_files_take_whole_texts():
     own = tokens.encoder(tokens.tokenizer_path("word_bpe_49k.json"))
-    assert own.fast is None and own.lengths(["Hello there", ""])[1] == 0
+    assert not own.cuts and own.lengths(["Hello there", ""])[1] == 0
 
 
 def check(rows, ids):

@@ -99,8 +99,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         windows = Windows(width, open_windows, LEAST_PIECE, emit)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                for doc, text in zip(part.column(0).to_pylist(), text_of(part), strict=True):
-                    ids = memoryview(tok.ids(text) + end)
+                for doc, ids in zip(part.column(0).to_pylist(), tok.ids(text_of(part)), strict=True):
+                    ids = memoryview(ids + end)
                     total = len(ids) // 4
                     for start in range(0, total, width):
                         # a copy of the last piece, so that a window doesn't keep a long document alive
