@@ -182,3 +182,22 @@ def test_lm_pieces_have_no_false_ends(monkeypatch):
     assert 0 not in taught and len(taught) == lm.EPOCHS
     net.train([("a b", True, True)])
     assert taught.count(0) == lm.EPOCHS
+
+
+def test_language_of_repeated_texts(spark):
+    texts = [("en", f"the people of the land said number {i} and that was it") for i in range(5)] + [("fr", f"les gens de la maison ont dit {i} et que dans une") for i in range(5)]
+    rows = spark.range(60_000).selectExpr(f"element_at(array({', '.join(repr(x) for x, _ in texts)}), int(id % 10) + 1) lang", f"element_at(array({', '.join(repr(x) for _, x in texts)}), int(id % 10) + 1) text")
+    model = langid.learn(rows)
+    assert model.languages == ["en", "fr"] and model.predict(["the people of the land"])[0][0] == "en"
+
+
+def test_sample_is_bounded_and_whole_for_few(spark):
+    from pyspark.sql import functions as F
+
+    from weftgraph.llm.common import sample_texts
+
+    df = spark.range(40_000).selectExpr("if(id < 30000, 'same', concat('text ', id)) text", "if(id % 1000 = 0, 'few', 'many') kind")
+    rows = sample_texts(df, "text", 100, [F.length("text").alias("n")], F.col("kind"))
+    found = Counter(r.group for r in rows)
+    assert found["few"] == 11 and 60 <= found["many"] <= 200 and len({(r.group, r.mark) for r in rows}) == len(rows)
+    assert sample_texts(df.where("false"), "text", 100, []) == []

@@ -4,6 +4,7 @@ import io
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm import common, media, pii, warc
+from weftgraph.llm import common, media, pii, rnn, warc
 
 
 @settings(max_examples=100, deadline=None)
@@ -159,17 +160,60 @@ def test_tagger_adds_other_writings(documents):
     assert all(not whole for _, whole in tagger.find(clean))
 
 
+def best_path(tr, scores, begins=True, ends=True):
+    """Plain Viterbi over one sequence (steps, 3)."""
+    best = [float(scores[0][k]) + (-1e4 * (k == pii.IN) if begins else float(tr[pii.OUT, k])) for k in range(3)]
+    back = []
+    for row in scores[1:]:
+        step = [max(range(3), key=lambda i, k=k: best[i] + tr[i, k]) for k in range(3)]
+        best = [best[step[k]] + tr[step[k], k] + row[k] for k in range(3)]
+        back.append(step)
+    if not ends:
+        best = [best[k] + tr[k, pii.OUT] for k in range(3)]
+    path = [max(range(3), key=best.__getitem__)]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return path[::-1]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     tagger = pii.Tagger({"tr": rng.normal(size=(3, 3)).astype(np.float32)})
-    scores = rng.normal(size=(6, 3, 4)).astype(np.float32)
-    tags = tagger.decode(scores)
-    from itertools import product
-
-    for k in range(4):
-        value = lambda p, k=k: sum(scores[t, p[t], k] for t in range(6)) + sum(tagger.w["tr"][p[t - 1], p[t]] for t in range(1, 6))
-        best = max((p for p in product(range(3), repeat=6) if p[0] != pii.IN), key=value)
-        assert tuple(tags[:, k]) == best
+    sizes = np.array([6, 1, 9, 3, 6])
+    scores = rng.normal(size=(25, 3)).astype(np.float32)
+    begins, ends = np.array([True, False, True, False, False]), np.array([True, False, False, True, False])
+    tags = np.split(tagger.decode(scores, sizes, begins, ends), np.cumsum(sizes)[:-1])
+    for got, rows, x, y in zip(tags, np.split(scores, np.cumsum(sizes)[:-1]), begins, ends, strict=True):
+        assert got.tolist() == best_path(tagger.w["tr"], rows, x, y)
+
+
+@pytest.mark.parametrize("lean", [0, 1, 4])
+def test_windows_are_reconciled_over_the_whole_text(lean):
+    rng = np.random.default_rng(lean)
+    w = pii.lstm_weights(rng, pii.SYMBOLS, pii.HIDDEN, "f") | pii.lstm_weights(rng, pii.SYMBOLS, pii.HIDDEN, "b")
+    w |= {"o": rng.normal(0, 2, (3, 2 * pii.HIDDEN)).astype(np.float32), "c": np.array([[lean], [0], [0]], np.float32), "tr": rng.normal(0, 0.5, (3, 3)).astype(np.float32)}
+    tagger = pii.Tagger(w)
+    texts = ["".join(rng.choice(list("ab 1@.x"), n)) for n in (700, 1, 0, 209, 208, 5)]
+    for text, got in zip(texts, tagger.tags(texts), strict=True):
+        if text:
+            symbols = pii.symbols_of(text)
+            _, start, low, high = rnn.windows(np.array([len(text)]), pii.CORE, pii.CONTEXT)
+            e = tagger.emissions(*rnn.framed(symbols, start, low, high, pii.CORE, pii.CONTEXT, pii.PAD))[pii.CONTEXT : pii.CONTEXT + pii.CORE]
+            assert got.tolist() == best_path(w["tr"], e.transpose(2, 0, 1).reshape(-1, 3)[: len(text)])
+
+
+def test_long_written_addresses_count():
+    host = ".".join(["part"] * 40)
+    assert pii.kind_of(f"name [at] {host}") == "email" and len(host) > 120
+    assert pii.kind_of(" " * 100_000 + "x") is None
+
+
+def test_many_spans_are_linear(documents):
+    tagger = pii.train([r.text for r in documents.limit(50).collect()], steps=20)
+    text = "a.b@example.com 10.2.3.4 and " * 20_000
+    began = time.perf_counter()
+    base, whole = tagger.find([text])[0]
+    assert len(base) == 40_000 and len(whole) >= 40_000 and time.perf_counter() - began < 60
 
 
 def test_crf_gradient():

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 """Text bytes that one inner batch of an Arrow function holds; a longer text is a batch of its own."""
@@ -82,3 +83,24 @@ def per_slice(docs: DataFrame, text_col: str, make) -> DataFrame:
                 yield change(part)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def sample_texts(df: DataFrame, text_col: str, most: int, pieces: list[Column], group: Column | None = None, groups: int = 256) -> list[Row]:
+    """Of the distinct texts of each group about ``most``, chosen by a hash of the text: rows (group, mark, *pieces).
+
+    A group with no more distinct texts than that gives all of them, and none has a row twice, however often its texts
+    repeat. Only the ``groups`` with the most distinct texts are taken; never more than 2 x most x groups rows come to the
+    driver. Rows without a text or group are passed over. pieces: columns of the text alone.
+    """
+    mark = F.xxhash64(text_col)
+    texts = df.where(F.col(text_col).isNotNull()).withColumn("group", F.lit("") if group is None else group).where("group is not null")
+    sizes = texts.groupBy("group").agg(F.approx_count_distinct(mark, 0.02).alias("n")).orderBy(F.desc("n"), "group").limit(groups).collect()
+    if not sizes:
+        return []
+    shares = {r.group: 1.1 * most / max(1, r.n) for r in sizes}
+    chance = F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53)
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("group")]
+    # the hash comes first, as a group may be dear to tell
+    picked = texts.where(chance < max(shares.values())).where(chance < F.coalesce(share, F.lit(0.0)))
+    picked = picked.select("group", mark.alias("mark"), *pieces).dropDuplicates(["group", "mark"])
+    return picked.orderBy("group", "mark").limit(2 * most * len(sizes)).collect()

@@ -14,16 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, per_slice, table
+from .common import byte_slices, per_slice, sample_texts, table
 from .rnn import F32, Adam, framed, gru_back, gru_step, gru_weights, softmax, windows
 
 HIDDEN, CORE, CONTEXT, PAD, BATCH = 12, 224, 16, 256, 1536
 PER_LANGUAGE, SNIPPET, STEPS = 1_024, 96, 260
-"""Training takes about PER_LANGUAGE snippets of SNIPPET bytes for each language, chosen by a hash, and STEPS batches."""
+"""Training takes snippets of SNIPPET bytes of about PER_LANGUAGE distinct texts of each language, chosen by a hash, and
+STEPS batches."""
+LANGUAGES = 256
+"""The languages with the most distinct texts that are learned."""
 UNKNOWN = "und"
-MOST_BROADCAST = 4_096
-LEAST_SCORE = 0.3
-"""Below this share no language is taken to be found; with four languages chance alone gives a quarter."""
+LEAST_SCORE = 1.25
+"""A language is taken to be found from this multiple of chance on, which is one part in as many as there are languages."""
 
 
 class Model:
@@ -143,25 +145,23 @@ def remainder(id_col: Column, by: int) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the rows of docs with a language and a letter, from a sample of about per_language snippets each.
+    """A model of the rows of docs with a language and a letter, from a snippet of about per_language texts of each.
 
-    The sample is bounded by per_language x SNIPPET bytes x languages; a hash of the text chooses rows and places.
+    The sample is one of distinct texts, bounded by 2 x per_language x LANGUAGES snippets; it has all texts of a language
+    with few. Null languages and texts are passed over; with no rows left the model knows no language.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    share = materialize(known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")), "languages")
-    if share.count() <= MOST_BROADCAST:  # else a join by language, which has as many keys as that
-        share = F.broadcast(share)
-    mark = F.xxhash64("text")
-    chance = (F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53)).alias("chance")
-    kept = known.withColumn("mark", mark).withColumn("chance", chance).join(share, "lang").where("chance < share")
-    place = F.pmod(F.col("mark"), F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1).cast("int") + 1
-    rows = kept.select("lang", F.substring("text", place, F.lit(SNIPPET)).alias("text")).collect()
-    rows = sorted((r.lang, r.text.encode()[:SNIPPET]) for r in rows)
-    return train([(k, v) for k, v in rows if v])
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64(text_col), F.greatest(F.length(text_col) - SNIPPET, F.lit(0)) + 1).cast("int") + 1
+    rows = sample_texts(known, text_col, per_language, [F.substring(text_col, place, F.lit(SNIPPET)).alias("piece")], F.col(lang_col).cast("string"), LANGUAGES)
+    return train([(r.group, x) for r in rows if (x := r.piece.encode()[:SNIPPET])])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, lang_pred, score. Null, empty and letterless texts: 'und', 0. Ids may be null or repeat."""
+    """One row per row of docs: id, lang_pred, score. Null, empty and letterless texts: 'und', 0.
+
+    Of equal probabilities the language first by name is told. Ids may be null or repeat, equal texts get equal results,
+    other columns aren't read, and an empty table gives no rows.
+    """
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w))  # of fixed size
 
@@ -176,10 +176,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter and a language of at least that score.
+    """The rows of docs, all columns, whose text has a letter and a language of at least ``least`` times chance.
 
-    Where nothing was learned, for want of labels, a letter is enough.
+    Where nothing or a single language was learned, for want of labels, a letter is enough. Null, empty and letterless
+    texts go; each row is judged by its text alone, so repeated rows stay or go together. Any other column may be null
+    or have any name. An empty table gives no rows.
     """
+    least = min(0.9, least / max(1, len(model.languages)))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w))
 
     def make():
@@ -187,7 +190,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text_c
 
         def change(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = part.column(text_col).to_pylist()
-            if not own.languages:
+            if len(own.languages) < 2:
                 return part.filter(pa.array([bool(x) and any(map(str.isalpha, x)) for x in texts], pa.bool_()))
             return part.filter(pa.array([k != UNKNOWN and p >= least for k, p in own.predict(texts)], pa.bool_()))
 

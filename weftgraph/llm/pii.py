@@ -1,13 +1,15 @@
 """PII (operator 9): patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans to theirs.
 
-The network reads a text in overlapping windows. Each window's characters get scores from both directions, the best
-tag sequence is decoded under the CRF's transitions, and windows are reconciled over the whole text: a character takes
-its tag from the window in whose core it lies, and spans are read off the joined tags. Tags don't name a kind; the kind
-of an added span is the one whose form it has once its writing is undone, and a span that has none is let go.
+The network reads a text in overlapping windows, and each character gets its scores from the window in whose core it
+lies, with context on either side. The scores of all windows are reconciled over the whole text by one Viterbi pass under
+the CRF's transitions: characters whose score for "outside" is above all that transitions could make up for are outside
+in the best sequence, and the runs between them are decoded exactly, however many windows they cross. Tags don't name a
+kind; the kind of an added span is the one whose form it has once its writing is undone, and a span without one is let go.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, per_slice, table, text_of
+from .common import byte_slices, per_slice, sample_texts, table, text_of
 from .rnn import F32, Adam, framed, lstm_back, lstm_step, lstm_weights, windows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,7 +33,7 @@ HIDDEN, CORE, CONTEXT, BATCH = 8, 208, 24, 1536
 OUT, BEGIN, IN = range(3)
 STEPS, SNIPPET, TRAIN_BATCH = 220, 96, 96
 SAMPLE_DOCS = 2_048
-"""Training takes snippets of about SAMPLE_DOCS documents, chosen by a hash, half of them with a base span."""
+"""Training takes snippets of about SAMPLE_DOCS distinct texts, chosen by a hash, half of them with what may be a span."""
 
 
 def luhn(digits: str) -> bool:
@@ -79,16 +81,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # What a writer may put for a character of an address, and how it is undone.
-AT = re.compile(r"\s*(?:\(at\)|\[at\]|\{at\})\s*|\s+at\s+", re.IGNORECASE)
-DOT = re.compile(r"\s*(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]|\(\.\))\s*|\s+dot\s+", re.IGNORECASE)
+AT = re.compile(r"\s{0,2}(?:\(at\)|\[at\]|\{at\})\s{0,2}|\s{1,2}at\s{1,2}", re.IGNORECASE)
+DOT = re.compile(r"\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]|\(\.\))\s{0,2}|\s{1,2}dot\s{1,2}", re.IGNORECASE)
 
 
 def kind_of(written: str) -> str | None:
     """The kind whose form a span has when its writing is undone."""
-    if len(written) > 120:
-        return None
     plain = DOT.sub(".", AT.sub("@", written))
-    if re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", plain):
+    if re.fullmatch(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+", plain):
         return "email"
     if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain) and all(int(x) <= 255 for x in plain.split(".")):
         return "ip"
@@ -113,7 +113,7 @@ SYMBOLS, LETTER, OTHER, PAD = 129, 127, 126, 128
 def symbols_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     low = symbol_table()[np.minimum(points, 127)]
-    return np.where(points < 127, low, np.where(points >= 0xC0, LETTER, OTHER))
+    return np.where(points < 127, low, np.where(points >= 0xC0, LETTER, OTHER)).astype(np.uint8)
 
 
 class Tagger:
@@ -141,46 +141,61 @@ class Tagger:
             out[t] += w["c"]
         return out
 
-    def decode(self, scores: np.ndarray) -> np.ndarray:
-        """The best tags, (time, window), by Viterbi over all windows at once."""
-        steps, _, n = scores.shape
-        tr = self.w["tr"]
-        best = scores[0].copy()
-        best[IN] -= F32(1e4)
-        back = np.empty((steps, 3, n), np.int8)
-        for t in range(1, steps):
-            new = np.empty_like(best)
-            for to in range(3):
-                top, arg = best[OUT] + tr[OUT, to], np.zeros(n, np.int8)
-                for k in (BEGIN, IN):
-                    other = best[k] + tr[k, to]
-                    more = other > top
-                    arg[more] = k
-                    np.maximum(top, other, out=top)
-                back[t, to], new[to] = arg, top
-            best = new + scores[t]
-        tags = np.empty((steps, n), np.int8)
-        tags[-1] = best.argmax(axis=0)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = np.take_along_axis(back[t], tags[t][None].astype(np.int64), axis=0)[0]
+    def decode(self, scores: np.ndarray, sizes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The best tags of runs that lie one after the other in scores (m, tag), by Viterbi over all runs side by side.
+
+        begins, ends: whether a run is where its text begins or ends; before and after any other run all is outside.
+        """
+        tr, tags = self.w["tr"], np.empty(len(scores), np.int8)
+        order = np.argsort(-sizes, kind="stable")
+        sizes, start = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        first = np.where(begins[order], np.array([[0], [0], [-1e4]], F32), tr[OUT][:, None])
+        last = np.where(ends[order], F32(0), tr[:, OUT][:, None])
+        best = scores[start].T + first
+        back = []
+        live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]) + 1)] if len(sizes) else []  # runs longer than t
+        for t in range(1, len(live) - 1):
+            n = live[t]
+            ways = best[:, None, :n] + tr[:, :, None]
+            back.append(ways.argmax(axis=0).astype(np.int8))
+            best[:, :n] = ways.max(axis=0) + scores[start[:n] + t].T
+        tag = (best + last).argmax(axis=0)
+        for t in range(len(live) - 2, -1, -1):
+            n = live[t]
+            tags[start[:n] + t] = tag[:n]
+            if t:
+                tag[:n] = np.take_along_axis(back[t - 1], tag[None, :n], axis=0)[0]
         return tags
 
     def tags(self, texts: list[str]) -> list[np.ndarray]:
-        """A tag for each code point of each text."""
-        sizes = np.array([len(x) for x in texts])
+        """A tag for each code point of each text: the best sequence over the whole text."""
+        sizes = np.array([len(x) for x in texts], np.int64)
         total = int(sizes.sum())
-        if not total:
-            return [np.zeros(0, np.int8) for _ in texts]
-        symbols = symbols_of("".join(texts))
         joined = np.zeros(total, np.int8)
-        _, start, low, high = windows(sizes, CORE, CONTEXT)
-        for at in range(0, len(start), BATCH):
-            part = slice(at, at + BATCH)
-            x, inside = framed(symbols, start[part], low[part], high[part], CORE, CONTEXT, PAD)
-            tags = self.decode(self.emissions(x, inside))[CONTEXT : CONTEXT + CORE]
-            place = start[part][None, :] + np.arange(CORE)[:, None]
-            own = inside[CONTEXT : CONTEXT + CORE]
-            joined[place[own]] = tags[own]
+        if total:
+            symbols = symbols_of("".join(texts))
+            # Where OUT leads by this much, any run of other tags would lose more than its transitions can win.
+            margin = 2 * float(self.w["tr"].max() - self.w["tr"].min())
+            _, start, low, high = windows(sizes, CORE, CONTEXT)
+            places, found = [], []
+            for at in range(0, len(start), BATCH):
+                part = slice(at, at + BATCH)
+                x, inside = framed(symbols, start[part], low[part], high[part], CORE, CONTEXT, PAD)
+                scores = self.emissions(x, inside)[CONTEXT : CONTEXT + CORE]
+                open_ = inside[CONTEXT : CONTEXT + CORE] & (scores[:, OUT] - np.maximum(scores[:, BEGIN], scores[:, IN]) <= margin)
+                t, window = np.nonzero(open_)
+                places.append(start[part][window] + t)
+                found.append(scores[t, :, window])
+            place = np.concatenate(places)
+            order = np.argsort(place)
+            place, scores = place[order], np.concatenate(found)[order]
+            if len(place):
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                text = np.searchsorted(edges, place, side="right")
+                new = np.append(True, (np.diff(place) > 1) | (np.diff(text) > 0))
+                at = np.flatnonzero(new)
+                runs = np.diff(np.append(at, len(place)))
+                joined[place] = self.decode(scores, runs, np.isin(place[at], edges), np.isin(place[at + runs - 1] + 1, edges))
         return np.split(joined, np.cumsum(sizes)[:-1])
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
@@ -202,20 +217,34 @@ class Tagger:
         out = []
         for text, found in zip(texts, self.spans(texts), strict=True):
             base = base_spans(text)
-            whole = list(base)
+            whole, taken = list(base), _united(base)
             for a, b in found:
                 while a < b and text[a].isspace():
                     a += 1
                 while a < b and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
                     b -= 1
                 kind = kind_of(text[a:b]) if a < b else None
-                if kind and all(b <= x or a >= y for _, x, y in whole):
+                at = bisect.bisect_left(taken[1], a + 1)  # the first taken stretch that ends after a
+                if kind and (at == len(taken[0]) or taken[0][at] >= b):
                     whole.append((kind, a, b))
             whole.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
             out.append((base, whole))
         return out
 
 
+def _united(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Where the union of spans begins and ends, stretch by stretch."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def rewritten(rng: np.random.Generator, kind: str, text: str) -> str:
     """A span in another writing, for training."""
     way = int(rng.integers(0, 3))
@@ -329,22 +358,24 @@ def _gradient(w: dict, x: np.ndarray, y: np.ndarray, inside: np.ndarray) -> dict
 
 
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> Tagger:
-    """A tagger of a sample: of about ``sample`` documents chosen by a hash, 512 characters around a digit or @ or anywhere."""
-    texts = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    n = texts.count()
-    mark = F.xxhash64("text")
-    chance = F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53)
-    hint = F.regexp_instr("text", F.lit(r"[0-9]{9}|[0-9]\.[0-9]|@|\+[0-9]"))
-    rate = F.when(hint > 0, 4.0 * sample / max(n, 1)).otherwise(0.5 * sample / max(n, 1))
-    place = F.greatest(F.when(hint > 0, hint - 200).otherwise(F.pmod(mark, F.greatest(F.length("text") - 512, F.lit(0)) + 1).cast("int")), F.lit(1))
-    rows = texts.where(chance < rate).select(F.substring("text", place, F.lit(512)).alias("text")).collect()
-    return train(sorted(r.text for r in rows))
+    """A tagger of a sample: of about ``sample`` distinct texts 512 characters around a digit or @, or anywhere.
+
+    Half of them have a digit or @ that may belong to a span, where there are as many. No more than twice the sample
+    comes to the driver, however often texts repeat. Null and empty texts are passed over; with no texts nothing is added.
+    """
+    hint = F.regexp_instr(text_col, F.lit(r"[0-9]{9}|[0-9]\.[0-9]|@|\+[0-9]"))
+    place = F.greatest(F.when(hint > 0, hint - 200).otherwise(F.pmod(F.xxhash64(text_col), F.greatest(F.length(text_col) - 512, F.lit(0)) + 1).cast("int")), F.lit(1))
+    texts = docs.select(text_col).where(F.col(text_col) != "")
+    rows = sample_texts(texts, text_col, sample // 2, [F.substring(text_col, place, F.lit(512)).alias("piece")], (hint > 0).cast("string"))
+    return train(sorted(r.piece for r in rows))
 
 
 def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, text, base and found: arrays of (kind, start, end) by kind and start.
 
-    Null and empty texts have none. Ids may be null or repeat. found holds base and what the tagger adds.
+    found holds base and what the tagger adds: spans of a kind's form that touch no base span. Spans of one kind don't
+    overlap; spans of two kinds may. Null and empty texts have none, long ones are searched whole. Ids may be null or
+    repeat, equal texts have equal spans, other columns aren't read, and an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(tagger.w)  # of fixed size
@@ -373,7 +404,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact_texts(docs: DataFrame, tagger: Tagger, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs, all columns, with [KIND] for each span in its texts; length_col, where there is one, follows the text."""
+    """docs, all columns, with [KIND] for each span in its texts; length_col, where there is one, follows the text.
+
+    Null texts stay null and empty ones empty, and a null length stays null. Repeated rows are changed alike, other columns
+    stay as they are under any name, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tagger.w)
 
     def make():
