@@ -138,6 +138,20 @@ def test_lm_is_a_distribution():
     assert math.isclose(sum(math.exp(p) for p in logp), 1.0, rel_tol=1e-5)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, documents):
+    docs = documents.select("doc_id", "text").limit(120)
+    one, two = ({r.doc_id: r.score for r in lm.score_texts(docs.repartition(n, "text"), docs.repartition(n)).collect()} for n in (2, 5))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-4) for k in one)
+
+
+def test_lm_words_beyond_the_longest(spark):
+    long = "x" * (lm.LONGEST_HOT + 1)
+    docs = spark.createDataFrame([(1, f"{long} a b"), (2, f"{long} {long} a")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lm.score_texts(docs, docs).collect()}
+    want = brute([(1, f"{long} a b"), (2, f"{long} {long} a")], [f"{long} a b", f"{long} {long} a"])
+    assert all((rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == want[i][:3] and math.isclose(rows[i].base_score, want[i][3], rel_tol=1e-9) for i in want)
+
+
 def test_lm_odd_rows(odd, empty):
     rows = lm.score_texts(odd, odd).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (2, 3, 6)} == {1}
@@ -179,9 +193,9 @@ def test_lm_pieces_have_no_false_ends(monkeypatch):
     real = lm.Network.outputs
     monkeypatch.setattr(lm.Network, "outputs", lambda self, hidden, target, grads=None: taught.extend(target.tolist()) or real(self, hidden, target, grads))
     net.train([("a b a b", False, False)])
-    assert 0 not in taught and len(taught) == lm.EPOCHS
+    assert 0 not in taught and len(taught) == lm.MOST_EPOCHS
     net.train([("a b", True, True)])
-    assert taught.count(0) == lm.EPOCHS
+    assert taught.count(0) == lm.MOST_EPOCHS
 
 
 def test_language_of_repeated_texts(spark):

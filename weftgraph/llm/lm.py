@@ -2,11 +2,14 @@
 
 Words are counted over all training documents. The VOCABULARY most frequent ones have weights of their own, in classes of
 about equal size by rank; all others make one more class, within which a word's probability is its add-one share of that
-class's count. Counts of the HOT most frequent words travel with the scoring function, as that many words are a bound;
-every other word of a document meets its count in a join, where no word has more than a HOT-th of all tokens.
+class's count. Counts of the HOT most frequent words travel with the scoring function, as that many words of bounded
+length are a bound; every other word of a document meets its count in a join, where no word of ordinary length has more
+than a HOT-th of all tokens.
 The biases of the output, and with them its unigram distribution, are set from the counts of the whole corpus. The
-weights are begun on pieces of about SAMPLE_DOCS documents chosen by a hash; then every partition goes on from there over
-all words of all of its training documents, the state carried from window to window, and the partitions' weights are averaged.
+weights are begun on pieces of about SAMPLE_DOCS documents chosen by a hash. Then shards of the training documents, dealt
+by a hash of id and text, go on from there, each over every word of its documents by truncated backpropagation with the
+state carried from window to window, and the shards' weights are averaged. The number of shards follows the number of
+training tokens, so neither the scores nor what is learned depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, table, text_of
+from .common import byte_slices, materialize, sample_texts, table, text_of
 from .langid import remainder
-from .rnn import F32, Adam, gru_back, gru_step, gru_weights
+from .rnn import F32, Adam, add_columns, gru_back, gru_step, gru_weights, sigmoid
 
 END = b""
-HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 2_048, 48, 256, 24
+HOT, LONGEST_HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 128, 2_048, 48, 256, 16
 WINDOW, LANES = 64, 512
 SAMPLE_DOCS, SNIPPET, EPOCHS, TRAIN_WINDOW, TRAIN_LANES = 2_048, 1_200, 3, 32, 128
+LEAST_STEPS, MOST_EPOCHS = 300, 8
+"""Where the sample is small it is gone through more often than EPOCHS times."""
 FLUSH = 200_000
-REFINE_WINDOW, REFINE_LANES, PARTS, FAN = 32, 256, 16, 32
-"""Words of a step and documents side by side as partitions go on training; how their weights are cut and averaged."""
+SHARD_TOKENS, REFINE_WINDOW, REFINE_LANES, PARTS, FAN = 1 << 22, 32, 512, 16, 32
+"""Tokens of a shard, words of a step and documents side by side in it; how weights are cut and averaged."""
 
 
 def tokens(text: str) -> list[bytes]:
@@ -80,22 +86,37 @@ class Lexicon:
     """Hot words by falling count, the first VOCABULARY of them with an id each; sums over the rest."""
 
     def __init__(self, hot: list[tuple[bytes, int]], n: int, v: int):
-        self.count = dict(hot)
+        self.code = {w: i for i, (w, _) in enumerate(hot)}
+        self.counts = np.array([c for _, c in hot], np.float64)
+        self.logs = np.log10(self.counts + 1)
         self.n, self.v = n, v
-        self.ids = {w: i for i, (w, _) in enumerate(hot[:VOCABULARY])}
-        self.size = len(self.ids)
+        self.size = min(VOCABULARY, len(hot))
         self.classes = min(CLASSES, max(1, self.size))
         self.bounds = [self.size * k // self.classes for k in range(self.classes + 1)]
         self.class_of = np.repeat(np.arange(self.classes), np.diff(self.bounds)) if self.size else np.zeros(0, np.int64)
         self.class_of = np.append(self.class_of, self.classes)  # of all other words
-        own = sum(c for _, c in hot[: self.size])
+        own = int(self.counts[: self.size].sum())
         self.rest_n, self.rest_v = n - own, v - self.size
         self.symbols = self.size + SUFFIXES
+        self.symbol_of = np.array([i if i < self.size else self._suffix(w) for i, (w, _) in enumerate(hot)] + [0], np.int32)
 
-    def symbol(self, word: bytes) -> int:
-        """What the network reads: the id, or for another word a bucket of its last letters."""
-        i = self.ids.get(word)
-        return self.size + zlib.crc32(word[-3:]) % SUFFIXES if i is None else i
+    def _suffix(self, word: bytes) -> int:
+        return self.size + zlib.crc32(word[-3:]) % SUFFIXES
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per word its place among the hot ones, -1 for others, and its symbol: what the network reads.
+
+        That is its place in the vocabulary, or for a word beyond that a bucket of its last letters.
+        """
+        place = np.fromiter(map(self.code.get, words, repeat(-1)), np.int32, len(words))
+        symbols = self.symbol_of[place]
+        for i in np.flatnonzero(place < 0).tolist():
+            symbols[i] = self._suffix(words[i])
+        return place, symbols
+
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the symbols of a document, its end among them: what is read before each, and target ids."""
+        return np.append(self.read([END])[1], symbols[:-1]), np.minimum(symbols, self.size)
 
 
 class Network:
@@ -106,9 +127,9 @@ class Network:
     def new(cls, lexicon: Lexicon, seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
         w = gru_weights(rng, lexicon.symbols, HIDDEN, "g")
-        w["k"] = rng.normal(0, 0.1, (lexicon.classes + 1, HIDDEN)).astype(F32)
-        w["v"] = rng.normal(0, 0.1, (lexicon.size, HIDDEN)).astype(F32)
-        counts = np.array([lexicon.count[x] for x in lexicon.ids], np.float64) + 1
+        w["k"] = rng.normal(0, 0.02, (lexicon.classes + 1, HIDDEN)).astype(F32)
+        w["v"] = rng.normal(0, 0.02, (lexicon.size, HIDDEN)).astype(F32)
+        counts = lexicon.counts[: lexicon.size] + 1
         share = np.array([counts[a:b].sum() for a, b in zip(lexicon.bounds, lexicon.bounds[1:], strict=False)] + [lexicon.rest_n + lexicon.rest_v + 1.0])
         w["kb"] = np.log(np.maximum(share, 1e-9) / share.sum()).astype(F32)[:, None]
         w["vb"] = np.log(counts / counts.sum()).astype(F32)[:, None] if lexicon.size else np.zeros((0, 1), F32)
@@ -170,12 +191,15 @@ class Network:
             words = [END, *tokens(text)]
             words = words[0 if begins else 2 : None if ends else -2]
             if len(words) > 1:
-                rows.append((np.array([x.symbol(w) for w in words[:-1]]), np.array([x.ids.get(w, x.size) for w in words[1:]])))
+                symbols = x.read(words)[1]
+                rows.append((symbols[:-1], np.minimum(symbols[1:], x.size)))
         rows.sort(key=lambda r: len(r[1]))
         adam = Adam(self.w)
         rng = np.random.default_rng(3)
         groups = [rows[i : i + TRAIN_LANES] for i in range(0, len(rows), TRAIN_LANES)]
-        for epoch in range(EPOCHS):
+        steps = sum(-(-len(g[-1][1]) // TRAIN_WINDOW) for g in groups)
+        epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS // max(1, steps))))
+        for epoch in range(epochs):
             for g in rng.permutation(len(groups)):
                 group = groups[g]
                 longest = len(group[-1][1])
@@ -202,33 +226,63 @@ class Network:
                     back = np.zeros_like(h)
                     for t in range(len(xs) - 1, -1, -1):
                         back = gru_back(self.w, "g", back + dflat[:, t], saved[t], grads)
-                    adam.step(grads, 0.01 if epoch < EPOCHS - 1 else 0.003)
+                    adam.step(grads, 0.01 if epoch < epochs - 1 else 0.003)
 
     def learn_window(self, ins: np.ndarray, outs: np.ndarray, first: np.ndarray, h: np.ndarray, adam: Adam, rate: float) -> np.ndarray:
         """One step over a window (words, lanes) of symbols read and target ids, -1 for none; returns the state after it.
 
         Where first is set a document begins: there the state is 0 and no gradient passes.
         """
-        grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        saved, states = [], []
-        for t in range(len(ins)):
-            if first[t].any():
+        w, steps, lanes = self.w, *ins.shape
+        n = HIDDEN
+        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        begins = first.any(axis=1)
+        read = np.take(w["gx"], ins.ravel(), axis=1).reshape(3 * n, steps, lanes)
+        before, after = (np.empty((n, steps, lanes), F32) for _ in range(2))
+        saved = []
+        for t in range(steps):
+            if begins[t]:
                 h = h * ~first[t]
-            h, s = gru_step(self.w, "g", ins[t], h)
-            saved.append(s)
-            states.append(h)
+            before[:, t] = h
+            g = w["gu"] @ h
+            zr = sigmoid(read[: 2 * n, t] + g[: 2 * n])
+            inner = g[2 * n :]
+            inner += w["gn"]
+            cand = np.tanh(read[2 * n :, t] + zr[n:] * inner)
+            lead = h - cand
+            h = cand + zr[:n] * lead
+            after[:, t] = h
+            saved.append((zr, inner, cand, lead))
         y = outs.ravel()
         live = y >= 0
-        flat = np.stack(states, axis=1).reshape(HIDDEN, -1)
-        _, d = self.outputs(np.ascontiguousarray(flat[:, live]), y[live], grads)
-        dflat = np.zeros_like(flat)
-        dflat[:, live] = d
-        dflat = dflat.reshape(HIDDEN, *ins.shape)
+        flat = after.reshape(n, -1)
+        whole = live.all()
+        _, d = self.outputs(flat if whole else np.ascontiguousarray(flat[:, live]), y if whole else y[live], grads)
+        if not whole:
+            d, of_live = np.zeros_like(flat), d
+            d[:, live] = of_live
+        d = d.reshape(n, steps, lanes)
+        dx, dg = read, np.empty((3 * n, steps, lanes), F32)  # the gates' gradients by what was read, and by the state
         back = np.zeros_like(h)
-        for t in range(len(ins) - 1, -1, -1):
-            back = gru_back(self.w, "g", back + dflat[:, t], saved[t], grads)
-            if first[t].any():
-                back = back * ~first[t]
+        for t in range(steps - 1, -1, -1):
+            zr, inner, cand, lead = saved[t]
+            z, r = zr[:n], zr[n:]
+            dh = back + d[:, t]
+            dz = dh * z
+            dcand = (dh - dz) * (1 - cand * cand)
+            dx[:n, t] = dz * (1 - z) * lead
+            dr = dcand * r
+            dx[n : 2 * n, t] = dr * (1 - r) * inner
+            dx[2 * n :, t] = dcand
+            step = dg[:, t]
+            step[: 2 * n], step[2 * n :] = dx[: 2 * n, t], dr
+            back = dz + w["gu"].T @ np.ascontiguousarray(step)
+            if begins[t]:
+                back *= ~first[t]
+        dg = dg.reshape(3 * n, -1)
+        grads["gn"] += dg[2 * n :].sum(axis=1, keepdims=True)
+        grads["gu"] += dg @ before.reshape(n, -1).T
+        add_columns(grads["gx"], ins.ravel(), dx.reshape(3 * n, -1))
         adam.step(grads, rate)
         return h
 
@@ -315,11 +369,11 @@ class Network:
         return total
 
 
-def refine(network: Network, training: DataFrame) -> None:
-    """Goes on training over every word of every training document, wherever it lies, and averages what partitions learned.
+def refine(network: Network, training: DataFrame, n: int) -> None:
+    """Goes on training over every word of every training document (id, text), n tokens, and averages what shards learned.
 
-    Each partition begins with the same weights and takes steps over its own documents. The results, a megabyte each, are
-    averaged by their words, FAN at a time, in parts by place.
+    A shard begins with the same weights as any other and takes steps over its own documents, in the order of their
+    hashes. The results, a megabyte each, are averaged by their words, FAN at a time, in parts by place.
     """
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast((network.x, network.w))
@@ -327,14 +381,12 @@ def refine(network: Network, training: DataFrame) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, w = shared.value
         net = Network(lex, {k: v.copy() for k, v in w.items()})
-        ids, symbol = lex.ids, lex.symbol
 
         def documents() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for part in byte_slices(batch, "text"):
                     for text in text_of(part):
-                        words = tokens(text)
-                        yield np.array([symbol(x) for x in [END, *words[:-1]]], np.int32), np.array([ids.get(x, lex.size) for x in words], np.int32)
+                        yield lex.steps(lex.read(tokens(text))[1])
 
         seen = net.learn_all(documents(), 0.002)
         if seen:
@@ -344,6 +396,7 @@ def refine(network: Network, training: DataFrame) -> None:
 
     def mean(t: pa.Table) -> pa.Table:
         n, total = 0.0, None
+        t = t.sort_by("who")
         for share, v in zip(t.column("n").to_pylist(), t.column("v").to_pylist(), strict=True):
             v = np.frombuffer(v, F32).astype(np.float64) * share
             total = v if total is None else total + v
@@ -351,7 +404,9 @@ def refine(network: Network, training: DataFrame) -> None:
         return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([t.column("who")[0].as_py() // FAN], pa.int64()), pa.array([n]), pa.array([(total / n).astype(F32).tobytes()], pa.binary())], names=["part", "who", "n", "v"])
 
     schema = "part int, who long, n double, v binary"
-    learned = materialize(training.select("text").mapInArrow(run, schema), "weights")
+    mark = F.xxhash64("id", "text")
+    shards = training.select("text", mark.alias("mark")).repartition(max(1, -(-n // SHARD_TOKENS)), "mark").sortWithinPartitions("mark")
+    learned = materialize(shards.select("text").mapInArrow(run, schema), "weights")
     most = learned.agg(F.max("who")).first()[0]
     if most is None:
         return
@@ -371,33 +426,29 @@ def refine(network: Network, training: DataFrame) -> None:
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
     """One row per row of docs: id, n_tokens, n_known, train_tokens, base_score, score, from the rows of training.
 
-    Null and empty texts are the end alone. Repeated rows are scored each by itself, null ids too. With no training
-    documents every count is 0, and the scores are those of the add-one distribution over nothing but unknown words.
+    Null and empty texts are the end alone. Repeated rows are scored each by itself, null ids too; other columns aren't
+    read, and an empty table gives no rows. With no training documents every count is 0, and the scores are those of the
+    add-one distribution over nothing but unknown words.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    training = training.select(training[text_col].alias("text"))
+    training = training.select(training[id_col].alias("id"), training[text_col].alias("text"))
     counts = materialize(count_words(training).where("n > 0"), "words")
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    hot = counts.where(F.col("n") >= least_hot(counts)).collect()
+    short = counts.where(F.length("word") <= LONGEST_HOT)
+    hot = short.where(F.col("n") >= least_hot(short)).collect()
     lexicon = Lexicon(sorted(((bytes(r.word), r.n) for r in hot), key=lambda x: (-x[1], x[0])), n, v)
     network = Network.new(lexicon)
-    mark = F.xxhash64("text")
-    place = F.pmod(mark, F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1).cast("int") + 1
-    texts = training.where("text is not null")
-    rate = sample / max(1, texts.count())
-    picked = texts.where(F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53) < rate).select(F.substring("text", place, F.lit(SNIPPET)).alias("text"), (place == 1).alias("begins"), (place + SNIPPET > F.length("text")).alias("ends"))
-    network.train(sorted((r.text, r.begins, r.ends) for r in picked.collect()))
-    refine(network, training)
-    shared = spark.sparkContext.broadcast((lexicon, network.w))  # HOT words and weights of fixed size
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1).cast("int") + 1
+    pieces = [F.substring("text", place, F.lit(SNIPPET)).alias("piece"), (place == 1).alias("begins"), (place + SNIPPET > F.length("text")).alias("ends")]
+    network.train(sorted((r.piece, r.begins, r.ends) for r in sample_texts(training, "text", sample, pieces)))
+    refine(network, training, n)
+    shared = spark.sparkContext.broadcast((lexicon, network.w))  # HOT short words and weights of fixed size
     log_rest = np.log(lexicon.rest_n + lexicon.rest_v + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, w = shared.value
         net = Network(lex, w)
-        ids, count, symbol = lex.ids, lex.count, lex.symbol
-        logs = {x: float(np.log10(c + 1)) for x, c in count.items()}
-        start = symbol(END)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             keys, docs_, facts = [], [], []
@@ -405,20 +456,16 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                 words_row, words_word, words_n = [], [], []
                 for text in text_of(part):
                     words = tokens(text)
-                    targets = np.array([ids.get(x, lex.size) for x in words], np.int32)
-                    docs_.append((np.array([start, *map(symbol, words[:-1])], np.int32), targets))
-                    base = known = rest = 0.0
-                    for x, k in Counter(words).items():
-                        if (one := logs.get(x)) is None:
-                            words_row.append(row)
-                            words_word.append(x)
-                            words_n.append(k)
-                            continue
-                        base += k * one
-                        known += k
-                        if x not in ids:
-                            rest += k * one
-                    facts.append((row, len(words), int(known), base, rest, int((targets == lex.size).sum())))
+                    at, symbols = lex.read(words)
+                    docs_.append(lex.steps(symbols))
+                    hot = at[at >= 0]
+                    logs = lex.logs[hot]
+                    if len(hot) < len(at):
+                        others = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
+                        words_row += [row] * len(others)
+                        words_word += others.keys()
+                        words_n += others.values()
+                    facts.append((row, len(words), len(hot), float(logs.sum()), float(logs[hot >= lex.size].sum()), int((symbols >= lex.size).sum())))
                     row += 1
                 keys += part.column(0).to_pylist()
                 m = len(words_row)
