@@ -31,14 +31,15 @@ from .langid import remainder
 from .rnn import F32, Adam, add_columns, gru_back, gru_step, gru_weights, sigmoid
 
 END = b""
-HOT, LONGEST_HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 128, 2_048, 48, 256, 16
+HOT, LONGEST_HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 128, 1_024, 28, 256, 16
 WINDOW, LANES = 64, 512
 SAMPLE_DOCS, SNIPPET, EPOCHS, TRAIN_WINDOW, TRAIN_LANES = 2_048, 1_200, 3, 32, 128
 LEAST_STEPS, MOST_EPOCHS = 300, 8
 """Where the sample is small it is gone through more often than EPOCHS times."""
 FLUSH = 200_000
-SHARD_TOKENS, REFINE_WINDOW, REFINE_LANES, PARTS, FAN = 1 << 22, 32, 512, 16, 32
-"""Tokens of a shard, words of a step and documents side by side in it; how weights are cut and averaged."""
+SHARD_TOKENS, REFINE_WINDOW, LONGEST_WINDOW, REFINE_LANES, PARTS, FAN = 1 << 22, 32, 256, 512, 16, 32
+"""Tokens of a shard, words of a step (more where few documents are left) and documents side by side in it; how weights
+are cut and averaged."""
 
 
 def tokens(text: str) -> list[bytes]:
@@ -295,11 +296,12 @@ class Network:
         lanes: list[list] = [[np.zeros(0, np.int32), np.zeros(0, np.int32), 0] for _ in range(REFINE_LANES)]
         h = np.zeros((HIDDEN, REFINE_LANES), F32)
         while True:
-            ins, outs = np.zeros((REFINE_WINDOW, len(lanes)), np.int64), np.full((REFINE_WINDOW, len(lanes)), -1)
+            width = min(LONGEST_WINDOW, max(REFINE_WINDOW, REFINE_WINDOW * REFINE_LANES // (2 * len(lanes))))
+            ins, outs = np.zeros((width, len(lanes)), np.int64), np.full((width, len(lanes)), -1)
             first = np.zeros(ins.shape, bool)
             for k, lane in enumerate(lanes):
                 at = 0
-                while at < REFINE_WINDOW:
+                while at < width:
                     if lane[2] == len(lane[1]):
                         doc = next(docs, None) if more else None
                         if doc is None:
@@ -307,7 +309,7 @@ class Network:
                             break
                         lane[:] = *doc, 0
                         first[at, k] = True
-                    n = min(REFINE_WINDOW - at, len(lane[1]) - lane[2])
+                    n = min(width - at, len(lane[1]) - lane[2])
                     ins[at : at + n, k], outs[at : at + n, k] = (x[lane[2] : lane[2] + n] for x in lane[:2])
                     lane[2] += n
                     at += n
