@@ -31,7 +31,7 @@ from .langid import remainder
 from .rnn import F32, Adam, add_columns, gru_back, gru_step, gru_weights, sigmoid
 
 END = b""
-HOT, LONGEST_HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 65_536, 128, 1_024, 28, 256, 16
+HOT, LONGEST_HOT, VOCABULARY, CLASSES, SUFFIXES, HIDDEN = 131_072, 128, 1_024, 28, 256, 12
 WINDOW, LANES = 64, 512
 SAMPLE_DOCS, SNIPPET, EPOCHS, TRAIN_WINDOW, TRAIN_LANES = 2_048, 1_200, 3, 32, 128
 LEAST_STEPS, MOST_EPOCHS = 300, 8
