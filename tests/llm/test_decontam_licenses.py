@@ -54,11 +54,45 @@ def test_planted_leaks(spark, data, documents):
     assert left == {i for i, _ in rows + clean} - {i for i, _ in found}
 
 
-def test_blocks_agree(spark, data, documents, monkeypatch):
+def test_recall_against_all_pairs(spark, data, documents):
     benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
-    whole = sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(documents, benchmark).collect())
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
-    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(documents, benchmark).collect()) == whole
+    rng = random.Random(3)
+    vocabulary = [w for r in documents.limit(80).collect() for w in r.text.split()]
+    rows = [(r.doc_id, r.text) for r in documents.where("n_chars < 3000").limit(60).collect()]
+    for k, item in enumerate(benchmark.collect()):
+        for case, share in enumerate((0.1, 0.2, 0.3)):  # of the words changed
+            passage = [rng.choice(vocabulary) if rng.random() < share else w for w in item.text.split()]
+            rows.append((10_000 + 3 * k + case, " ".join(rng.sample(vocabulary, 40) + passage + rng.sample(vocabulary, 40))))
+        half = item.text.split()
+        rows.append((20_000 + k, " ".join(rng.sample(vocabulary, 60) + half[: len(half) * 2 // 3])))
+    items = [(r.item_id, decontam.words(r.text)) for r in benchmark.collect()]
+    want = {}
+    for i, text in rows:
+        text_words = decontam.words(text)
+        for item, own in items:
+            number = {w: k for k, w in enumerate(dict.fromkeys(own))}
+            score = decontam.smith_waterman(np.array([number[w] for w in own]), np.array([number.get(w, -1) for w in text_words]))[0]
+            if score >= decontam.LEAST_SCORE * decontam.MATCH * len(own):
+                want[i, item] = score / (decontam.MATCH * len(own))
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert len(want) > 60 and found.keys() <= want.keys() and len(found) >= 0.97 * len(want)
+    assert sum(abs(found[k] - want[k]) < 1e-9 for k in found) >= 0.97 * len(found)
+
+
+def test_seeds_are_rare(spark, data, documents):
+    benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
+    items = benchmark.selectExpr("item_id", "text item_text", "item_id item")
+    seeds = decontam.choose_seeds(documents.selectExpr("text", "xxhash64(text) mark"), items).collect()
+    grams = sum(max(1, len(decontam.words(r.text)) - 2) for r in benchmark.collect())
+    assert 0.2 * grams < len(seeds) < 0.7 * grams and {r.item for r in seeds} == {r.item_id for r in benchmark.collect()}
+
+
+def test_ids_of_any_type(spark):
+    text = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([("a-1", text), (None, "none of these words but some are here now")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", f"so {text} so"), ("x", f"so {text} so"), (None, "and none of these words but some are here now and")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), str(r.item_id), r.start_word, r.end_word) for r in decontam.find_leaks(docs, items).collect()) == [("None", "None", 1, 10), ("x", "a-1", 1, 11), ("x", "a-1", 1, 11)]
+    assert decontam.drop_leaks(docs, items).count() == 0
 
 
 def test_odd_rows(spark, odd, empty):
@@ -67,6 +101,7 @@ def test_odd_rows(spark, odd, empty):
     assert found == {(None, 1), (7, 4), (9, 5)}
     assert decontam.find_leaks(empty, items).count() == 0 and decontam.find_leaks(odd, items.limit(0)).count() == 0
     assert decontam.drop_leaks(odd, items).columns == odd.columns and decontam.drop_leaks(odd, items.limit(0)).count() == odd.count()
+    assert decontam.drop_leaks(empty, items).count() == 0 and {2, 3} <= {r.doc_id for r in decontam.drop_leaks(odd, items).collect()}
 
 
 @settings(max_examples=300, deadline=None)

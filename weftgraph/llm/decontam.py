@@ -1,28 +1,31 @@
 """Benchmark decontamination (operator 6): rare n-gram seeds, then Smith-Waterman alignment over words.
 
-The benchmark is a stated query set: it is read in blocks of at most BLOCK_BYTES of text, and each block meets all
-documents. The documents are never shuffled.
+The n-grams of the items are counted over all documents. Each stretch of an item gives its rarest n-gram as a seed, and
+seeds join documents to items by hash; only the texts of documents that share seeds with an item are aligned with it.
+Documents aren't shuffled but for those: filters of bounded size, one of all n-grams of the items and one of the seeds,
+tell tasks which of a document's n-grams to hand on. Nothing of the benchmark's size comes to the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, per_slice, table, text_of
+from .common import byte_slices, materialize, table, text_of
 
 NGRAM, COMMON = 3, 8
+STRETCHES, STRETCH = 16, 3
+"""An item gives a seed for each STRETCH of its n-grams, or for a shorter one where that would be under STRETCHES seeds."""
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 """Of the score of an item aligned with itself: about two thirds of its words in place, or half of it word for word."""
-BLOCK_BYTES = 16 << 20
+MOST_BITS = 1 << 27
 WORD = re.compile(r"\w+")
 
 
@@ -60,183 +63,197 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-class Items:
-    """A block of benchmark items, by number, and codes of their n-grams."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.keys = [k for k, _ in rows]
-        texts = [words(t or "") for _, t in rows]
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        self.base = len(self.vocabulary) + 1
-        self.items = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
-        self.seeds = np.zeros(0, np.int64)
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        self.least: list[int] = []
-
-    def numbers(self, text: str) -> np.ndarray:
-        """Word numbers, -1 for words that no item has."""
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
-
-    def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and codes of the n-grams whose words all are known; a shorter sequence is one n-gram."""
-        n = min(NGRAM, len(ids))
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ok = ids >= 0
-        for k in range(1, n):
-            ok = ok[:-1] & (ids[k:] >= 0)
-        at = np.flatnonzero(ok)
-        code = np.zeros(len(at), np.int64)
-        for k in range(NGRAM):
-            code = code * self.base + (ids[at + k] + 1 if k < n else 0)
-        return at, code
-
-    def short_codes(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For documents: also the codes of fewer words, where an item is that short."""
-        lengths = {len(x) for x in self.items if 0 < len(x) < NGRAM}
-        out = [self.codes(ids)] if len(ids) >= NGRAM else []
-        for n in lengths:
-            at = np.arange(max(0, len(ids) - n + 1))
-            ok = np.ones(len(at), bool)
-            for k in range(n):
-                ok &= ids[at + k] >= 0
-            at = at[ok]
-            code = np.zeros(len(at), np.int64)
-            for k in range(NGRAM):
-                code = code * self.base + (ids[at + k] + 1 if k < n else 0)
-            out.append((at, code))
+class Hashes(dict):
+    """A word's hash; those of late words are kept."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+    def grams(self, text_words: list[str], n: int = NGRAM) -> np.ndarray:
+        """A hash for each run of n words, in order, as signed longs."""
+        h = np.fromiter(map(self.__getitem__, text_words), np.uint64, len(text_words))
+        m = len(h) - n + 1
+        if m < 1:
+            return np.zeros(0, np.int64)
+        code = np.full(m, n, np.uint64)
+        for k in range(n):
+            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
+        code ^= code >> np.uint64(32)
+        return (code * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _slots(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = grams.view(np.uint64)
+    return x & np.uint64(bits - 1), (x >> np.uint64(36)) & np.uint64(bits - 1)
+
+
+class Filter:
+    """Of a table's grams two bits each, at most MOST_BITS in all: a gram that isn't there is let pass now and then."""
+
+    def __init__(self, grams: DataFrame, n: int):
+        self.bits = 1 << 16
+        while self.bits < min(MOST_BITS, 32 * n):
+            self.bits *= 2
+        low = self.bits - 1
+        slot = F.explode(F.array(F.col("gram").bitwiseAND(F.lit(low)), F.shiftrightunsigned("gram", 36).bitwiseAND(F.lit(low))))
+        held = grams.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+        self.held = np.zeros(self.bits // 64, np.int64)
+        self.held[held.column("at").to_numpy()] = held.column("bits").to_numpy()
+        self.held = self.held.view(np.uint64)
+
+    def may_hold(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones(len(grams), bool)
+        for slot in _slots(grams, self.bits):
+            out &= (self.held[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
-    def choose(self, counts: dict[int, int]) -> None:
-        """Seeds: of each item the n-grams that the corpus has no more than COMMON times as often as the item's median one.
-
-        A measure by the item itself: that a passage leaks often makes all its n-grams frequent, and none of them common.
-        """
-        for i, ids in enumerate(self.items):
-            at, code = self.codes(ids)
-            seen = np.array([counts.get(c, 0) for c in code.tolist()])
-            rare = np.flatnonzero(seen <= COMMON * max(1.0, np.median(seen))) if len(seen) else []
-            for j in rare:
-                self.places.setdefault(int(code[j]), []).append((i, int(at[j])))
-            self.least.append(1 if len(rare) < 10 else 2)
-        self.seeds = np.array(sorted(self.places), np.int64)
-
-    def find(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item number, score, first word, end) of the best alignment with each item whose score is high enough."""
-        ids = self.numbers(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, code in self.short_codes(ids):
-            where = np.searchsorted(self.seeds, code)
-            where[where == len(self.seeds)] = 0
-            for j in np.flatnonzero(self.seeds[where] == code) if len(self.seeds) else []:
-                for item, place in self.places[int(code[j])]:
-                    hits[item].append((int(at[j]) - place, int(at[j])))
-        out = []
-        for item, found in hits.items():
-            own = self.items[item]
-            n, best = len(own), (0, 0, 0)
-            found.sort()
-            k = 0
-            while k < len(found):
-                # hits on near diagonals make one passage; later hits may belong to the next
-                last = k
-                while last + 1 < len(found) and found[last + 1][0] - found[last][0] <= max(2, n // 4):
-                    last += 1
-                if len({p for _, p in found[k : last + 1]}) >= self.least[item]:
-                    low, high = max(0, found[k][0] - n // 2), min(len(ids), found[last][0] + n + n // 2)
-                    score, a, b = smith_waterman(own, ids[low:high])
-                    best = max(best, (score, -(low + a), low + b))
-                k = last + 1
-            score = best[0] / (MATCH * n)
-            if score >= LEAST_SCORE:
-                out.append((item, score, -best[1], best[2]))
-        return out
 
+def _item_grams(items: DataFrame) -> DataFrame:
+    """items: (item, item_text). (item, gram, place, words) of every n-gram; an item of fewer words is one."""
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in runs of at most BLOCK_BYTES."""
-    rows, held = [], 0
-    for row in benchmark.where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct().orderBy("item", "text").toLocalIterator():
-        if rows and held + len(row.text) > BLOCK_BYTES:
-            yield rows
-            rows, held = [], 0
-        rows.append((row.item, row.text))
-        held += len(row.text)
-    if rows:
-        yield rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for part in byte_slices(batch, "item_text"):
+                for item, text in zip(part.column("item").to_pylist(), text_of(part, "item_text"), strict=True):
+                    own = words(text)
+                    found = hashes.grams(own, max(1, min(NGRAM, len(own))))
+                    if len(found):
+                        m = len(found)
+                        yield pa.record_batch([pa.array(np.full(m, item)), pa.array(found), pa.array(np.arange(m)), pa.array(np.full(m, len(own)))], names=["item", "gram", "place", "words"])
 
+    return items.select("item", "item_text").mapInArrow(run, "item long, gram long, place long, words long")
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of docs and item whose passage it holds: id, item_id, score (0.5 to 1), start_word, end_word.
 
-    Null and empty documents and items match nothing; an item with several texts or rows gives a row for each of its
-    texts. Repeated documents are reported each time, null ids too. Either table may be empty: no rows.
-    """
-    kind = dict(docs.dtypes)[id_col]
-    spark = docs.sparkSession
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = []
-    for rows in _blocks(benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text].alias("text"))):
-        chosen = spark.sparkContext.broadcast(with_seeds(docs, rows))  # a block has a bounded size
-
-        def search(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
-            own = chosen.value
-            for batch in batches:
-                for part in byte_slices(batch, "text"):
-                    at, rest = [], []
-                    for i, text in enumerate(text_of(part)):
-                        for item, score, a, b in own.find(text):
-                            at.append(i)
-                            rest.append((own.keys[item], score, a, b))
-                    if at:
-                        cols = [pa.array(c, t) for c, t in zip(zip(*rest, strict=True), (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
-                        yield pa.record_batch([part.column(0).take(pa.array(at)), *cols], names=[id_col, "item_id", "score", "start_word", "end_word"])
-
-        found.append(docs.mapInArrow(search, f"`{id_col}` {kind}, item_id long, score double, start_word long, end_word long"))
-    if not found:
-        return spark.createDataFrame([], f"`{id_col}` {kind}, item_id long, score double, start_word long, end_word long")
-    return reduce(DataFrame.unionByName, found)
-
-
-def with_seeds(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
-    """A block of items with the seeds that all of docs (text) leave them."""
-    items = Items(rows)
-    known = np.unique(np.concatenate([items.codes(x)[1] for x in items.items] or [np.zeros(0, np.int64)]))
-    shared = docs.sparkSession.sparkContext.broadcast((items, known))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes = shared.value
-        total = np.zeros(len(codes), np.int64)
+def _gram_hits(texts: DataFrame, own: Filter, sizes: list[int], places: bool) -> DataFrame:
+    """texts: (text, mark). The grams of every text that the filter lets pass: (mark, gram, at), or (gram, n) by batch."""
+    shared = texts.sparkSession.sparkContext.broadcast(own)  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, hashes = shared.value, Hashes()
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                for text in text_of(part):
-                    for _, code in own.short_codes(own.numbers(text)):
-                        where = np.searchsorted(codes, code)
-                        where[where == len(codes)] = 0
-                        total += np.bincount(where[codes[where] == code], minlength=len(codes)) if len(codes) else 0
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(codes[seen]), pa.array(total[seen])], names=["code", "n"])
+                marks, grams, ats = [], [], []
+                for mark, text in zip(part.column("mark").to_pylist(), text_of(part), strict=True):
+                    text_words = words(text)
+                    for n in sizes:
+                        found = hashes.grams(text_words, n)
+                        at = np.flatnonzero(mine.may_hold(found))
+                        if len(at):
+                            marks.append(np.full(len(at), mark))
+                            grams.append(found[at])
+                            ats.append(at)
+                if not grams:
+                    continue
+                gram = np.concatenate(grams)
+                if places:
+                    yield pa.record_batch([pa.array(np.concatenate(marks)), pa.array(gram), pa.array(np.concatenate(ats))], names=["mark", "gram", "at"])
+                else:
+                    gram, n = np.unique(gram, return_counts=True)
+                    yield pa.record_batch([pa.array(gram), pa.array(n)], names=["gram", "n"])
+
+    return texts.select("text", "mark").mapInArrow(run, "mark long, gram long, at long" if places else "gram long, n long")
+
+
+def choose_seeds(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, gram, place, words, seeds): of each stretch of an item the n-gram that is rarest in all texts.
+
+    One that the texts have over COMMON times as often as the item's median n-gram is none: a measure by the item itself,
+    as a passage that leaks often makes all its n-grams frequent, and none of them common.
+    """
+    grams = materialize(_item_grams(items), "grams")
+    facts = grams.agg(F.count("*").alias("n"), F.collect_set(F.least("words", F.lit(NGRAM))).alias("sizes")).first()
+    counts = _gram_hits(texts, Filter(grams, facts.n), sorted(facts.sizes), places=False).groupBy("gram").agg(F.sum("n").alias("n"))
+    seen = materialize(grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))), "seen")
+    whole = seen.groupBy("item").agg(F.expr("percentile(n, 0.5)").alias("median"), F.count("*").alias("all"))
+    run = F.greatest(F.lit(1), F.least(F.lit(STRETCH), F.floor(F.col("all") / STRETCHES)))
+    best = seen.join(whole, "item").groupBy("item", F.floor(F.col("place") / run).alias("stretch")).agg(F.min(F.struct("n", "gram", "place")).alias("best"), F.first("median").alias("median"), F.first("words").alias("words"))
+    best = best.where(F.col("best.n") <= COMMON * F.greatest("median", F.lit(1.0))).select("item", "best.gram", "best.place", "words")
+    return materialize(best.join(best.groupBy("item").agg(F.count("*").alias("seeds")), "item"), "seeds")
 
-    counts = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    items.choose({r.code: r.n for r in counts.collect()})  # at most the block's own n-grams
-    return items
 
+def align(own: list[str], text_words: list[str], hits: list[tuple[int, int]], least: int) -> tuple[float, int, int]:
+    """(score, first word, end) of the best alignment of an item with a text near hits: (place in the text, in the item).
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no passage of the benchmark: the documents find_leaks() names are gone."""
-    for rows in _blocks(benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text].alias("text"))):
-        chosen = docs.sparkSession.sparkContext.broadcast(with_seeds(docs.select(docs[text_col].alias("text")), rows))
+    Hits on near diagonals make one passage, which counts if ``least`` places of the item are among them.
+    """
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(own))}
+    a = np.array([vocabulary[w] for w in own], np.int64)
+    n, best = len(own), (0, 0, 0)
+    found = sorted((at - place, place) for at, place in hits)
+    k = 0
+    while k < len(found):
+        # later hits may belong to the next passage
+        last = k
+        while last + 1 < len(found) and found[last + 1][0] - found[last][0] <= max(2, n // 4):
+            last += 1
+        if len({p for _, p in found[k : last + 1]}) >= least:
+            low, high = max(0, found[k][0] - n // 2), min(len(text_words), found[last][0] + n + n // 2)
+            b = np.array([vocabulary.get(w, -1) for w in text_words[low:high]], np.int64)
+            score, start, end = smith_waterman(a, b)
+            best = max(best, (score, -(low + start), low + end))
+        k = last + 1
+    return best[0] / (MATCH * n), -best[1], best[2]
+
+
+def _matches(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """texts: (text, mark). (mark, item_id, item, score, start_word, end_word) of every text and item that score enough."""
+    items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text].alias("item_text")).where("item_text is not null").distinct()
+    items = materialize(items.withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "item_text")), "items")
+    seeds = choose_seeds(texts, items)
+    facts = seeds.agg(F.count("*").alias("n"), F.collect_set(F.least("words", F.lit(NGRAM))).alias("sizes")).first()
+    hits = _gram_hits(texts, Filter(seeds, facts.n), sorted(facts.sizes), places=True).dropDuplicates(["mark", "gram", "at"])
+    pairs = hits.join(seeds, "gram").groupBy("mark", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"), F.first("seeds").alias("seeds"))
+    least = F.when(F.col("seeds") < 10, 1).otherwise(2)
+    pairs = materialize(pairs.withColumn("least", least).where(F.size(F.array_distinct(F.col("hits.place"))) >= F.col("least")), "pairs")
+    held = texts.join(pairs.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, text_words = None, []
+        for batch in batches:
+            rows = []
+            for i, r in enumerate(batch.select(["mark", "hits", "least"]).to_pylist()):
+                if r["mark"] != last:
+                    last, text_words = r["mark"], words(batch.column("text")[i].as_py())
+                score, a, b = align(words(batch.column("item_text")[i].as_py()), text_words, [(x["at"], x["place"]) for x in r["hits"]], r["least"])
+                if score >= LEAST_SCORE:
+                    rows.append((r["mark"], batch.column("item")[i].as_py(), score, a, b))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["mark", "item", "score", "start_word", "end_word"])
+
+    met = pairs.join(held, "mark").join(items, "item").select("mark", "item", "text", "item_text", "hits", "least")
+    met = met.repartition("mark", "item").sortWithinPartitions("mark")
+    found = materialize(met.mapInArrow(run, "mark long, item long, score double, start_word long, end_word long"), "found")
+    return found.join(items.select("item", "item_id"), "item")
 
-        def make(chosen=chosen):
-            own = chosen.value
-            return lambda part: part.filter(pa.array([not own.find(x) for x in text_of(part, text_col)], pa.bool_()))
 
-        docs = per_slice(docs, text_col, make)
-    return docs
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per row of docs and item whose passage it holds: id, item_id, score (0.5 to 1), start_word, end_word.
 
+    Of equally good alignments the first by start_word's end is told. Null and empty documents and items match nothing; ids
+    of either table may be null and of any type; an item with several texts gives a row for each of them, and one that
+    repeats counts once. Repeated documents are reported each time. Either table may be empty: no rows. Other columns
+    aren't read.
+    """
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("mark", F.xxhash64("text"))
+    found = _matches(texts.select("text", "mark"), benchmark, item_col, item_text)
+    return texts.select("id", "mark").join(found, "mark").select(F.col("id").alias(id_col), "item_id", "score", "start_word", "end_word")
 
-def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no passage of the benchmark: the documents find_leaks() names are gone.
+
+    Rows are judged by their text alone, so repeated rows stay or go together; null and empty texts stay, an empty table
+    gives no rows, and with an empty benchmark all rows stay.
+    """
+    mark = "__leak_mark"
+    texts = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
+    gone = _matches(texts, benchmark, item_col, item_text).select(F.col("mark").alias(mark)).distinct()
+    return docs.withColumn(mark, F.xxhash64(text_col)).join(gone, mark, "left_anti").select(*docs.columns)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
