@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,22 @@ def test_recall_against_all_pairs(spark, data, documents):
     assert sum(abs(found[k] - want[k]) < 1e-9 for k in found) >= 0.97 * len(found)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aB_1é İΣσ\n.中\u0300²", max_size=12), max_size=5))
+def test_word_hashes(texts):
+    hashes, owner = decontam.word_hashes(texts)
+    own = [(i, w) for i, t in enumerate(texts) for w in decontam.words(t)]
+    assert owner.tolist() == [i for i, _ in own]
+    named = {}
+    for (_, w), h in zip(own, hashes.tolist(), strict=True):
+        assert named.setdefault(w, h) == h
+    assert len(set(named.values())) == len(named)
+    for n in (1, 2, 3):
+        code, of, place = decontam.grams(hashes, owner, n)
+        want = [(i, k) for i, t in enumerate(texts) for k in range(len(decontam.words(t)) - n + 1)]
+        assert list(zip(of.tolist(), place.tolist(), strict=True)) == want and len(code) == len(want)
+
+
 def test_seeds_are_rare(spark, data, documents):
     benchmark = spark.read.parquet(f"{data}/benchmark.parquet")
     items = benchmark.selectExpr("item_id", "text item_text", "item_id item")
@@ -122,6 +139,21 @@ def test_patience_of_equal_lists():
     ("RELEASED, under the\nmit license", ["MIT"]),
     ("this WORK is now licensed under the GNU General Public License, version 3 indeed", ["GPL-3.0"]),
     ("licensed under the Apache License, Version 2.0. and Licensed under CC BY-NC 4.0.", ["Apache-2.0", "CC-BY-NC-4.0"]),
+    ("Released under the BSD License.", []),
+    ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+    ("Licensed under CC BY 2.5.", []),
+    ("This work is licensed under the GNU General Public License, version 1.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+    ("This work is licensed under the GNU General Public License, version 2.1.", []),
+    ("This work is licensed under the GNU Library General Public License, version 2.", []),
+    ("Licensed under the Artistic License, Version 2.0.", ["Artistic-2.0"]),
+    ("Licensed under the Artistic License, Version 1.0.", []),
+    ("Licensed under the Educational Community License, Version 2.0.", []),
+    ("This program is made available under the terms of the Eclipse Public License, Version 2.0.", ["EPL-2.0"]),
+    ("This program is made available under the terms of the Eclipse Public License, Version 1.0.", []),
     ("a license to kill under the sun", []),
     ("", []),
 ])
@@ -129,6 +161,44 @@ def test_scan(text, names):
     assert [x[0] for x in licenses.Scanner().scan(text)] == names
 
 
+@pytest.mark.parametrize(("name", "text"), [x[:2] for x in licenses.FULL])
+def test_whole_texts(name, text):
+    rng = random.Random(name)
+    around = [f"w{i}" for i in range(300)]
+    edited = [w if rng.random() > 0.04 or w.lower().strip(",.") in ("apache", "2.0", "substantial", "portions") else "changed" for w in text.split()]
+    for passage in (text.split(), [w.upper() for w in text.split()], edited):
+        found = licenses.Scanner().scan(" ".join(around + passage + around))
+        if passage is not edited or name != "BSD-4-Clause" or found:
+            assert [x[0] for x in found] == [name] or passage is edited and not found, (name, found)
+            assert all(290 <= x[2] <= 330 for x in found)
+    assert [x[0] for x in licenses.Scanner().scan(" ".join([*text.split(), *around, *text.split()]))] == [name] * 2
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_patience_against_brute_force():
+    rng = random.Random(2)
+    for name, text, _ in licenses.FULL:
+        a = licenses.words(text)
+        b = [w if rng.random() > 0.08 else rng.choice(a) for w in a if rng.random() > 0.03]
+        found = len(licenses.patience(a, b))
+        assert 0.97 * common(a, b) <= found <= common(a, b), name
+
+
+def test_long_texts_of_licence_words_are_linear():
+    began = time.perf_counter()
+    found = licenses.Scanner().scan("Released under the MIT License. " * 8_000)
+    assert len(found) == 8_000 and time.perf_counter() - began < 20
+
+
 def test_scan_finds_every_line(documents):
     lines = ["released under the mit license", "licensed under the apache license", "gnu general public license", "licensed under cc by-nc 4.0"]
     want = sum(r.text.lower().count(x) for r in documents.collect() for x in lines)
@@ -137,3 +207,6 @@ def test_scan_finds_every_line(documents):
 
 def test_scan_of_odd_rows(odd, empty):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
+    line = odd.selectExpr("if(doc_id in (1, 4) or doc_id is null, concat(text, ' Released under the MIT License.'), text) text", "doc_id", "'clash' as license", "'clash' as coverage")
+    rows = licenses.scan_licenses(line).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "4", "None"] and {r.license for r in rows} == {"MIT"}

@@ -1,9 +1,14 @@
-"""License scans (operator 4): patience alignment of passages with licence templates."""
+"""License scans (operator 4): patience alignment of passages with licence texts and notices.
+
+A passage names a licence if enough of the form is aligned and the words that tell licences apart are: all of the form's
+own have to be aligned, and between the aligned ones of a notice no others may stand. So a licence that isn't known, or
+another version of one that is, stays unnamed.
+"""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,24 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import byte_slices, table, text_of
+from .license_texts import FREQUENT, FULL, TELLING, notices
 
 WORD = re.compile(r"\w+")
+NEXT_PART = re.compile(r"\.\d")
 LEAST_COVERAGE = 0.8
 
-# Notices by which works name their licence.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
-
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -79,68 +72,108 @@ def patience(a: list, b: list, a0: int = 0, b0: int = 0) -> list[tuple[int, int]
     return sorted((x + a0, y + b0) for x, y in found)
 
 
+class Form:
+    """A licence text, or a notice: where its telling words are, and how many of its infrequent words a passage has at least."""
+
+    def __init__(self, name: str, text: str, least: float, telling: frozenset[str] | set[str] | None):
+        self.name, self.words = name, words(text)
+        self.notice = telling is None
+        self.telling = frozenset(i for i, w in enumerate(self.words) if w in (TELLING if telling is None else telling))
+        self.marks = {w for w in self.words if w not in FREQUENT} or set(self.words)
+        missing = len(self.words) - int(np.ceil(least * len(self.words)))
+        self.need = max(1, sum(w in self.marks for w in self.words) - missing)
+        self.early = set(self.words[: missing + 1])  # an aligned passage begins with one of them
+        self.number = self.words[-1].isdigit()
+
+
 class Scanner:
+    """templates: texts by licence, instead of the known ones; they are taken as notices."""
+
     def __init__(self, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE):
         self.least = least
-        self.forms = [(name, words(text)) for name, texts in (templates or TEMPLATES).items() for text in texts]
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, form in self.forms for w in form))}
-        self.member = np.zeros((len(self.forms), len(self.vocabulary) + 1), bool)  # the last: any other word
-        for row, (_, form) in zip(self.member, self.forms, strict=True):
-            row[[self.vocabulary[w] for w in form]] = True
-        # A passage that covers enough of a form holds at least so many of the form's words.
-        self.need = [max(1, int(np.ceil(least * len(form)))) for _, form in self.forms]
+        if templates is None:
+            self.forms = [Form(name, text, least, None) for name, text in notices()]
+            self.forms += [Form(name, text, least, set(telling.split())) for name, text, telling in FULL]
+        else:
+            self.forms = [Form(name, text, least, None) for name, texts in templates.items() for text in texts]
+        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for form in self.forms for w in form.words if w in form.marks))}
+        self.member = np.zeros((len(self.forms), len(self.vocabulary)), bool)
+        for row, form in zip(self.member, self.forms, strict=True):
+            row[[self.vocabulary[w] for w in form.marks]] = True
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, coverage, first word, end) of passages, where forms contend the one with most matched words."""
+        """(licence, coverage, first word, end) of passages, where forms contend the one with most aligned words."""
+        low_text, spans = text.lower(), []
+
+        def goes_on(end: int) -> bool:
+            """Whether a number's next part follows the word before ``end``, as in 2.1 after 2."""
+            if not spans:
+                spans.extend(m.end() for m in WORD.finditer(low_text))
+            return bool(NEXT_PART.match(low_text, spans[end - 1]))
+
         text_words = words(text)
-        other, get = len(self.vocabulary), self.vocabulary.get
-        ids = np.array([get(w, other) for w in text_words], np.int64)
-        known = np.flatnonzero(ids != other)
-        if not len(known):
+        get = self.vocabulary.get
+        found = [(i, k) for i, w in enumerate(text_words) if (k := get(w)) is not None]
+        if not found:
             return []
+        at, ids = np.array(found, np.int64).T
+        # per form, its words up to each place: a form with too few in all has no passage
+        counts = self.member[:, ids]
         hits = []
-        for (name, form), row, need in zip(self.forms, self.member, self.need, strict=True):
-            at = known[row[ids[known]]]
-            if len(at) < need:
-                continue
-            width = 2 * len(form)
-            close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < width)
-            k = 0
-            while k < len(close):
-                last = k
-                while last + 1 < len(close) and at[close[last + 1]] - at[close[last]] <= 2:
+        for k in np.flatnonzero(counts.sum(axis=1) >= [form.need for form in self.forms]).tolist():
+            form = self.forms[k]
+            own, n = at[counts[k]], len(form.words)
+            close = np.flatnonzero(own[form.need - 1 :] - own[: len(own) - form.need + 1] < 2 * n)
+            j = 0
+            while j < len(close):
+                last = j
+                while last + 1 < len(close) and own[close[last + 1]] - own[close[last]] <= n:
                     last += 1
-                low, high = int(at[close[k]]), int(at[close[last] + need - 1]) + 1
-                hits += self._passages(name, form, text_words, low, high)
-                k = last + 1
-        hits.sort(key=lambda x: (-x[4], x[2], x[0]))
-        taken, out = [], []
+                low, high = max(0, int(own[close[j]]) - n), min(len(text_words), int(own[close[last] + form.need - 1]) + 1 + n)
+                hits += self._passages(form, text_words, low, high, goes_on)
+                j = last + 1
+        hits.sort(key=lambda x: (-x[4], -x[1], x[2], x[0]))
+        starts: list[int] = []
+        ends: list[int] = []
+        out = []
         for name, coverage, low, high, _ in hits:
-            if all(high <= a or low >= b for a, b in taken):
-                taken.append((low, high))
+            place = bisect_right(ends, low)  # taken passages don't overlap, so they end in the order they begin in
+            if place == len(starts) or starts[place] >= high:
+                starts.insert(place, low)
+                ends.insert(place, high)
                 out.append((name, coverage, low, high))
         return sorted(out, key=lambda x: x[2])
 
-    def _passages(self, name: str, form: list[str], text_words: list[str], low: int, high: int) -> list[tuple]:
-        """Alignments within [low, high): windows of twice the form, each beginning at a place of one of its words."""
-        found, at = [], low
+    def _passages(self, form: Form, text_words: list[str], low: int, high: int, goes_on) -> list[tuple]:
+        """Alignments within [low, high): windows of twice the form, each beginning at one of its early words."""
+        found, at, n = [], low, len(form.words)
         while at < high:
-            window = text_words[at : min(high, at + 2 * len(form))]
-            pairs = patience(form, window)
-            if len(pairs) / len(form) >= self.least:
-                found.append((name, len(pairs) / len(form), at + pairs[0][1], at + pairs[-1][1] + 1, len(pairs)))
-                at += pairs[-1][1] + 1
-            else:
+            while at < high and text_words[at] not in form.early:
                 at += 1
-                while at < high and text_words[at] not in form[: max(1, len(form) - int(self.least * len(form)) + 1)]:
-                    at += 1
+            window = text_words[at : min(high, at + 2 * n)]
+            if sum(w in form.marks for w in window) >= form.need:
+                pairs = patience(form.words, window)
+                if len(pairs) / n >= self.least and self._told(form, window, pairs) and not (form.number and goes_on(at + pairs[-1][1] + 1)):
+                    found.append((form.name, len(pairs) / n, at + pairs[0][1], at + pairs[-1][1] + 1, len(pairs)))
+                    at += pairs[-1][1]
+            at += 1
         return found
 
+    @staticmethod
+    def _told(form: Form, window: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether all telling words are aligned and, in a notice, no others stand between its words."""
+        if not form.telling <= {i for i, _ in pairs}:
+            return False
+        aligned = {k for _, k in pairs}
+        return not form.notice or not any(k not in aligned and window[k] in TELLING for k in range(pairs[0][1], pairs[-1][1]))
+
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """One row per passage: id, license, coverage (least to 1), start_word, end_word.
 
-    Null and empty texts have none; null ids and repeated rows are reported like others. An empty table gives no rows.
+    Passages of a row don't overlap: of those that contend the one with most aligned words stands, then the one with the
+    higher coverage, the earlier one and the name first in order. Null and empty texts have none, long ones are read
+    whole; null ids and repeated rows are reported like others, other columns aren't read, and an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
 
