@@ -8,12 +8,12 @@ tell tasks which of a document's n-grams to hand on. Nothing of the benchmark's
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,26 +63,47 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-class Hashes(dict):
-    """A word's hash; those of late words are kept."""
+BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of BASE and of its inverse, as many as the longest batch had characters
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
 
-    def grams(self, text_words: list[str], n: int = NGRAM) -> np.ndarray:
-        """A hash for each run of n words, in order, as signed longs."""
-        h = np.fromiter(map(self.__getitem__, text_words), np.uint64, len(text_words))
-        m = len(h) - n + 1
-        if m < 1:
-            return np.zeros(0, np.int64)
-        code = np.full(m, n, np.uint64)
-        for k in range(n):
-            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
-        code ^= code >> np.uint64(32)
-        return (code * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Which code points are matched by WORD."""
+    return np.array([c.isalnum() or c == "_" for c in map(chr, range(0x110000))])
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of each text, as words() cuts them, and the text's number; all texts are read as one array.
+
+    A word's hash is a polynomial of its characters, so it is a difference of sums that run over the whole array.
+    """
+    low = [x.lower() for x in texts]
+    whole = "\n".join(low)
+    points = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = len(points)
+    if len(_powers[0]) < n + 1:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+    edges = np.flatnonzero(np.diff(_word_characters()[points], prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
+    begins = np.cumsum([0, *(len(x) + 1 for x in low)])
+    return (sums[end] - sums[start]) * _powers[1][start], np.searchsorted(begins, start, side="right") - 1
+
+
+def grams(hashes: np.ndarray, owner: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, as signed longs, of each run of n words of one text, the text's number and the place in it."""
+    m = max(0, len(hashes) - n + 1)
+    code = np.full(m, n, np.uint64)
+    for k in range(n):
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(BASE) + hashes[k : k + m]
+    code ^= code >> np.uint64(32)
+    code = (code * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    whole = np.flatnonzero(owner[:m] == owner[n - 1 : n - 1 + m])
+    of = owner[whole]
+    return code[whole], of, whole - np.searchsorted(owner, of)
 
 
 def _slots(grams: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +136,15 @@ def _item_grams(items: DataFrame) -> DataFrame:
     """items: (item, item_text). (item, gram, place, words) of every n-gram; an item of fewer words is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for part in byte_slices(batch, "item_text"):
-                for item, text in zip(part.column("item").to_pylist(), text_of(part, "item_text"), strict=True):
-                    own = words(text)
-                    found = hashes.grams(own, max(1, min(NGRAM, len(own))))
-                    if len(found):
-                        m = len(found)
-                        yield pa.record_batch([pa.array(np.full(m, item)), pa.array(found), pa.array(np.arange(m)), pa.array(np.full(m, len(own)))], names=["item", "gram", "place", "words"])
+                hashes, owner = word_hashes(text_of(part, "item_text"))
+                size = np.bincount(owner, minlength=part.num_rows)
+                for n in range(1, NGRAM + 1):
+                    gram, of, place = grams(hashes, owner, n)
+                    mine = np.minimum(size[of], NGRAM) == n
+                    item = part.column("item").take(pa.array(of[mine]))
+                    yield pa.record_batch([item, pa.array(gram[mine]), pa.array(place[mine]), pa.array(size[of[mine]])], names=["item", "gram", "place", "words"])
 
     return items.select("item", "item_text").mapInArrow(run, "item long, gram long, place long, words long")
 
@@ -133,27 +154,19 @@ def _gram_hits(texts: DataFrame, own: Filter, sizes: list[int], places: bool) ->
     shared = texts.sparkSession.sparkContext.broadcast(own)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, hashes = shared.value, Hashes()
+        mine = shared.value
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                marks, grams, ats = [], [], []
-                for mark, text in zip(part.column("mark").to_pylist(), text_of(part), strict=True):
-                    text_words = words(text)
-                    for n in sizes:
-                        found = hashes.grams(text_words, n)
-                        at = np.flatnonzero(mine.may_hold(found))
-                        if len(at):
-                            marks.append(np.full(len(at), mark))
-                            grams.append(found[at])
-                            ats.append(at)
-                if not grams:
-                    continue
-                gram = np.concatenate(grams)
-                if places:
-                    yield pa.record_batch([pa.array(np.concatenate(marks)), pa.array(gram), pa.array(np.concatenate(ats))], names=["mark", "gram", "at"])
-                else:
-                    gram, n = np.unique(gram, return_counts=True)
-                    yield pa.record_batch([pa.array(gram), pa.array(n)], names=["gram", "n"])
+                hashes, owner = word_hashes(text_of(part))
+                for n in sizes:
+                    gram, of, place = grams(hashes, owner, n)
+                    kept = np.flatnonzero(mine.may_hold(gram))
+                    if places:
+                        mark = part.column("mark").take(pa.array(of[kept]))
+                        yield pa.record_batch([mark, pa.array(gram[kept]), pa.array(place[kept])], names=["mark", "gram", "at"])
+                    else:
+                        gram, seen = np.unique(gram[kept], return_counts=True)
+                        yield pa.record_batch([pa.array(gram), pa.array(seen)], names=["gram", "n"])
 
     return texts.select("text", "mark").mapInArrow(run, "mark long, gram long, at long" if places else "gram long, n long")
 
@@ -164,10 +177,10 @@ def choose_seeds(texts: DataFrame, items: DataFrame) -> DataFrame:
     One that the texts have over COMMON times as often as the item's median n-gram is none: a measure by the item itself,
     as a passage that leaks often makes all its n-grams frequent, and none of them common.
     """
-    grams = materialize(_item_grams(items), "grams")
-    facts = grams.agg(F.count("*").alias("n"), F.collect_set(F.least("words", F.lit(NGRAM))).alias("sizes")).first()
-    counts = _gram_hits(texts, Filter(grams, facts.n), sorted(facts.sizes), places=False).groupBy("gram").agg(F.sum("n").alias("n"))
-    seen = materialize(grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))), "seen")
+    found = materialize(_item_grams(items), "grams")
+    facts = found.agg(F.count("*").alias("n"), F.collect_set(F.least("words", F.lit(NGRAM))).alias("sizes")).first()
+    counts = _gram_hits(texts, Filter(found, facts.n), sorted(facts.sizes), places=False).groupBy("gram").agg(F.sum("n").alias("n"))
+    seen = materialize(found.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))), "seen")
     whole = seen.groupBy("item").agg(F.expr("percentile(n, 0.5)").alias("median"), F.count("*").alias("all"))
     run = F.greatest(F.lit(1), F.least(F.lit(STRETCH), F.floor(F.col("all") / STRETCHES)))
     best = seen.join(whole, "item").groupBy("item", F.floor(F.col("place") / run).alias("stretch")).agg(F.min(F.struct("n", "gram", "place")).alias("best"), F.first("median").alias("median"), F.first("words").alias("words"))
