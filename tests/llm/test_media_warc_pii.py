@@ -31,10 +31,42 @@ def test_media(spark, odd, empty, monkeypatch):
     for r in rows:
         p = media.pad(texts[r.doc_id].encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert r.media_sha256 == hashlib.sha256(media.to_image(p)).hexdigest()
         assert r.media_bytes == len(media.to_image(p)) and r.feature == media.feature(p)
     assert media.media_features(empty, common.new_path(spark, "media")).count() == 0
 
 
+def test_a_retry_that_succeeds(tmp_path, monkeypatch):
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    (tmp_path / "x").write_bytes(b"..member..")
+    opened = []
+
+    class Flaky:
+        """Fails at the first read, then gives a damaged one, then the right one."""
+
+        def open_input_file(self, name):
+            opened.append(name)
+            f = open(name, "rb")
+            real = f.read
+            if len(opened) == 1:
+                f = type("F", (), {"seek": f.seek, "read": lambda self, n: (_ for _ in ()).throw(OSError("lost"))})()
+            elif len(opened) == 2:
+                f = type("F", (), {"seek": f.seek, "read": lambda self, n: b"x" * len(real(n))})()
+            return f
+
+    data, _ = media.MediaReader._member(Flaky(), str(tmp_path / "x"), None, 2, 6, zlib.crc32(b"member"))
+    assert data == b"member" and len(opened) == 3
+
+
+def test_ranges_give_every_member_once(spark, odd, monkeypatch):
+    path = common.new_path(spark, "media")
+    n = media.write_archives(odd, path)
+    for size in (70, 1000, 1 << 20):
+        spark.dataSource.register(media.MediaArchives)
+        found = spark.read.format("media_archives").option("path", path).option("rangeBytes", str(size)).load() if size > 70 else media.read_archives(spark, path)
+        assert found.count() == n
+
+
 def test_damaged_member_is_told(spark, odd):
     path = common.new_path(spark, "media")
     assert media.write_archives(odd, path) == odd.count()
@@ -63,6 +95,15 @@ def test_warc(spark):
     assert all(r.record_type == "response" for r in warc.round_trip(pages, common.new_path(spark, "warc"), least=100).collect())
 
 
+def test_a_page_with_many_copies(spark, empty):
+    pages = spark.range(400).selectExpr("if(id % 50 = 7, null, id) page_id", "concat('u', id) url", "if(id % 3 = 0, 'hot page', concat('page ', id)) html", "'x' sha1", "'x' refers_to")
+    rows = warc.round_trip(pages, common.new_path(spark, "warc")).collect()
+    hot = [r for r in rows if r.payload_digest == base64.b32encode(hashlib.sha1(b"hot page").digest()).decode()]
+    assert len(rows) == 400 and len(hot) == 134 and [r.page_id for r in hot if r.record_type == "response"] == [0]
+    assert all(r.refers_to == 0 and r.payload_bytes == 8 for r in hot if r.record_type == "revisit")
+    assert warc.round_trip(pages.limit(0), common.new_path(spark, "warc")).count() == 0
+
+
 def test_warc_over_the_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r.page_id: r for r in warc.op8_warc(spark, data).collect()}

@@ -1,7 +1,9 @@
 import random
 
+import pyarrow.fs
+
 import corpus_pipeline
-from weftgraph.llm import pii
+from weftgraph.llm import common, pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,8 +38,23 @@ def test_stages(spark, data, tmp_path):
 
 
 def test_run(spark, data):
+    folder = common.open_fs(common.shared_dir(spark))
+    folder[0].create_dir(folder[1], recursive=True)
+    held = lambda: {x.path for x in folder[0].get_file_info(pyarrow.fs.FileSelector(folder[1]))}
+    before = held()
     out = corpus_pipeline.run(spark, data)
     assert out.count() > 0 and "sequence_id" in out.columns
+    assert [x.rsplit("/", 1)[-1].split("-")[0] for x in held() - before] == ["packing"]
+
+
+def test_stages_on_no_rows_and_odd_rows(spark, odd, empty, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs, none in ((empty, True), (odd, False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+            assert (out.count() == 0) == none
 
 
 def test_queries_are_registered():

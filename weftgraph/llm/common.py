@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,10 +37,37 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """Within it materialize() notes its tables; forget() of what it gives removes those noted so far but the ones named."""
+
+    class Made(list):
+        def forget(self, *but: str) -> None:
+            for path in [x for x in self if x not in but]:
+                fs, root = open_fs(path)
+                fs.delete_dir(root)
+                self.remove(path)
+
+    made = Made()
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and returns the table read back: lineage ends there, and a lost executor loses nothing."""
+    """Writes df to the shared folder and returns the table read back: lineage ends there, and a lost executor loses nothing.
+
+    A table is the caller's: what reads it may be asked for at any time, so nothing removes it but scratch().forget().
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    for made in _scopes:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

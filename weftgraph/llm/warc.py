@@ -21,9 +21,12 @@ SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 16_384, 64, 4_096
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 16
-LONGEST_RECORD = 1 << 30
+LONGEST_RECORD = 1 << 31
+"""What a binary value of a column may hold."""
 CRLF = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+LENGTH = "WARC-Payload-Length"
+"""A field of our own: the bytes of the payload, which a revisit doesn't hold."""
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -44,6 +47,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
         "WARC-Date": "2024-01-01T00:00:00Z",
         "WARC-Target-URI": _safe(url),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
+        LENGTH: str(len(payload)),
         "WARC-Block-Digest": f"sha1:{digest(block)}",
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
@@ -80,6 +84,8 @@ def parse(raw: bytes) -> dict:
     if found["warc-type"] == "response":
         if found.get("warc-payload-digest", f"sha1:{digest(payload)}") != f"sha1:{digest(payload)}":
             raise ValueError("the payload's digest differs")
+        if found.get(LENGTH.lower(), str(len(payload))) != str(len(payload)):
+            raise ValueError("the payload's length differs")
     elif payload:
         raise ValueError("a revisit with a payload")
     return {"headers": found, "payload": payload}
@@ -187,10 +193,10 @@ def _page(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under path: page_id, url, record_type, payload_digest, refers_to, payload_bytes, payload.
 
-    payload and payload_bytes are null for revisits. A record that doesn't hold raises ValueError.
+    A revisit has no payload; its payload_bytes are those that its header tells, null where it tells none. A record that
+    doesn't hold raises ValueError. Archives are listed and dealt to tasks by their sizes; a folder without any gives no rows.
     """
-    fs, root = open_fs(path)
-    names = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if x.path.endswith(".warc.zst"))
+    _, root = open_fs(path)
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -201,12 +207,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(name, compression=None) as stream:
+                with store.open_input_stream(name[name.index(root) :], compression=None) as stream:
                     for raw in frames(stream):
                         one = parse(raw)
                         head = one["headers"]
                         payload = one["payload"] if head["warc-type"] == "response" else None
-                        rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:"), _page(head.get("warc-refers-to")), None if payload is None else len(payload), payload))
+                        rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:"), _page(head.get("warc-refers-to")), int(head[LENGTH.lower()]) if payload is None and LENGTH.lower() in head else None if payload is None else len(payload), payload))
                         held += len(raw)
                         if held >= 4 << 20:
                             yield batch_of(rows)
@@ -214,7 +220,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return spark.createDataFrame([(x,) for x in names], "name string").repartition(max(1, len(names)), "name").mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long, payload binary")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(path).select("path")
+    return listed.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, refers_to long, payload_bytes long, payload binary")
 
 
 def round_trip(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
@@ -222,22 +229,20 @@ def round_trip(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
 
     Of the records with equal payloads of at least ``least`` bytes, those with the smallest page_id are responses and the
     others revisit that one. Null html is an empty payload. Rows with a null page_id are responses, unless another page
-    has their payload; repeated rows with the smallest page_id are responses all. An empty table gives no rows.
+    has their payload; repeated rows with the smallest page_id are responses all. An empty table gives no rows, and other
+    columns aren't read.
+
+    Roles are settled on ids and digests. The pages meet only those that are to be revisits, by id and digest, so a
+    payload that many pages have is no hot key; the archives are read once.
     """
-    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    key = F.sha1(F.coalesce("html", F.lit("")))
-    small = pages.select("page_id", key.alias("sha1"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least)
-    kept = small.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null").select("sha1", "refers_to")
-    # only pages that share a payload have a partner here, so this side is small where copies are few
-    joined = pages.withColumn("sha1", key).join(kept, "sha1", "left")
-    marked = joined.withColumn("revisit", F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    marked = marked.withColumn("refers_to", F.when(F.col("revisit"), F.col("refers_to")))
-    write_archives(marked, path)
-    found = read_archives(pages.sparkSession, path).drop("payload", "url")
-    whole = found.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("whole_bytes"))
-    revisits = found.where("record_type = 'revisit'").drop("payload_bytes").join(whole, F.col("payload_digest") == F.col("d")).withColumnRenamed("whole_bytes", "payload_bytes")
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return found.where("record_type = 'response'").select(columns).unionByName(revisits.select(columns))
+    pages = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"))
+    small = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least).select("page_id", "sha1")
+    first = small.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null").select("sha1", "refers_to")
+    again = small.join(first, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    again = again.select(F.col("page_id").alias("of"), F.col("sha1").alias("has"), "refers_to")
+    marked = pages.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha1") == F.col("has")), "left")
+    write_archives(marked.withColumn("revisit", F.col("refers_to").isNotNull()), path)
+    return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
