@@ -35,6 +35,8 @@ def test_ids_are_those_of_whole_texts(library):
     want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
     assert own.ids(texts) == want and own.lengths(texts) == [len(x) // 4 for x in want]
     assert own.ids(texts[::-1]) == want[::-1]  # now from what is kept
+    fast = tokens.Encoder(tokens.tokenizer_path(), core=True)
+    assert fast.core is not None and fast.ids(texts) == want
 
 
 def test_little_is_kept(library, monkeypatch):
@@ -47,9 +49,12 @@ def test_little_is_kept(library, monkeypatch):
 
 
 def test_long_runs_of_blanks(library):
-    own = tokens.encoder(tokens.tokenizer_path())
-    for text in (" " * 3_000_000 + "x", "\n" * 1_200_000 + "a b", "word " * 300_000, "y" * 500_000):
-        assert own.lengths([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    own, fast = (tokens.encoder(tokens.tokenizer_path(), core) for core in (False, True))
+    for text in (" " * 3_000_000 + "x", "\n" * 1_200_000 + "a b", "word " * 300_000, "a  b " * 100_000, "y" * 500_000, "some words, and  double blanks\n and lines <|endoftext|> " * 5000):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.lengths([text]) == [len(ids)] and fast.ids([text]) == [np.array(ids, "<u4").tobytes()]
+        parts = list(tokens.cut(text))
+        assert "".join(parts) == text and (max(map(len, parts)) <= tokens.LONG or " a" not in text)
 
 
 def test_batches_are_balanced_by_bytes():

@@ -83,7 +83,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, pid = encoder(path), TaskContext.get().partitionId()
+        tok, pid = encoder(path, core=True), TaskContext.get().partitionId()
         rows: list[tuple] = []
         count = 0
 
