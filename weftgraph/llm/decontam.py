@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, table, text_of
+from .common import byte_slices, if_small, materialize, table, text_of
 
 NGRAM, COMMON = 3, 8
 STRETCHES, STRETCH = 16, 3
@@ -222,7 +222,7 @@ def _matches(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text: s
     pairs = hits.join(seeds, "gram").groupBy("mark", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"), F.first("seeds").alias("seeds"))
     least = F.when(F.col("seeds") < 10, 1).otherwise(2)
     pairs = materialize(pairs.withColumn("least", least).where(F.size(F.array_distinct(F.col("hits.place"))) >= F.col("least")), "pairs")
-    held = texts.join(pairs.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+    held = texts.join(if_small(materialize(pairs.select("mark").distinct(), "marks")), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, text_words = None, []
@@ -265,6 +265,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     mark = "__leak_mark"
     texts = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
     gone = _matches(texts, benchmark, item_col, item_text).select(F.col("mark").alias(mark)).distinct()
+    gone = if_small(materialize(gone, "gone"))
     return docs.withColumn(mark, F.xxhash64(text_col)).join(gone, mark, "left_anti").select(*docs.columns)
 
 

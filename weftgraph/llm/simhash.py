@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, table, text_of
+from .common import byte_slices, if_small, materialize, table, text_of
 from .components import components
 
 SHINGLE, DISTANCE = 4, 4
@@ -326,7 +326,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 found = [shingles(x, shingle) for x in text_of(part)]
                 yield pa.record_batch([part.column("mark"), pa.array([x.tobytes() for x in found], pa.binary())], names=["mark", "shingles"])
 
-    found = texts.join(wanted.select("mark"), "mark", "left_semi").select("mark", "text").mapInArrow(run, "mark long, shingles binary")
+    wanted = materialize(wanted, "wanted")
+    found = texts.join(if_small(wanted.select("mark")), "mark", "left_semi").select("mark", "text").mapInArrow(run, "mark long, shingles binary")
     found = found.groupBy("mark").agg(F.first("shingles").alias("shingles"))
     return materialize(found.join(wanted, "mark").select("node", "shingles"), "sets")
 
@@ -486,12 +487,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = docs.withColumn(mark, F.xxhash64(text_col))
     found = _grouped(docs, id_col, text_col, STAGE_SHINGLE, SIMILARITY).select(F.col("id").alias("__simhash_key"), F.col("mark").alias(mark), (F.struct(F.col("id").isNull(), "id", "mark") == F.col("least")).alias("stays"))
     found = materialize(found, "similar")
+    # so that the texts need no shuffle where few rows go
     same = lambda other: keyed[id_col].cast("long").eqNullSafe(other["__simhash_key"]) & (keyed[mark] == other["__other"])
     gone = materialize(found.where("not stays").select("__simhash_key", F.col(mark).alias("__other")).distinct(), "gone")
     again = materialize(found.where("stays").groupBy("__simhash_key", mark).count().where("count > 1").select("__simhash_key", F.col(mark).alias("__other")), "again")
-    kept = keyed.join(gone, same(gone), "left_anti")
+    kept = keyed.join(if_small(gone), same(gone), "left_anti")
     if not again.isEmpty():
-        kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates([id_col, mark]))
+        kept = kept.join(if_small(again), same(again), "left_anti").unionByName(kept.join(if_small(again), same(again), "left_semi").dropDuplicates([id_col, mark]))
     return kept.select(*docs.columns)
 
 
