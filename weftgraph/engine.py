@@ -14,7 +14,7 @@ from .sources.index import VectorIndex, hashed_encoder
 from .sources.store import Store
 from .streaming import worker
 
-TOPIC_COMMANDS = {"registrations": "event-registers", "dispatchers": "event-dispatches", "subscribers": "subscribes", "state_readers": "state-reads", "state_writers": "state-writes"}
+TOPIC_COMMANDS = {"registrations": "topic-registers", "dispatchers": "event-dispatches", "subscribers": "subscribes", "state_readers": "state-reads", "state_writers": "state-writes"}
 # What a question of each shape sounds like.
 SHAPES = {"lookup": "where is this defined what is this function", "set": "list all available options kinds which are supported", "flow": "how does it flow from one step to another what happens when"}
 

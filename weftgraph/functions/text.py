@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no search term.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "does", "do", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "where", "which", "with")
+STOP_WORDS = ("a", "an", "and", "are", "before", "code", "does", "for", "from", "how", "in", "is", "it", "of", "or", "repository", "the", "to", "what", "where", "which", "with")
 
 
 def normalized_identifier(col: Column) -> Column:
@@ -68,8 +68,15 @@ def backoff(base: int, most: int, attempts: Column, shift: int = 20) -> Column:
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2), F.least(attempts, F.lit(shift)))).cast("long")
 
 
+# Segments of a path, and forms of a file name, that tell a source's role.
+TEST_SEGMENTS = ("test", "tests", "spec", "specs", "__tests__")
+GENERATED_SEGMENTS = ("generated", "gen", "autogen", "autogenerated")
+VENDOR_SEGMENTS = ("vendor", "vendors", "third_party", "third-party", "node_modules")
+TEST_FILE = r"(?i)(?:^|/)(?:test|spec)[_-][^/]+\.[^/]+$|(?:^|/)[^/]+(?:[_-](?:test|spec)|\.(?:test|spec))\.[^/]+$"
+
+
 def source_role(path: Column) -> Column:
-    """vendor, generated, test, production, or unknown where there is no path, from its segments in lower case."""
+    """vendor, generated, test, production, or unknown where there is no path, from its segments and file name in lower case."""
     p = F.lower(F.regexp_replace(path, r"\\", "/"))
     seg = F.split(p, "/")
 
@@ -77,10 +84,10 @@ def source_role(path: Column) -> Column:
         return F.arrays_overlap(seg, F.array(*[F.lit(x) for x in names]))
 
     return (
-        F.when(path.isNull() | (F.trim(path) == ""), "unknown")
-        .when(any_of("vendor", "third_party", "third-party", "node_modules"), "vendor")
-        .when(any_of("generated", "gen", "target", "dist", "build"), "generated")
-        .when(any_of("test", "tests", "spec", "specs", "__tests__", "fixtures") | p.rlike(r"(^|/)[^/]*([._-]test|[._-]spec)\.[^/.]+$"), "test")
+        F.when(path.isNull() | (path == ""), "unknown")
+        .when(any_of(*VENDOR_SEGMENTS), "vendor")
+        .when(any_of(*GENERATED_SEGMENTS), "generated")
+        .when(any_of(*TEST_SEGMENTS) | p.rlike(TEST_FILE), "test")
         .otherwise("production")
     )
 
@@ -110,12 +117,17 @@ def normalized_path(path: Column) -> Column:
     return F.array_join(fold, "/")
 
 
+# Questions that ask for a set of things, or for a course of events.
+ASKS_SET = (
+    r"(?i)\b(?:all|list|which|what)\b.*\b(?:apis|classes|components|endpoints|files|functions|handlers|implementations|modules|namespaces|routes|symbols|tests)\b"
+    r"|\b(?:modules|namespaces|components)\s+(?:expose|implement|provide)\b"
+)
+ASKS_FLOW = r"(?i)\b(?:before|after|flow|pipeline|responsible for|end[- ]to[- ]end|how.+(?:handled|processed|validated|sent|delivered|enforced))\b"
+
+
 def query_shape(question: Column) -> Column:
-    """lookup, set or flow by the words of a question."""
-    q = F.lower(question)
-    asks_set = r"\b(all|every|list|which|what are|available|supported|options|kinds of)\b"
-    asks_flow = r"\b(how does|flow|path|sequence|from .+ to|happens when|lifecycle|pipeline)\b"
-    return F.when(q.rlike(asks_flow), "flow").when(q.rlike(asks_set), "set").otherwise("lookup")
+    """lookup, set or flow by the words of a question; set comes first."""
+    return F.when(question.rlike(ASKS_SET), "set").when(question.rlike(ASKS_FLOW), "flow").otherwise("lookup")
 
 
 K1, B = 1.2, 0.75

@@ -41,17 +41,25 @@ def macro_micro(metrics: DataFrame, group: str, value: str) -> DataFrame:
     return per.agg((F.sum("s") / F.sum("n")).alias("micro"), F.avg("m").alias("macro"))
 
 
-def percentile(values: str, fraction: float, rule: str) -> Column:
-    """An element of the sorted values. rule: ceil, floor, round, or capped (never the last of fewer than 20)."""
-    a = F.array_sort(F.collect_list(values))
-    n = F.size(a)
-    place = {
-        "ceil": F.ceil(F.lit(fraction) * n) - 1,
-        "floor": F.floor(F.lit(fraction) * (n - 1)),
-        "round": F.round(F.lit(fraction) * (n - 1)),
-        "capped": F.least(n - 1, F.ceil(F.lit(fraction) * n)) - 1,
-    }[rule]
-    return F.element_at(a, F.greatest(place, F.lit(0)).cast("int") + 1)
+def percentiles(df: DataFrame, value: str, by: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """(by, *wanted): elements of each group's sorted values by (fraction, rule), null values passed over.
+
+    rule: ceil, floor, round, or capped (never the last of fewer than 20). Equal values are counted before they are
+    shuffled, and places are running sums over the distinct ones, so no group is gathered into an array.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(by)
+    upto = counts.withColumn("__upto", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = counts.groupBy(by).agg(F.sum("__c").alias("__n"))
+    n = F.col("__n")
+    places = {
+        "ceil": lambda p: F.ceil(F.lit(p) * n) - 1,
+        "floor": lambda p: F.floor(F.lit(p) * (n - 1)),
+        "round": lambda p: F.round(F.lit(p) * (n - 1)),
+        "capped": lambda p: F.least(n - 1, F.ceil(F.lit(p) * n)) - 1,
+    }
+    at = lambda p, rule: F.greatest(places[rule](p), F.lit(0))
+    return upto.join(sizes, by).groupBy(by).agg(*[F.min(F.when(F.col("__upto") > at(p, rule), F.col("__v"))).alias(name) for name, (p, rule) in wanted.items()])
 
 
 def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -67,17 +75,22 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def bootstrap(values: DataFrame, column: str, rounds: int = 2000, seed: int = 20260805) -> DataFrame:
-    """95 % interval of the mean: each value enters each round as often as a Poisson draw of mean 1 says.
+    """(low, high): 95 % interval of the mean, by ``rounds`` samples of as many values as there are, drawn with replacement.
 
-    Every value makes its own draws, from its key and the round, so nothing is gathered but two sums a round.
-    values: (key, column).
+    values: (key, column), a set of measured questions; nulls are passed over. A draw is a hash of seed, round and place,
+    so it doesn't depend on partitions. No values: both are null.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("key"), F.col("round")), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    cuts = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582]
-    times = sum((u > c).cast("int") for c in cuts)
-    drawn = values.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("k", times)
-    means = drawn.groupBy("round").agg((F.sum(F.col("k") * F.col(column)) / F.sum("k")).alias("mean"))
-    return means.agg(F.expr(f"percentile_disc({0.025}) within group (order by mean)").alias("low"), F.expr("percentile_disc(0.975) within group (order by mean)").alias("high"))
+    v = values.where(F.col(column).isNotNull())
+    v = v.select(F.col(column).alias("v"), (F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("at"))
+    n = v.count()
+    draw = F.concat_ws(":", F.lit(str(seed)), F.expr(f"id div {max(n, 1)}"), F.expr(f"id % {max(n, 1)}"))
+    picked = F.conv(F.substring(F.md5(draw.cast("binary")), 1, 12), 16, 10).cast("long") % max(n, 1)
+    draws = values.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("round"), picked.alias("at"))
+    means = draws.join(v, "at").groupBy("round").agg(F.avg("v").alias("m"))
+    at = lambda p: F.element_at(F.array_sort(F.collect_list("m")), int(p * (rounds - 1)) + 1)  # noqa: E731  (rounds of them)
+    if not n:
+        return means.agg(F.max("m").alias("low"), F.max("m").alias("high"))
+    return means.agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, limit: int) -> DataFrame:

@@ -13,21 +13,45 @@ from .reads import owner_intervals
 # Forms of the language itself, whose use makes no relation.
 SUPPRESSED = ("def", "defn", "defn-", "defmacro", "defonce", "defmulti", "defmethod", "defprotocol", "defrecord", "deftype", "fn", "let", "loop", "if", "when", "cond", "case", "do", "and", "or", "not", "ns", "->", "->>", "for", "doseq", "recur")
 
-# What calls of some names do, the first match by language.
-EFFECT_RULES = (
-    (r"^(clojure\.core/)?(println|print|prn|pr|printf|eprint|pp)$|(^|/)(log|info|warn|error|debug|trace)$", "logging", 0.9),
-    (r"^(clojure\.core/)?(slurp|spit|line-seq|file/open|file/read|file/write)$|^clojure\.java\.io/|^os/|^file/", "file", 0.95),
-    (r"^(clojure\.core/)?(swap!|reset!|vreset!|vswap!|alter|ref-set|commute|send|send-off|set!)$", "state", 0.95),
-    (r"(^|/)(execute!|execute-one!|query|insert!|update!|delete!|transact!?)$", "database", 0.8),
-    (r"^(clj-http\.client|http|net)/|(^|/)(http-get|http-post|fetch)$", "network", 0.85),
-    (r"^(clojure\.core/)?(future|pmap|deliver|promise|agent)$|^clojure\.core\.async/|^ev/", "concurrency", 0.9),
-    (r"^(clojure\.core/)?(rand|rand-int|rand-nth|shuffle)$|^math/random", "random", 0.9),
-    (r"(^|/)(currentTimeMillis|nanoTime|now|os/time|os/clock)$", "time", 0.85),
-    (r"^(clojure\.core/)?(throw|ex-info|error)$", "exception", 0.8),
-    (r"^clojure\.java\.shell/|^(os/execute|os/shell|os/spawn)$", "process", 0.95),
-)
-# Calls whose first argument names a topic.
-TOPIC_APIS = {"reg-event-db": ("event", "event-registers"), "reg-event-fx": ("event", "event-registers"), "dispatch": ("event", "event-dispatches"), "dispatch-sync": ("event", "event-dispatches"), "reg-sub": ("subscription", "event-registers"), "subscribe": ("subscription", "subscribes")}
+# What calls of some names do, by language; a pattern holds for the whole target.
+EFFECT_RULES = {
+    "clj": (
+        (r"(?:clojure\.core/)?slurp", "file-read", 0.99),
+        (r"(?:clojure\.core/)?spit", "file-write", 0.99),
+        (r"(?:clojure\.core/)?(?:println|print|prn)", "logging", 0.98),
+        (r"(?:clojure\.java\.shell/)?sh", "process", 0.97),
+        (r"(?:next\.jdbc/)?execute!", "database-write", 0.75),
+    ),
+    "cljs": (
+        (r"(?:cljs\.core/)?(?:swap!|reset!)", "global-mutation", 0.99),
+        (r"(?:cljs\.core/)?(?:println|print|prn)", "logging", 0.98),
+        (r"(?:js/)?fetch", "network", 0.9),
+    ),
+    "cljc": (
+        (r"(?:(?:clojure|cljs)\.core/)?(?:swap!|reset!)", "global-mutation", 0.99),
+        (r"(?:(?:clojure|cljs)\.core/)?(?:println|print|prn)", "logging", 0.98),
+    ),
+    "janet": (
+        (r"slurp", "file-read", 0.99),
+        (r"(?:spit|file/write)", "file-write", 0.99),
+        (r"file/read", "file-read", 0.99),
+        (r"(?:print|printf|prin|prinf|pp|eprint|eprintf)", "logging", 0.96),
+        (r"(?:os/spawn|os/execute|file/popen)", "process", 0.98),
+        (r"net/(?:connect|listen|accept|read|write)", "network", 0.9),
+    ),
+}
+# Calls whose first argument names a topic, of what kind, and the relation they make.
+TOPIC_APIS = {
+    "re-frame.core/reg-event-db": ("event", "topic-registers"),
+    "re-frame.core/reg-event-fx": ("event", "topic-registers"),
+    "re-frame.core/reg-event-ctx": ("event", "topic-registers"),
+    "re-frame.core/reg-sub": ("subscription", "topic-registers"),
+    "re-frame.core/reg-fx": ("effect", "topic-registers"),
+    "re-frame.core/reg-cofx": ("coeffect", "topic-registers"),
+    "re-frame.core/dispatch": ("event", "event-dispatches"),
+    "re-frame.core/dispatch-sync": ("event", "event-dispatches"),
+    "re-frame.core/subscribe": ("subscription", "subscribes"),
+}
 
 
 def _detail(i: int) -> Column:
@@ -104,15 +128,19 @@ def relations(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataF
     return edges, refs
 
 
-def effects_of(edges: DataFrame, references: DataFrame) -> DataFrame:
-    """Effects of calls by the first rule that their target matches."""
+def effects_of(edges: DataFrame, references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Effects of calls by the first rule of their language that their whole target matches; others have none."""
     calls = edges.where("kind = 'calls'").select(F.col("from_id").alias("symbol_id"), "target_text", "line").unionByName(references.where("kind = 'calls'").select("symbol_id", "target_text", "line"))
-    kind = confidence = None
-    for pattern, k, c in EFFECT_RULES:
-        hit = F.col("target_text").rlike(pattern)
-        kind = F.when(hit, k) if kind is None else kind.when(hit, k)
-        confidence = F.when(hit, c) if confidence is None else confidence.when(hit, c)
-    e = calls.withColumn("kind", kind).withColumn("confidence", confidence).where("kind is not null")
+    language = F.when(F.col("file_id").endswith(".cljc"), "cljc").otherwise(F.col("platform"))
+    calls = calls.join(symbols.select(F.col("id").alias("s_id"), language.alias("language")), F.col("symbol_id") == F.col("s_id"))
+    target = F.regexp_replace("target_text", r"\s+", "")
+    target = F.when(F.col("language") == "cljs", F.regexp_replace(target, r"^clojure\.core/", "cljs.core/")).when(F.col("language") == "janet", F.regexp_replace(target, r"^janet\.core/", "")).otherwise(target)
+    kind = confidence = F.when(F.lit(False), None)
+    for name, rules in EFFECT_RULES.items():
+        for pattern, k, c in rules:
+            hit = (F.col("language") == name) & target.rlike(f"^(?:{pattern})$")
+            kind, confidence = kind.when(hit, k), confidence.when(hit, c)
+    e = calls.withColumn("kind", kind.cast("string")).withColumn("confidence", confidence.cast("double")).where("kind is not null")
     return e.select(digest_id("effect", F.col("symbol_id"), F.col("kind"), F.col("target_text"), F.col("line")).alias("id"), "kind", "symbol_id", F.col("target_text").alias("detail"), "confidence", "line").dropDuplicates(["id"])
 
 
@@ -141,7 +169,7 @@ def topics_of(observed: DataFrame, symbols: DataFrame, references: DataFrame, ed
     """(topics, edges to them). A call of a topic API whose line holds a keyword right after names that topic."""
     names = F.create_map(*[F.lit(x) for k, (t, e) in TOPIC_APIS.items() for x in (k, f"{t}|{e}")])
     calls = references.where("kind = 'calls'").select("symbol_id", "target_text", "line").unionByName(edges.where("kind = 'calls'").select(F.col("from_id").alias("symbol_id"), "target_text", "line"))
-    api = names[F.element_at(F.split("target_text", "/"), -1)]
+    api = names[F.col("target_text")]
     c = calls.withColumn("api", api).where("api is not null")
     s = symbols.select(F.col("id").alias("s_id"), "file_id", "platform", "ns")
     c = c.join(s, F.col("symbol_id") == F.col("s_id")).where("platform = 'cljs'")
@@ -170,7 +198,7 @@ def materialize(files: DataFrame, observed: DataFrame) -> dict[str, DataFrame]:
     topics, topic_edges = topics_of(observed, with_ns, refs, edges)
     out = {
         "files": files_table(files), "symbols": with_ns.drop("ns"), "edges": edges.unionByName(topic_edges), "references": refs, "topics": topics,
-        "effects": effects_of(edges, refs), "aggregates": aggregates, "memberships": memberships,
+        "effects": effects_of(edges, refs, with_ns), "aggregates": aggregates, "memberships": memberships,
     }
     return {name: df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]) for name, df in out.items()}
 

@@ -64,7 +64,7 @@ def symbol_at_point(g, path: str, line: int) -> DataFrame:
 
 def callers(g, target: DataFrame, limit: int = CALL_LIMIT, kinds=CALL_KINDS) -> DataFrame:
     """Who calls the symbols in target (id): distinct (name, qualified_name, file, line, edge_kind), by name and line."""
-    e = g.edges.where(F.col("kind").isin(*kinds)).join(F.broadcast(target.select(F.col("id").alias("t_id"))), F.col("to_id") == F.col("t_id"))
+    e = g.edges.where(F.col("kind").isin(*kinds)).join(target.select(F.col("id").alias("t_id")), F.col("to_id") == F.col("t_id"))
     s = symbol_records(g).select(F.col("id").alias("s_id"), "name", "qualified_name", "file")
     out = e.join(s, F.col("from_id") == F.col("s_id")).select("name", "qualified_name", "file", F.coalesce("line", F.lit(1)).alias("line"), F.col("kind").alias("edge_kind")).distinct()
     return out.orderBy("name", "line", "qualified_name", "edge_kind").limit(limit)
@@ -72,7 +72,7 @@ def callers(g, target: DataFrame, limit: int = CALL_LIMIT, kinds=CALL_KINDS) ->
 
 def callees(g, source: DataFrame, include_external: bool = False, limit: int = CALL_LIMIT, kinds=CALL_KINDS) -> DataFrame:
     """Whom the symbols in source (id) call: symbols, and on demand external references, each leg limited by itself."""
-    own = F.broadcast(source.select(F.col("id").alias("q_id")))
+    own = source.select(F.col("id").alias("q_id"))
     e = g.edges.where(F.col("kind").isin(*kinds)).join(own, F.col("from_id") == F.col("q_id"))
     s = symbol_records(g).select(F.col("id").alias("s_id"), "name", "qualified_name", "file")
     inside = e.join(s, F.col("to_id") == F.col("s_id")).select("name", "qualified_name", "file", F.coalesce("line", F.lit(1)).alias("line"), F.lit("exact").alias("classification")).distinct()
@@ -105,7 +105,7 @@ def topic_relationships(g, topic: str, edge_kind: str | None = None, limit: int
     if edge_kind:
         e = e.where(F.col("kind") == edge_kind)
     s = symbol_records(g).select(F.col("id").alias("s_id"), "qualified_name", "file")
-    out = e.join(F.broadcast(t), F.col("to_id") == F.col("t_id")).join(s, F.col("from_id") == F.col("s_id"))
+    out = e.join(t, F.col("to_id") == F.col("t_id")).join(s, F.col("from_id") == F.col("s_id"))
     out = out.select("topic", F.col("kind").alias("edge_kind"), "qualified_name", "file", F.coalesce("line", F.lit(1)).alias("line")).distinct()
     return out.orderBy("edge_kind", "qualified_name", "line").limit(limit)
 
@@ -160,7 +160,7 @@ def relationships_of(g, ids: DataFrame) -> DataFrame:
 
 def exact_relationship_count(g, ids: DataFrame) -> DataFrame:
     """How many call edges have both ends among ids (id); 0 for fewer than two."""
-    i = F.broadcast(ids.select("id").distinct())
+    i = ids.select("id").distinct()
     e = g.edges.where(F.col("kind").isin(*CALL_KINDS)).join(i.withColumnRenamed("id", "x"), F.col("from_id") == F.col("x"), "left_semi").join(i.withColumnRenamed("id", "y"), F.col("to_id") == F.col("y"), "left_semi")
     return e.agg(F.countDistinct("id").alias("relationships"))
 

@@ -38,15 +38,16 @@ def lexical_pool(symbols: DataFrame, term: str, limit: int = POOL) -> DataFrame:
 
 
 def suggestions(symbols: DataFrame, term: str, limit: int = SUGGESTIONS) -> DataFrame:
-    """Names in the pool within the typo limit of the term, nearest first."""
-    low = F.lit(term.lower())
-    distance = F.least(F.levenshtein(F.lower("name"), low), F.levenshtein(F.lower("qualified_name"), low))
-    found = lexical_pool(symbols, term, 10 * POOL).withColumn("distance", distance).where(F.col("distance") <= X.typo_limit(F.lit(len(term))))
+    """Symbols of the pool whose name is within the typo limit of the term, nearest first."""
+    found = lexical_pool(symbols, term).withColumn("distance", F.levenshtein(F.lower("name"), F.lit(term.lower()))).where(F.col("distance") <= X.typo_limit(F.lit(len(term))))
     return found.orderBy("distance", "qualified_name", "id").limit(limit).select("id", "qualified_name", "distance")
 
 
 def find_symbols(g, term: str, limit: int = POOL) -> DataFrame:
-    """Exact matches and full-text hits in one list: (id, qualified_name, matched, score), exact first, then by score."""
+    """Exact matches and full-text hits in one list: (id, qualified_name, matched, score), exact first, then by score.
+
+    Where there are none of either, symbols of the term's pool whose name or qualified name holds the term.
+    """
     from .reads import symbol_records
 
     words = term_words(term)
@@ -55,7 +56,13 @@ def find_symbols(g, term: str, limit: int = POOL) -> DataFrame:
     exact = (F.col("name") == term) | (F.col("qualified_name") == term) | (F.col("id") == term)
     found = s.join(hits, F.col("id") == F.col("h_id"), "left").where(exact | F.col("h_id").isNotNull())
     out = found.select("id", "qualified_name", F.when(exact, "exact").otherwise("fts").alias("matched"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return out.orderBy(F.when(F.col("matched") == "exact", 0).otherwise(2), F.desc("score"), "qualified_name", "id").limit(limit)
+    out = out.orderBy(F.when(F.col("matched") == "exact", 0).otherwise(2), F.desc("score"), "qualified_name", "id").limit(limit)
+    if not out.isEmpty() or not term:
+        return out
+    low = term.lower()
+    holds = F.contains(F.lower("name"), F.lit(low)) | F.contains(F.lower("qualified_name"), F.lit(low))
+    pool = lexical_pool(s.select("id", "name", "qualified_name"), term, limit).where(holds)
+    return pool.select("id", "qualified_name", F.lit("substring").alias("matched"), F.lit(0.0).alias("score")).orderBy("qualified_name", "id")
 
 
 def term_words(term: str) -> list[str]:
@@ -80,23 +87,32 @@ def fresh(candidates: DataFrame, indexed: DataFrame, jobs: DataFrame, dirty: Dat
     return ok.limit(0) if not dirty.where(F.col("file_id").startswith("project:")).isEmpty() else ok
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, exact: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion. lexical, semantic: (id, score); exact: (id) of exact matches, which go first.
+def fuse(lexical: DataFrame, semantic: DataFrame, exact: DataFrame, limit: int = 100) -> DataFrame:
+    """Reciprocal rank fusion. lexical, semantic: (id, score), of which the best ``limit`` count; exact: (id), which go first.
 
-    Returns (id, lexical_rank, semantic_rank, score, is_exact, fused_rank), score the sum of 1/(60 + rank).
+    Returns (id, lexical_rank, semantic_rank, matched_by, score, is_exact, fused_rank), score the sum of 1/(60 + rank). The
+    legs are cut before they are ranked, each task keeping its best, so the ranks are those of a short list.
     """
     order = [F.desc("score"), "id"]
+    lexical, semantic = (x.orderBy(*order).limit(limit) for x in (lexical, semantic))
     lex = lexical.select("id", _first(order).alias("lexical_rank"))
     sem = semantic.select("id", _first(order).alias("semantic_rank"))
     both = lex.join(sem, "id", "full_outer")
+    legs = F.array(F.when(F.col("lexical_rank").isNotNull(), "lexical"), F.when(F.col("semantic_rank").isNotNull(), "semantic"))
+    both = both.withColumn("matched_by", F.array_join(F.array_compact(legs), "+"))
     score = F.coalesce(1 / (F.lit(RRF) + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1 / (F.lit(RRF) + F.col("semantic_rank")), F.lit(0.0))
     flags = both.withColumn("score", score).join(exact.select("id", F.lit(True).alias("is_exact")), "id", "left").withColumn("is_exact", F.coalesce("is_exact", F.lit(False)))
     return flags.withColumn("fused_rank", _first([F.desc("is_exact"), F.desc("score"), "id"]))
 
 
 def prefer(fused: DataFrame, role: str) -> DataFrame:
-    """(…, role, is_exact, fused_rank): exact ones keep their place, then the preferred role, then the rest; scores stay."""
-    return fused.withColumn("final_rank", _first([F.when(F.col("is_exact"), 0).when(F.col("role") == role, 1).otherwise(2), "fused_rank"]))
+    """(…, role, is_exact, fused_rank): exact ones keep their place, then the preferred role, then the rest; scores stay.
+
+    A row whose rank changes has a reason. The rows are a fused list, which is bounded by its legs' limits.
+    """
+    ranked = fused.withColumn("final_rank", _first([F.when(F.col("is_exact"), 0).when(F.col("role") == role, 1).otherwise(2), "fused_rank"]))
+    reason = F.when(F.col("role") == role, f"{role}-preferred").otherwise("source-preference-demotion")
+    return ranked.withColumn("ranking_reason", F.when(F.col("final_rank") != F.col("fused_rank"), reason))
 
 
 def rerank(ranked: DataFrame, scores: DataFrame, most: int = 50, enforce: bool = False) -> DataFrame:
@@ -107,12 +123,16 @@ def rerank(ranked: DataFrame, scores: DataFrame, most: int = 50, enforce: bool =
     return j.withColumn("would_reorder", F.col("learned_rank") != F.col("pre_rank")).withColumn("final_rank", F.col("learned_rank") if enforce else F.col("pre_rank"))
 
 
+# Roles of symbols that stand for themselves.
+CANONICAL_ROLES = ("definition", "macro", "protocol", "variable", "namespace", "module")
+
+
 def qualify(candidates: DataFrame, question: str, shape: str) -> DataFrame:
     """candidates: (id, text, scope, role, completeness). Adds intent_score and qualified; the order isn't touched."""
     overlap = F.size(F.array_intersect(X.terms(F.col("text")), X.terms(F.lit(question))))
     complete = F.col("completeness").isin("complete-static", "complete-resolved")
     evidence = F.when(complete, 4.0).when(F.col("completeness").isNotNull() & F.lit(shape == "set"), 0.5).otherwise(0.0)
-    canonical = F.col("scope").isin("top-level", "namespace", "module") & (F.col("role") != "method")
+    canonical = F.col("scope").isin("top-level", "namespace", "module") & F.col("role").isin(*CANONICAL_ROLES)
     score = overlap + F.when(F.lit(shape == "set"), evidence).otherwise(0.0) + F.when(canonical, 1.0).otherwise(0.0)
     ok = F.coalesce(complete, F.lit(False)) if shape == "set" else canonical
     return candidates.withColumn("intent_score", score.cast("double")).withColumn("qualified", ok)
@@ -131,10 +151,17 @@ def resolve_plan(advice: DataFrame, least_margin: float = 0.02) -> DataFrame:
     return advice.withColumn("accepted", sure & support).withColumn("answerability", state)
 
 
-def select_seeds(candidates: DataFrame, most: int) -> list:
-    """Diverse seeds from at most 100 ranked candidates (id, file, namespace, rank): each of a new file and namespace."""
+def select_seeds(candidates: DataFrame, most: int, single: bool = False) -> list:
+    """Diverse seeds from at most 100 ranked candidates (id, file, namespace, rank): each of a new file and namespace.
+
+    With columns qualified and intent_score the pool is the qualified ones, or without any those of a positive score, or
+    else all. single: the first candidate alone.
+    """
+    rows = candidates.orderBy("rank").limit(1 if single else 100).collect()  # the list is the bounded result of a ranking
+    if not single and {"qualified", "intent_score"} <= set(candidates.columns):
+        rows = [r for r in rows if r.qualified] or [r for r in rows if (r.intent_score or 0) > 0] or rows
     taken, files, spaces = [], set(), set()
-    for row in candidates.orderBy("rank").limit(100).collect():  # the list is the bounded result of a ranking
+    for row in rows:
         if row.file not in files and row.namespace not in spaces and len(taken) < most:
             taken.append(row.id)
             files.add(row.file)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..schema import CALL_KINDS
 
 # What a step along an edge of each kind costs.
-EDGE_COSTS = {"calls": 1.0, "macro-invokes": 1.0, "references": 1.0, "event-registers": 0.5, "event-dispatches": 0.5, "subscribes": 0.5, "state-reads": 0.5, "state-writes": 0.5, "protocol-implements": 1.25, "implements": 1.25, "imports": 2.0, "contains": 0.25}
+EDGE_COSTS = {"calls": 1.0, "macro-invokes": 1.0, "references": 1.0, "topic-registers": 0.5, "event-dispatches": 0.5, "subscribes": 0.5, "state-reads": 0.5, "state-writes": 0.5, "protocol-implements": 1.25, "implements": 1.25, "imports": 2.0, "contains": 0.25}
 UNKNOWN_COST = 2.0
 DEPTH, LIMIT = 4, 200
 
@@ -198,7 +198,7 @@ def topic_bridge(g) -> DataFrame:
     """(from_id, topic, to_id): who dispatches a topic and who registers or subscribes to it."""
     e = g.edges.where("to_type = 'topic'")
     out = e.where("kind = 'event-dispatches'").select("from_id", F.col("to_id").alias("topic"))
-    into = e.where(F.col("kind").isin("event-registers", "subscribes")).select(F.col("from_id").alias("to_id"), F.col("to_id").alias("topic"))
+    into = e.where(F.col("kind").isin("topic-registers", "subscribes")).select(F.col("from_id").alias("to_id"), F.col("to_id").alias("topic"))
     return out.join(into, "topic").distinct()
 
 

@@ -136,7 +136,7 @@ class Graph:
         seen = self.table("events").select("user_id", "event_type").distinct()
         source = self.customers.select(F.col("key").alias("a_key"), F.col("id").alias("from_id"), F.col("start_line").alias("line"))
         topic = self.topics.select(F.col("key").alias("target_text"), F.col("id").alias("to_id"))
-        df = seen.join(source, F.col("user_id") == F.col("a_key")).join(F.broadcast(topic), F.col("event_type") == F.col("target_text"))
+        df = seen.join(source, F.col("user_id") == F.col("a_key")).join(topic, F.col("event_type") == F.col("target_text"))
         return self._edge_rows(df, "event-dispatches", "topic", "events")
 
     @cached_property

@@ -10,12 +10,12 @@ from ..operators import incremental as I
 from ..operators import resolve as R
 from ..streaming import jobs, windows
 
-USE = "use as (select distinct l_orderkey||'-'||l_partkey usage_id, 'p'||l_linestatus platform, 'ns'||(l_partkey%20) ns, p_name as name from lineitem join part on p_partkey=l_partkey where l_orderkey < 2000), defs as (select 'p'||(case when p_partkey%2=0 then 'O' else 'F' end) platform, 'ns'||(p_partkey%15) ns, p_name as name, p_partkey symbol_id from part), known as (select distinct platform, ns from defs)"
+USE = "use as (select distinct l_orderkey||'-'||l_partkey usage_id, 'p'||l_linestatus platform, 'ns'||(l_partkey%20) ns, p_name as name from lineitem join part on p_partkey=l_partkey), defs as (select 'p'||(case when p_partkey%2=0 then 'O' else 'F' end) platform, 'ns'||(p_partkey%15) ns, p_name as name, p_partkey symbol_id from part), known as (select distinct platform, ns from defs)"
 
 
 @query("i_resolve", f"+ {USE}, d as (select platform, ns, name, count(distinct symbol_id) n, min(symbol_id) target from defs group by 1,2,3) select usage_id, case when n=1 then 'exact' when n>1 then 'ambiguous' when known.ns is not null then 'unresolved' else 'external' end as classification, case when n=1 then target end as target from use left join d using (platform, ns, name) left join known using (platform, ns)")
 def resolve(g):
-    li = g.table("lineitem").where("l_orderkey < 2000").join(g.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = g.table("lineitem").join(g.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     use = li.select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("usage_id"), F.concat(F.lit("p"), "l_linestatus").alias("platform"), F.concat(F.lit("ns"), F.col("l_partkey") % 20).alias("ns"), F.col("p_name").alias("name")).distinct()
     defs = g.table("part").select(F.concat(F.lit("p"), F.when(F.col("p_partkey") % 2 == 0, "O").otherwise("F")).alias("platform"), F.concat(F.lit("ns"), F.col("p_partkey") % 15).alias("ns"), F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol_id"))
     return R.resolve(use, defs, defs)
@@ -43,9 +43,9 @@ def topic_owner(g):
     return R.topic_owners(g.edges, g.symbols, g.files)
 
 
-@query("i_member_ordinals", "select l_orderkey aggregate_id, l_partkey::varchar as value, row_number() over (partition by l_orderkey order by l_partkey::varchar, l_suppkey, l_linenumber, l_quantity, l_extendedprice) - 1 ordinal from lineitem where l_orderkey < 3000")
+@query("i_member_ordinals", "select l_orderkey aggregate_id, l_partkey::varchar as value, row_number() over (partition by l_orderkey order by l_partkey::varchar, l_suppkey, l_linenumber, l_quantity, l_extendedprice) - 1 ordinal from lineitem")
 def member_ordinals(g):
-    m = g.table("lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("aggregate_id"), F.col("l_partkey").cast("string").alias("value"), "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    m = g.table("lineitem").select(F.col("l_orderkey").alias("aggregate_id"), F.col("l_partkey").cast("string").alias("value"), "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     return R.ordinals(m, "set", ["l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]).select("aggregate_id", "value", F.col("ordinal").cast("long").alias("ordinal"))
 
 
@@ -54,9 +54,9 @@ def aggregate_summary(g):
     return R.literal_summary(g.table("lineitem").select(F.col("l_orderkey").alias("aggregate_id"), F.col("l_returnflag").alias("value_kind"), (F.col("l_linestatus") == "F").alias("literal")))
 
 
-@query("i_ids", "select id, kind, qualified_name from symbols where kind in ('namespace','type')")
+@query("i_ids", "select id, kind, qualified_name from symbols")
 def ids(g):
-    return g.symbols.where("kind in ('namespace', 'type')").select("id", "kind", "qualified_name")
+    return g.symbols.select("id", "kind", "qualified_name")
 
 
 @query("i_graph_revision", "select 'sha256:'||sha256(string_agg(grp||':'||h, chr(10) order by grp||':'||h)) revision from (select substr(sha256(id),1,2) grp, sha256(string_agg(id||':'||content_hash, chr(10) order by id||':'||content_hash)) h from files group by 1)")
@@ -64,9 +64,9 @@ def revision(g):
     return R.graph_revision(g.files)
 
 
-@query("i_file_fingerprint", "select file_id, sha256(string_agg(fact, chr(10) order by fact)) fingerprint from (select distinct file_id, id||'|'||kind||'|'||qualified_name fact from symbols where kind <> 'method') group by 1")
+@query("i_file_fingerprint", "select file_id, sha256(string_agg(fact, chr(10) order by fact)) fingerprint from (select distinct file_id, id||'|'||kind||'|'||qualified_name fact from symbols) group by 1")
 def fingerprint(g):
-    return R.file_fingerprints(g.symbols.where("kind <> 'method'").select("file_id", F.concat_ws("|", "id", "kind", "qualified_name").alias("fact")))
+    return R.file_fingerprints(g.symbols.select("file_id", F.concat_ws("|", "id", "kind", "qualified_name").alias("fact")))
 
 
 @query("i_document_hash", "select doc_id, sha256('v1'||chr(0)||'m'||chr(0)||'r1'||chr(0)||text||chr(0)||lang) hash from documents")
@@ -192,8 +192,12 @@ def ingestion_plan(g):
     return jobs.ingestion_plan(b).select("step", "outstanding", "profile")
 
 
-@query("s_health", "select user_id, ['ready','starting','degraded','stalled','unavailable','failed'][max(r)] worst, count(*) filter (r=mr) components from (select user_id, r, max(r) over (partition by user_id) mr from (select user_id, case event_type when 'view' then 1 when 'signup' then 2 when 'click' then 3 when 'purchase' then 4 else 6 end r from events)) group by 1")
+# Fixed values of the oracle: states by weight, as the operator's contract has them.
+WEIGHTS = "(('unknown',0),('disabled',0),('healthy',1),('starting',2),('indexing',2),('degraded',3),('recovering',4),('stalled',5),('failed',6))"
+
+
+@query("s_health", "select user_id, arg_max(state, (w, last)) worst, arg_max(n, (w, last)) components from (select user_id, state, count(*) n, max(event_id) last from (select user_id, event_id, case event_type when 'view' then 'healthy' when 'signup' then 'starting' when 'click' then 'indexing' when 'purchase' then 'recovering' else 'stalled' end state from events) group by 1, 2) join (select * from (values " + WEIGHTS[1:-1] + ") t(state, w)) using (state) group by 1")
 def health(g):
-    state = F.create_map(*[F.lit(x) for kv in {"view": "ready", "signup": "starting", "click": "degraded", "purchase": "stalled", "error": "failed"}.items() for x in kv])
-    e = g.table("events").select("user_id", F.col("event_id").alias("component"), state[F.col("event_type")].alias("state"))
-    return jobs.health(e, "user_id").withColumn("components", F.col("components").cast("long"))
+    state = F.create_map(*[F.lit(x) for kv in {"view": "healthy", "signup": "starting", "click": "indexing", "purchase": "recovering", "error": "stalled"}.items() for x in kv])
+    e = g.table("events").select("user_id", F.col("event_id").alias("component"), F.coalesce(state[F.col("event_type")], F.lit("stalled")).alias("state"))
+    return jobs.health(e, "user_id")

@@ -57,9 +57,9 @@ def symbol_at_point(g):
     return reads.symbol_at_point(g, path, 28).select("id", "qualified_name", "start_line", "end_line")
 
 
-@query("g_owner_interval", "select point_id, owner from (select r.l_orderkey||'-'||r.l_partkey||'-'||r.l_linenumber||'-'||r.n point_id, s.id owner, row_number() over (partition by r.l_orderkey, r.l_partkey, r.l_linenumber, r.n order by s.end_line-s.start_line, s.start_line desc, s.id) rn from (select l_orderkey, l_partkey, l_linenumber, l_suppkey n, l_orderkey % 400 as line, l_partkey % 25 as nk from (select distinct l_orderkey, l_partkey, l_linenumber, l_suppkey from lineitem) where l_orderkey % 7 = 0) r join nations on n_nationkey=nk join symbols s on s.file_id=nations.file_id and s.start_line<=r.line and s.end_line>=r.line) where rn=1")
+@query("g_owner_interval", "select point_id, owner from (select r.l_orderkey||'-'||r.l_partkey||'-'||r.l_linenumber||'-'||r.n point_id, s.id owner, row_number() over (partition by r.l_orderkey, r.l_partkey, r.l_linenumber, r.n order by s.end_line-s.start_line, s.start_line desc, s.id) rn from (select l_orderkey, l_partkey, l_linenumber, l_suppkey n, l_orderkey % 400 as line, l_partkey % 25 as nk from (select distinct l_orderkey, l_partkey, l_linenumber, l_suppkey from lineitem)) r join nations on n_nationkey=nk join symbols s on s.file_id=nations.file_id and s.start_line<=r.line and s.end_line>=r.line) where rn=1")
 def owner_interval(g):
-    li = g.table("lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").distinct()
+    li = g.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").distinct()
     points = li.join(F.broadcast(g.nations), F.col("l_partkey") % 25 == F.col("n_nationkey")).select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").alias("point_id"), "file_id", (F.col("l_orderkey") % 400).alias("line"))
     return reads.owner_intervals(points, g.symbols)
 
@@ -126,9 +126,9 @@ def entry_points(g):
     return reads.entry_points(g)
 
 
-@query("g_orphan_topics", "select t.id, t.kind, t.key, t.platform from topics t where not exists (select 1 from edges e where e.to_id=t.id and e.kind='event-registers')")
+@query("g_orphan_topics", "select t.id, t.kind, t.key, t.platform from topics t where not exists (select 1 from edges e where e.to_id=t.id and e.kind='topic-registers')")
 def orphan_topics(g):
-    e = g.edges.where("kind = 'event-registers'").select(F.col("to_id").alias("u_id"))
+    e = g.edges.where("kind = 'topic-registers'").select(F.col("to_id").alias("u_id"))
     return g.topics.join(e, F.col("id") == F.col("u_id"), "left_anti")
 
 
@@ -144,9 +144,9 @@ def bijection(g):
     return path_problems(g.files.where("modified_at % 5 <> 0").select("path"), g.files.where("modified_at % 3 <> 0").select("path"))
 
 
-@query("g_aggregates_nested", "select a.id, a.name, owner_id, completeness, member_count, coalesce(string_agg(ordinal||'='||value, ',' order by ordinal, value),'') as members from aggs a left join memberships m on m.aggregate_id=a.id where a.key < 300 group by 1,2,3,4,5")
+@query("g_aggregates_nested", "select a.id, a.name, owner_id, completeness, member_count, coalesce(string_agg(ordinal||'='||value, ',' order by ordinal, value),'') as members from aggs a left join memberships m on m.aggregate_id=a.id group by 1,2,3,4,5")
 def aggregates_nested(g):
-    return reads.aggregates_of(g, g.orders.where("key < 300"))
+    return reads.aggregates_of(g, g.orders)
 
 
 @query("g_containers", "select c.qualified_name as container, count(*) as member_count, string_agg(m.qualified_name, ',' order by m.qualified_name) as members, 'complete-static' as completeness from symbols c join edges e on e.from_id=c.id and e.kind='contains' join symbols m on m.id=e.to_id where c.kind in ('namespace','module') group by 1")
@@ -154,16 +154,16 @@ def containers(g):
     return reads.containers(g)
 
 
-@query("g_relationships", "select distinct from_id as id, kind, target_text from edges where from_id in (select id from keyed where src='customer' and key < 40)")
+@query("g_relationships", "select distinct from_id as id, kind, target_text from edges where from_id in (select id from keyed where src='customer')")
 def relationships(g):
-    return reads.relationships_of(g, g.customers.where("key < 40"))
+    return reads.relationships_of(g, g.customers)
 
 
-@query("g_relationship_count", "+ i as (select id from keyed where (src='customer' and key<200) or (src='order' and key<500)) select count(distinct id) relationships from edges where kind in ('calls','macro-invokes') and from_id in (select id from i) and to_id in (select id from i)")
+@query("g_relationship_count", "+ i as (select id from keyed where src in ('customer','order')) select count(distinct id) relationships from edges where kind in ('calls','macro-invokes') and from_id in (select id from i) and to_id in (select id from i)")
 def relationship_count(g):
-    return reads.exact_relationship_count(g, g.customers.where("key < 200").unionByName(g.orders.where("key < 500")))
+    return reads.exact_relationship_count(g, g.customers.unionByName(g.orders))
 
 
-@query("g_symbol_records", f"select s.id, name, qualified_name, kind, file, s.signature, s.doc from {RECORDS} where kind <> 'method'")
+@query("g_symbol_records", f"select s.id, name, qualified_name, kind, file, s.signature, s.doc from {RECORDS}")
 def symbol_records(g):
-    return reads.symbol_records(g).where("kind <> 'method'").select("id", "name", "qualified_name", "kind", "file", "signature", "doc")
+    return reads.symbol_records(g).select("id", "name", "qualified_name", "kind", "file", "signature", "doc")

@@ -8,6 +8,7 @@ from ..catalog import query
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import retrieve as R
+from .q_text import SINGLE, WORDS
 
 COS = "round(list_dot_product(q.e, c.e)/(sqrt(list_dot_product(q.e,q.e))*sqrt(list_dot_product(c.e,c.e))), 6)"
 VEC = "vecs as (select vec_id, label, embedding::double[] e from embeddings), qs as (select label query_id, arg_min(e, vec_id) e from vecs group by 1)"
@@ -51,18 +52,18 @@ def router_margin(g):
     return R.shape_margin(met.select(F.col("id").alias("question_id"), F.col("query_id").alias("shape"), "score")).withColumn("margin", F.round("margin", 6))
 
 
-LEX = "lex as (select doc_id id, n_chars::double score from documents where doc_id % 3 = 0 and doc_id < 600), sem as (select doc_id id, strlen(text)::double score from documents where doc_id % 2 = 0 and doc_id < 600)"
+LEX = "lex as (select doc_id id, n_chars::double score from documents order by score desc, id limit 100), sem as (select doc_id id, (strlen(text) - length(text))::double score from documents order by score desc, id limit 100)"
 FUSE = LEX + ", lr as (select id, row_number() over (order by score desc, id) lexical_rank from lex), sr as (select id, row_number() over (order by score desc, id) semantic_rank from sem), fused as (select id, lexical_rank, semantic_rank, coalesce(1.0::double/(60+lexical_rank),0)+coalesce(1.0::double/(60+semantic_rank),0) score, id % 50 = 0 as is_exact from lr full join sr using (id)), ranked as (select *, row_number() over (order by is_exact desc, score desc, id) fused_rank from fused)"
 
 
 def _fused(g):
-    d = g.table("documents").where("doc_id < 600")
-    lex = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    sem = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.octet_length("text").cast("double").alias("score"))
+    d = g.table("documents")
+    lex = d.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
+    sem = d.select(F.col("doc_id").alias("id"), (F.octet_length("text") - F.length("text")).cast("double").alias("score"))
     return R.fuse(lex, sem, d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("id")))
 
 
-@query("r_rrf", f"+ {FUSE} select id, lexical_rank, semantic_rank, round(score, 9) score, is_exact, fused_rank from ranked")
+@query("r_rrf", f"+ {FUSE} select id, lexical_rank, semantic_rank, concat_ws('+', case when lexical_rank is not null then 'lexical' end, case when semantic_rank is not null then 'semantic' end) matched_by, round(score, 9) score, is_exact, fused_rank from ranked")
 def rrf(g):
     return _fused(g).withColumn("score", F.round("score", 9))
 
@@ -80,10 +81,10 @@ def hybrid_fresh(g):
     return R.fresh(cand, indexed, jobs, dirty).select("symbol_id", "file_id", "score")
 
 
-@query("r_prefer", f"+ {FUSE}, roles as (select *, case id % 3 when 0 then 'production' when 1 then 'test' else 'vendor' end as role from ranked) select id, role, fused_rank, row_number() over (order by case when is_exact then 0 when role='test' then 1 else 2 end, fused_rank) final_rank from roles")
+@query("r_prefer", f"+ {FUSE}, roles as (select *, case id % 3 when 0 then 'production' when 1 then 'test' else 'vendor' end as role from ranked) select *, case when final_rank <> fused_rank then case when role='test' then 'test-preferred' else 'source-preference-demotion' end end ranking_reason from (select id, role, fused_rank, row_number() over (order by case when is_exact then 0 when role='test' then 1 else 2 end, fused_rank) final_rank from roles)")
 def prefer(g):
     role = F.when(F.col("id") % 3 == 0, "production").when(F.col("id") % 3 == 1, "test").otherwise("vendor")
-    return R.prefer(_fused(g).withColumn("role", role), "test").select("id", "role", "fused_rank", "final_rank")
+    return R.prefer(_fused(g).withColumn("role", role), "test").select("id", "role", "fused_rank", "final_rank", "ranking_reason")
 
 
 RERANK = FUSE + ", m as (select id, cast((id * 7919) % 1009 as double) model_score from ranked where id % 4 <> 0), j as (select id, fused_rank pre_rank, model_score from ranked left join m using (id)), k as (select *, row_number() over (order by case when pre_rank<=50 and model_score is not null then 0 else 1 end, case when pre_rank<=50 and model_score is not null then -model_score end nulls first, pre_rank) learned_rank from j) select id, pre_rank, learned_rank, learned_rank<>pre_rank as would_reorder, {} as final_rank from k"
@@ -105,22 +106,20 @@ def rerank_enforce(g):
     return _rerank(g, True)
 
 
-QUALIFY = "select id, cast(length(array_to_string(list_filter(list_distinct({words}), lambda x: x in ('order','open','complete')), ' ')) > 0 as int) as touched, completeness in ('complete-static','complete-resolved') as qualified from aggs where key < 400"
+QUALIFY = f"select id, len(list_intersect(list_distinct(list_concat(w, list_transform(w, lambda x: {SINGLE}))), ['order','open','complete','set']))::double + case when completeness in ('complete-static','complete-resolved') then 4.0 when completeness is not null then 0.5 else 0 end as intent_score, completeness in ('complete-static','complete-resolved') as qualified from (select id, completeness, {WORDS.replace('text', 'search_text')} w from aggs)"
 
 
-@query("r_qualify", QUALIFY.format(words="string_split(regexp_replace(lower(search_text), '[^a-z0-9]+', ' ', 'g'), ' ')"))
+@query("r_qualify", QUALIFY)
 def qualify(g):
-    c = g.aggregates.where("key < 400").select("id", F.col("search_text").alias("text"), F.lit("method").alias("scope"), F.lit("method").alias("role"), "completeness")
-    out = R.qualify(c, "order open complete", "set")
-    overlap = F.size(F.array_intersect(X.terms(F.col("text")), X.terms(F.lit("order open complete"))))
-    return out.select("id", (overlap > 0).cast("int").alias("touched"), "qualified")
+    c = g.aggregates.select("id", F.col("search_text").alias("text"), F.lit("method").alias("scope"), F.lit("method").alias("role"), "completeness")
+    return R.qualify(c, "which order is open for the complete set", "set").select("id", "intent_score", "qualified")
 
 
-@query("r_plan", "select question_id, shape, margin >= 0.02 and (case shape when 'lookup' then qualified=1 and relationships=0 when 'set' then complete_aggregates>0 or qualified>=2 else qualified>=2 and relationships>0 end) as accepted, case when qualified=0 then 'insufficient' when (case shape when 'lookup' then qualified=1 and relationships=0 when 'set' then complete_aggregates>0 or qualified>=2 else qualified>=2 and relationships>0 end) then 'supported' else 'unknown' end as answerability from (select o_orderkey question_id, case o_orderkey%3 when 0 then 'lookup' when 1 then 'set' else 'flow' end as shape, (o_orderkey%100)/1000.0::double as margin, o_orderkey%4 as qualified, o_orderkey%2 as complete_aggregates, o_orderkey%5 as relationships from orders where o_orderkey < 2000)")
+@query("r_plan", "select question_id, shape, margin >= 0.02 and (case shape when 'lookup' then qualified=1 and relationships=0 when 'set' then complete_aggregates>0 or qualified>=2 else qualified>=2 and relationships>0 end) as accepted, case when qualified=0 then 'insufficient' when (case shape when 'lookup' then qualified=1 and relationships=0 when 'set' then complete_aggregates>0 or qualified>=2 else qualified>=2 and relationships>0 end) then 'supported' else 'unknown' end as answerability from (select o_orderkey question_id, case o_orderkey%3 when 0 then 'lookup' when 1 then 'set' else 'flow' end as shape, (o_orderkey%100)/1000.0::double as margin, o_orderkey%4 as qualified, o_orderkey%2 as complete_aggregates, o_orderkey%5 as relationships from orders)")
 def plan(g):
     k = F.col("o_orderkey")
     shape = F.when(k % 3 == 0, "lookup").when(k % 3 == 1, "set").otherwise("flow")
-    advice = g.table("orders").where("o_orderkey < 2000").select(k.alias("question_id"), shape.alias("shape"), ((k % 100) / 1000.0).alias("margin"), (k % 4).alias("qualified"), (k % 2).alias("complete_aggregates"), (k % 5).alias("relationships"))
+    advice = g.table("orders").select(k.alias("question_id"), shape.alias("shape"), ((k % 100) / 1000.0).alias("margin"), (k % 4).alias("qualified"), (k % 2).alias("complete_aggregates"), (k % 5).alias("relationships"))
     return R.resolve_plan(advice).select("question_id", "shape", "accepted", "answerability")
 
 
@@ -128,5 +127,5 @@ def plan(g):
 def seeds(g):
     from ..operators.reads import rank
 
-    c = g.customers.where("key < 500").select("id", F.col("file_id").alias("file"), X.namespace_name(F.col("qualified_name")).alias("namespace"), rank([F.col("qualified_name")]).alias("rank"))
+    c = g.customers.orderBy("qualified_name", "id").limit(100).select("id", F.col("file_id").alias("file"), X.namespace_name(F.col("qualified_name")).alias("namespace"), rank([F.col("qualified_name"), F.col("id")]).alias("rank"))
     return g.spark.createDataFrame([(i, s) for i, s in enumerate(R.select_seeds(c, 4))], "place int, id string")

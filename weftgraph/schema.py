@@ -12,7 +12,7 @@ SEPARATOR = "\u001f"
 
 # The closed sets of the data model.
 SYMBOL_KINDS = ("namespace", "module", "function", "macro", "method", "variable", "constant", "type", "protocol", "record", "multimethod", "test")
-EDGE_KINDS = ("contains", "calls", "macro-invokes", "references", "imports", "implements", "extends", "event-registers", "event-dispatches", "subscribes", "state-reads", "state-writes", "protocol-implements")
+EDGE_KINDS = ("contains", "calls", "macro-invokes", "references", "imports", "implements", "extends", "topic-registers", "event-dispatches", "subscribes", "state-reads", "state-writes", "protocol-implements")
 REFERENCE_CLASSES = ("external", "dynamic", "ambiguous", "unresolved")
 TOPIC_KINDS = ("event", "subscription", "state", "effect", "coeffect")
 COMPLETENESS = ("complete-static", "complete-resolved", "partial-static", "dynamic", "unknown")

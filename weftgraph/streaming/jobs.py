@@ -105,12 +105,16 @@ def ingestion_plan(backlog: DataFrame, enter: int = 2048, leave: int = 1024) ->
     return backlog.withColumn("profile", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit("steady")))
 
 
-# States of components, from best to worst.
-HEALTH = ("ready", "starting", "degraded", "stalled", "unavailable", "failed")
+# How much a component's state weighs; any other state weighs nothing.
+HEALTH = {"unknown": 0, "disabled": 0, "healthy": 1, "starting": 2, "indexing": 2, "degraded": 3, "recovering": 4, "stalled": 5, "failed": 6}
 
 
 def health(components: DataFrame, *by: str) -> DataFrame:
-    """components (…, component, state): the worst state and how many components have it."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in HEALTH]), F.col("state"))
-    worst = components.groupBy(*by).agg(F.max(rank).alias("r"), F.collect_list(rank).alias("all"))
-    return worst.select(*by, F.element_at(F.array(*[F.lit(x) for x in HEALTH]), F.col("r").cast("int")).alias("worst"), F.size(F.filter("all", lambda x: x == F.col("r"))).alias("components"))
+    """components (…, component, state): the worst state, of equal ones that of the last component, and how many have it.
+
+    States are counted before they are compared, so no group's components are gathered.
+    """
+    weight = F.create_map(*[F.lit(x) for kv in HEALTH.items() for x in kv])
+    counted = components.groupBy(*by, "state").agg(F.count("*").alias("n"), F.max("component").alias("last"))
+    rank = F.struct(F.coalesce(weight[F.col("state")], F.lit(0)).alias("weight"), "last", "state", "n")
+    return counted.groupBy(*by).agg(F.max(rank).alias("r")).select(*by, F.coalesce("r.state", F.lit("unknown")).alias("worst"), F.col("r.n").alias("components"))
