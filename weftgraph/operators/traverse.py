@@ -27,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -143,10 +143,29 @@ class _Step:
     path: tuple = field(compare=False)
 
 
+TOGETHER = 64
+"""Nodes whose neighbours are asked for in one job."""
+
+
+def _neighbours(g, ids: list[str], kinds: tuple[str, ...] | None, most: int) -> dict[str, list]:
+    """Of each id the first ``most`` exact neighbours, in the order of adjacent()."""
+    e = g.edges.where("resolution = 'exact'")
+    if kinds:
+        e = e.where(F.col("kind").isin(*kinds))
+    legs = [e.where(F.col(own).isin(*ids)).select(F.col(own).alias("of"), "kind", "from_id", "to_id", F.col("id").alias("edge_id"), F.lit(direction).alias("direction")) for direction, own in (("outgoing", "from_id"), ("incoming", "to_id"))]
+    order = ["kind", "from_id", "to_id", "edge_id", "direction"]
+    rows = legs[0].unionByName(legs[1]).withColumn("rn", F.row_number().over(Window.partitionBy("of").orderBy(*order))).where(F.col("rn") <= most)
+    found: dict[str, list] = {i: [] for i in ids}
+    for r in sorted(rows.collect(), key=lambda r: r.rn):  # at most ``most`` for each of TOGETHER nodes
+        found[r["of"]].append(r)
+    return found
+
+
 def traverse(g, seeds: list[str], depth: int = 2, max_nodes: int = 100, kinds: tuple[str, ...] | None = None) -> dict:
     """Best-first expansion from seed ids by (cost, proximity to the first seed, qualified name, id).
 
-    At most max_nodes nodes are settled, and each asks for its neighbours by key, so the loop is as long as its result.
+    At most max_nodes nodes are settled. Neighbours are asked for by key, those of the best TOGETHER nodes that wait in one
+    job, so there are about as many jobs as the result has times TOGETHER nodes; the order is decided here, over them.
     Returns {"nodes": [(id, cost, depth, path of edge ids)], "truncated": bool}. A namespace never opens what it contains.
     """
     info: dict[str, tuple] = {}
@@ -171,6 +190,7 @@ def traverse(g, seeds: list[str], depth: int = 2, max_nodes: int = 100, kinds: t
     queue = [_Step(0.0, 0, info[s][0], s, 0, ()) for s in dict.fromkeys(seeds) if s in info]
     heapq.heapify(queue)
     settled: dict[str, _Step] = {}
+    held: dict[str, list] = {}
     seen = {s.id for s in queue}
     by_depth = False
     while queue and len(settled) < max_nodes:
@@ -178,9 +198,10 @@ def traverse(g, seeds: list[str], depth: int = 2, max_nodes: int = 100, kinds: t
         if at.id in settled:
             continue
         settled[at.id] = at
-        front = g.spark.createDataFrame([(at.id,)], "id string")
-        room = 20 if at.depth == depth else max_nodes - len(settled) + 1
-        near = adjacent(g, front, kinds=kinds, limit=room).collect()
+        if at.id not in held:
+            ask = [at.id, *dict.fromkeys(s.id for s in heapq.nsmallest(4 * TOGETHER, queue) if s.id not in held and s.id != at.id)]
+            held |= _neighbours(g, ask[:TOGETHER], kinds, max_nodes + 1)
+        near = held[at.id][: 20 if at.depth == depth else max_nodes - len(settled) + 1]
         if at.depth == depth:
             by_depth |= any((r.to_id if r.direction == "outgoing" else r.from_id) not in seen for r in near)
             continue

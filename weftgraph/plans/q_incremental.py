@@ -151,10 +151,10 @@ def tumbling(g):
     return windows.tumbling(e, "ts", "1 hour", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("s_trailing_rate", "select event_id, samples, round(total/86400, 9) rate from (select event_id, count(*) over w samples, sum(value) over w total from events window w as (partition by user_id order by ts range between interval 86400 second preceding and current row))")
+@query("s_trailing_rate", "select event_id, least(samples, 8) samples, round(case when samples <= 8 then total else recent end, 4) total from (select event_id, count(*) over w samples, sum(value) over w total, sum(value) over r recent from events window w as (partition by user_id order by ts range between interval 2592000 second preceding and current row), r as (partition by user_id order by ts, event_id rows between 7 preceding and current row))")
 def trailing_rate(g):
     e = g.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.trailing_rate(e, "user_id", "ts", "value", 86_400, 1_000_000).select("event_id", F.col("samples").cast("long").alias("samples"), F.round("rate", 9).alias("rate"))
+    return windows.trailing_rate(e, "user_id", "ts", "value", 2_592_000, 8).select("event_id", F.col("samples").cast("long").alias("samples"), F.round(F.col("rate") * 2_592_000, 4).alias("total"))
 
 
 @query("s_polling_speed", "select event_id, round(greatest(0, (value - lag(value) over w) / nullif((epoch_us(ts) - epoch_us(lag(ts) over w))/1e6, 0)), 9) speed from events window w as (partition by user_id order by ts, event_id)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -128,13 +130,18 @@ def entry_points(g):
 
 @query("g_orphan_topics", "select t.id, t.kind, t.key, t.platform from topics t where not exists (select 1 from edges e where e.to_id=t.id and e.kind='topic-registers')")
 def orphan_topics(g):
-    e = g.edges.where("kind = 'topic-registers'").select(F.col("to_id").alias("u_id"))
-    return g.topics.join(e, F.col("id") == F.col("u_id"), "left_anti")
+    return reads.orphan_topics(SimpleNamespace(topics=g.topics, edges=g.edges.where("kind = 'topic-registers'")))
 
 
-@query("g_fk_violations", "select 'edges' as \"table\", 'missing to_id' as rule, e.id from edges e where not exists (select 1 from symbols s where s.id=e.to_id) and not exists (select 1 from topics t where t.id=e.to_id)")
+@query("g_fk_violations", "select 'edges' as \"table\", 'missing to_id' as rule, id from edges where right(id, 2) = '00' union all select 'symbols', 'missing file_id', id from symbols where right(id, 2) = '01' union all select 'aggregates', 'unknown completeness', id from aggs where right(id, 2) = '02'")
 def fk_violations(g):
-    return schema.violations(g.stored().tables())
+    """A share of the rows is broken before the audit: their targets are missing, or a value is out of its set."""
+    t = g.stored().tables()
+    bad = lambda column, end, value: F.when(F.col("id").endswith(end), value).otherwise(F.col(column))
+    t["edges"] = t["edges"].withColumn("to_id", bad("to_id", "00", F.concat(F.lit("missing:"), "id")))
+    t["symbols"] = t["symbols"].withColumn("file_id", bad("file_id", "01", F.lit("file:missing")))
+    t["aggregates"] = t["aggregates"].withColumn("completeness", bad("completeness", "02", F.lit("no such value")))
+    return schema.violations(t)
 
 
 @query("g_bijection", "select coalesce(f.path, n.path) as path, case when f.path is null then 'extra' when n.path is null then 'missing' else 'duplicate' end as problem from (select path from files where modified_at % 5 <> 0) f full join (select path from files where modified_at % 3 <> 0) n on f.path=n.path where f.path is null or n.path is null")
