@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontam, langid, packing, pii, simhash
-from weftgraph.llm.common import materialize, scratch, table
+from weftgraph.llm.common import materialize, scratch, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where nothing can be learned, as no row has a language, a letter is enough. Repeated rows stay or go together.
     """
+    small_batches(spark)
     model = langid.learn(docs.where(langid.remainder(F.col("doc_id"), 5) != 0))
     return langid.keep_known(docs, model)
 
@@ -29,21 +30,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows equal in id and text become one; rows that share an id with different texts are told apart. Texts without words are
     one group.
     """
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go; null and empty texts hold none, and an empty benchmark none to hold."""
+    small_batches(spark)
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind, and n_chars follows; null and empty texts stay as they are."""
+    small_batches(spark)
     return pii.redact_texts(docs, pii.learn(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of 2048; a null or empty text is its end alone, and repeated rows are packed each."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
