@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, new_path, open_fs, table
+from .common import byte_slices, if_small, materialize, new_path, open_fs, table
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 16_384, 64, 4_096
@@ -24,6 +24,8 @@ READ_BYTES = 1 << 16
 LONGEST_RECORD = 1 << 31
 """What a binary value of a column may hold."""
 CRLF = b"\r\n"
+REVISITS = 1 << 19
+"""Pages whose roles are broadcast, of some 80 bytes each; more of them meet the pages by a shuffle."""
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LENGTH = "WARC-Payload-Length"
 """A field of our own: the bytes of the payload, which a revisit doesn't hold."""
@@ -239,7 +241,7 @@ def round_trip(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     small = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least).select("page_id", "sha1")
     first = small.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null").select("sha1", "refers_to")
     again = small.join(first, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
-    again = again.select(F.col("page_id").alias("of"), F.col("sha1").alias("has"), "refers_to")
+    again = if_small(materialize(again.select(F.col("page_id").alias("of"), F.col("sha1").alias("has"), "refers_to"), "revisits"), REVISITS)
     marked = pages.join(again, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha1") == F.col("has")), "left")
     write_archives(marked.withColumn("revisit", F.col("refers_to").isNotNull()), path)
     return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
