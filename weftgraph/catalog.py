@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from .plans import q_evaluate, q_incremental, q_reads, q_retrieve, q_text, q_traverse  # noqa: E402, F401
+from .plans import q_evaluate, q_incremental, q_ledger, q_reads, q_retrieve, q_text, q_traverse  # noqa: E402, F401

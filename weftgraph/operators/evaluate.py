@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,30 @@ def round_robin(df: DataFrame, stratum: str, key: str, limit: int) -> DataFrame:
     """A stratified sample: the first of each stratum, then the second of each, and so on."""
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(key)).cast("long")
     return df.withColumn("turn", turn).orderBy("turn", stratum).limit(limit)
+
+
+def aggregate_mode(results: DataFrame, metrics: list[str], group: str = "repository", dims: tuple[str, ...] = ("split",)) -> DataFrame:
+    """(scope, value, queries, *metrics) of the results of one mode: means over all questions (query-weighted), over each
+    group and dimension, and the mean of the groups' means (macro). Null metrics are passed over; without rows, no rows.
+
+    The results are read once, into sums by group and dimensions; every scope is made from those.
+    """
+    base = results.groupBy(group, *dims).agg(F.count("*").alias("__q"), *[f(F.col(m)).alias(f"__{k}_{m}") for m in metrics for k, f in (("s", F.sum), ("n", F.count))])
+    whole = [F.sum("__q").alias("queries"), *[(F.sum(f"__s_{m}") / F.sum(f"__n_{m}")).alias(m) for m in metrics]]
+    shape = ["scope", "value", "queries", *metrics]
+
+    def of(scope: str, df: DataFrame, value: Column) -> DataFrame:
+        return df.withColumn("scope", F.lit(scope)).withColumn("value", value).where("queries > 0").select(*shape)
+
+    per = base.groupBy(group).agg(*whole)
+    macro = per.agg(F.sum("queries").alias("queries"), *[F.avg(m).alias(m) for m in metrics])
+    parts = [of("query-weighted", base.agg(*whole), F.lit("")), of("macro", macro, F.lit("")), of(group, per, F.col(group).cast("string"))]
+    parts += [of(d, base.groupBy(d).agg(*whole), F.col(d).cast("string")) for d in dims]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stage_shares(samples: DataFrame, stages: list[str], *by: str) -> DataFrame:
+    """Each stage's share of the time of all stages, in percent; null is 0, and where there is no time all are 0."""
+    sums = samples.groupBy(*by).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in stages])
+    total = reduce(Column.__add__, [F.col(s) for s in stages])
+    return sums.select(*by, *[F.when(total == 0, 0.0).otherwise(100.0 * F.col(s) / F.nullif(total, F.lit(0))).alias(s) for s in stages])

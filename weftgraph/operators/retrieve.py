@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,3 +176,60 @@ def shape_margin(scores: DataFrame) -> DataFrame:
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "shape")
     led = scores.withColumn("rn", F.row_number().over(w)).withColumn("margin", F.col("score") - F.lead("score").over(w))
     return led.where("rn = 1").select("question_id", F.col("shape").alias("suggested"), "margin")
+
+
+def union_channels(symbols: DataFrame, aggregates: DataFrame, sets: tuple[str, ...], limit: int) -> DataFrame:
+    """Two ranked lists (id, rank, …) of the same columns as one: those of the first in their order, then the rest.
+
+    A row of both is one row: sets are united, any other column is the second list's unless that is null.
+    """
+    names = [c for c in symbols.columns if c not in ("id", "rank")]
+    side = lambda df, p: df.select("id", *[F.col(c).alias(f"{p}{c}") for c in ("rank", *names)])
+    both = side(symbols.orderBy("rank").limit(limit), "__a").join(side(aggregates.orderBy("rank").limit(limit), "__b"), "id", "full_outer")
+
+    def merged(c: str) -> Column:
+        a, b = F.col(f"__a{c}"), F.col(f"__b{c}")
+        return F.coalesce(F.array_sort(F.array_union(a, b)), F.array_sort(b), F.array_sort(a)) if c in sets else F.coalesce(b, a)
+
+    place = _first([F.col("__arank").asc_nulls_last(), F.col("__brank")])
+    return both.select("id", place.alias("rank"), *[merged(c).alias(c) for c in names]).where(F.col("rank") <= limit)
+
+
+def candidate_text(name: str = "name", aggregates: str = "aggregates") -> Column:
+    """What a candidate says: its name, qualified name, file, signature and documentation, then of each of its aggregates
+    (name, kind, completeness, members of key and value) all of these; what is null there leaves its place empty."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    own = F.array_compact(F.array(name, "qualified_name", "file", "signature", "doc"))
+
+    def words(a: Column) -> Column:
+        head = F.array(blank(a["name"]), F.coalesce(a["kind"], F.lit("")), F.coalesce(a["completeness"], F.lit("")))
+        members = F.coalesce(a["members"], F.array())
+        return F.concat(head, F.transform(members, lambda m: blank(m["key"])), F.transform(members, lambda m: blank(m["value"])))
+
+    rest = F.flatten(F.transform(F.coalesce(F.col(aggregates), F.array()), words))
+    return F.array_join(F.concat(own, rest), " ")
+
+
+def valid_permutation(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (valid): whether after has the ids of before, each once."""
+    side = lambda df, d: df.select("id", F.lit(d).alias("__d"))
+    per = side(before, 1).unionByName(side(after, 0)).groupBy("id").agg(F.sum("__d").alias("b"), F.sum(1 - F.col("__d")).alias("a"))
+    return per.agg(F.coalesce(F.bool_and((F.col("a") == 1) & (F.col("b") == 1)), F.lit(True)).alias("valid"))
+
+
+def safely_rerank(candidates: DataFrame, provider: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, dict]:
+    """The provider's order of a ranked list (id, pre_rank, …), and where it comes from: it has to return the same ids with
+    a final_rank. No provider, an error, or other ids: the old order, with the reason."""
+    kept = candidates.withColumn("final_rank", F.col("pre_rank"))
+    if provider is None:
+        return kept, {"status": "unavailable", "reason": "not-configured", "reordered": False}
+    try:
+        made = provider(candidates)
+        if not valid_permutation(candidates, made).first().valid:
+            return kept, {"status": "failed", "reason": "identity-mismatch", "reordered": False}
+        moved = not made.join(candidates.select("id", F.col("pre_rank").alias("__was")), "id").where("final_rank <> __was").isEmpty()
+    except TimeoutError as e:
+        return kept, {"status": "timed-out", "reason": "provider-error", "detail": str(e), "reordered": False}
+    except Exception as e:  # whatever a provider raises must not lose the list
+        return kept, {"status": "failed", "reason": "provider-error", "detail": str(e), "reordered": False}
+    return made, {"status": "ready", "reason": None, "reordered": moved}

@@ -166,7 +166,10 @@ def polling_speed(g):
 def _job_events(g):
     kind = F.create_map(*[F.lit(x) for kv in {"signup": "enqueue", "click": "lease", "purchase": "complete", "error": "retry", "view": "renew"}.items() for x in kv])
     e = g.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.select(F.col("user_id").alias("key"), kind[F.col("event_type")].alias("event"), F.unix_millis("ts").alias("ts_ms"), F.col("event_id").alias("seq"))
+    n = F.col("event_id")
+    event = F.when(n % 9 == 0, "accept").otherwise(kind[F.col("event_type")])
+    told = [F.when(n % 3 == 0, "delete").otherwise("upsert").alias("operation"), F.concat(F.lit("h"), n % 2).alias("document_hash"), F.concat(F.lit("w"), F.col("user_id") % 2).alias("owner")]
+    return e.select(F.col("user_id").alias("key"), event.alias("event"), F.unix_millis("ts").alias("ts_ms"), n.alias("seq"), *told)
 
 
 @query("s_job_state")

@@ -31,6 +31,10 @@ class Snapshot:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}
 
+    def sql(self, text: str, args: dict | None = None) -> DataFrame:
+        """A question of one's own: SQL that names tables as ``{symbols}`` and values as ``:name``."""
+        return self.spark.sql(text, args=args or {}, **self.tables())
+
 
 class Store:
     """Generations under a URI. ``state()`` is empty, ready or incompatible; a generation without manifest doesn't exist."""

@@ -10,63 +10,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_ATTEMPTS, BASE_MS, MOST_MS, LEASE_MS = 5, 1_000, 60_000, 30_000
-EVENTS = ("enqueue", "lease", "renew", "complete", "retry", "cancel", "expire")
+EVENTS = ("enqueue", "lease", "renew", "accept", "complete", "retry", "cancel", "expire")
+TOLD = ("operation", "document_hash", "owner")  # what an event may say besides its kind
 
 
 @dataclass
 class Job:
-    status: str = "none"  # none, pending, leased, failed
+    """status: none, pending, leased or failed. operation and hash say what is to be done; owner holds the lease."""
+
+    status: str = "none"
     attempts: int = 0
     available_at: int = 0
     lease_until: int = 0
     completed: int = 0
     superseded: int = 0
+    operation: str | None = None
+    document_hash: str | None = None
+    owner: str | None = None
+    accepted_at: int | None = None
+
+    def _free(self, status: str, available_at: int) -> None:
+        self.status, self.available_at, self.lease_until, self.owner, self.accepted_at = status, available_at, 0, None, None
 
-    def apply(self, event: str, now: int) -> None:
-        """One event; those that the state doesn't allow change nothing, a late completion is counted as superseded."""
+    def apply(self, event: str, now: int, operation: str | None = None, document_hash: str | None = None, owner: str | None = None) -> None:
+        """One event; those that the state doesn't allow change nothing, a late completion is counted as superseded.
+
+        The same operation on the same text joins a job that waits or runs; any other replaces it, and the lease is lost.
+        Renewing, accepting, completing and retrying take the owner of the lease.
+        """
         if self.status == "leased" and self.lease_until <= now:
-            self.status = "pending"
+            self._free("pending", now)
+        held = self.status == "leased" and self.owner == owner
         if event == "enqueue":
-            if self.status not in ("pending", "leased"):
-                self.status, self.attempts, self.available_at, self.lease_until = "pending", 0, now, 0
+            same = (self.operation, self.document_hash) == (operation, document_hash)
+            if not (same and self.status in ("pending", "leased")):
+                self._free("pending", now)
+                self.attempts, self.operation, self.document_hash = 0, operation, document_hash
         elif event == "lease":
             if self.status == "pending" and self.available_at <= now:
-                self.status, self.lease_until = "leased", now + LEASE_MS
+                self.status, self.lease_until, self.owner = "leased", now + LEASE_MS, owner
         elif event == "renew":
-            if self.status == "leased":
+            if held:
                 self.lease_until = now + LEASE_MS
+        elif event == "accept":
+            if held:
+                self.accepted_at = now
         elif event == "complete":
-            if self.status == "leased":
-                self.status, self.completed = "none", self.completed + 1
+            if held:
+                self._free("none", self.available_at)
+                self.completed, self.operation, self.document_hash = self.completed + 1, None, None
             else:
                 self.superseded += 1
         elif event == "retry":
-            if self.status == "leased":
+            if held:
                 self.attempts += 1
                 if self.attempts >= MOST_ATTEMPTS:
-                    self.status = "failed"
+                    self._free("failed", self.available_at)
                 else:
-                    self.status, self.available_at = "pending", now + min(MOST_MS, BASE_MS * 2**self.attempts)
+                    self._free("pending", now + min(MOST_MS, BASE_MS * 2**self.attempts))
         elif event == "cancel":
-            self.status = "none"
+            self._free("none", self.available_at)
+            self.operation = self.document_hash = None
 
 
-STATE = "status string, attempts long, available_at long, lease_until long, completed long, superseded long"
+STATE = "status string, attempts long, available_at long, lease_until long, completed long, superseded long, operation string, document_hash string, owner string, accepted_at long"
 NAMES = [f.name for f in fields(Job)]
 
 
+def _events(events: DataFrame, key: str) -> DataFrame:
+    """The columns that a fold reads; what an event doesn't tell is null."""
+    return events.select(key, "event", "ts_ms", "seq", *[F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in TOLD])
+
+
+def _apply(job: Job, rows: pd.DataFrame) -> Job:
+    rows = rows.sort_values(["ts_ms", "seq"])
+    told = rows[list(TOLD)].astype(object).where(rows[list(TOLD)].notna(), None)
+    for event, now, *said in zip(rows["event"], rows["ts_ms"], *(told[c] for c in TOLD), strict=True):
+        job.apply(event, int(now), *said)
+    return job
+
+
 def fold(events: DataFrame, key: str = "key") -> DataFrame:
-    """Batch: the state of each key after all its events (key, event, ts_ms, seq), in order of time and seq."""
+    """Batch: the state of each key after all its events (key, event, ts_ms, seq, and maybe operation, document_hash, owner),
+    in order of time and seq."""
     kind = dict(events.dtypes)[key]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        job = Job()
-        f = f.sort_values(["ts_ms", "seq"])
-        for event, now in zip(f["event"], f["ts_ms"], strict=True):
-            job.apply(event, int(now))
-        return pd.DataFrame([{key: f[key].iloc[0], **asdict(job)}])
+        return pd.DataFrame([{key: f[key].iloc[0], **asdict(_apply(Job(), f))}])
 
-    return events.select(key, "event", "ts_ms", "seq").groupBy(key).applyInPandas(run, f"`{key}` {kind}, {STATE}")
+    return _events(events, key).groupBy(key).applyInPandas(run, f"`{key}` {kind}, {STATE}")
 
 
 def stream(events: DataFrame, key: str = "key") -> DataFrame:
@@ -76,14 +108,11 @@ def stream(events: DataFrame, key: str = "key") -> DataFrame:
     kind = dict(events.dtypes)[key]
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = Job(*state.get) if state.exists else Job()
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "seq"])
-        for event, now in zip(rows["event"], rows["ts_ms"], strict=True):
-            job.apply(event, int(now))
+        job = _apply(Job(*state.get) if state.exists else Job(), pd.concat(list(frames)))
         state.update(tuple(asdict(job).values()))
         yield pd.DataFrame([{key: name[0], **asdict(job)}])
 
-    return events.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    return _events(events, key).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def lease(jobs: DataFrame, now: int, limit: int) -> DataFrame:
