@@ -97,3 +97,72 @@ def test_analyze(spark, tmp_path):
     (tmp_path / "src/shop/db.clj").write_text(B)
     t = extract.analyze(spark, str(tmp_path))
     assert {r.path for r in t["files"].collect()} == {"src/shop/core.clj", "src/shop/db.clj"} and t["edges"].count() > 5
+
+
+T = '''(ns ui.state (:require [re-frame.core :as rf :refer [reg-fx]] [ui.names :as names]))
+(def state (atom {}))
+(def plain {})
+(rf/reg-event-db ::save (fn [db [_ x]] (assoc db :saved x)))
+(reg-fx :http (fn [_] 1))
+(rf/reg-sub ::names/all (fn [db _] (get db :hidden)))
+(defn go [k] (rf/dispatch [k 1]) (rf/dispatch-sync [::save]))
+(defn read-it [] (get-in @state [:a :b]) (get plain :none) (get @state k))
+(defn write-it [] (swap! state assoc :path 1) (reset! state {}))
+(defn mine [get] (get state :shadowed))
+'''
+U = '''(ns ui.own)
+(def box (atom nil))
+(defn swap! [a f] a)
+(defn use-it [] (swap! box inc))
+'''
+V = '''(ns net.box (:require [shop.db :as db]) (:import [java.io File] java.util.Date))
+(defrecord Box [items]
+  db/Store
+  (put [this x] (helper x items))
+  Object
+  (toString [_] "box"))
+(defn helper [x y] x)
+(extend-type File db/Store (put [this x] (.getName this)))
+(extend-protocol db/Store Date (put [d x] (Math/abs x)))
+(defn make [p] (File. p) (reify db/Store (put [_ x] (File/createTempFile p x))))
+'''
+
+
+@pytest.fixture(scope="module")
+def more(spark):
+    rows = [("src/ui/state.cljs", T), ("src/ui/own.cljs", U), ("src/net/box.clj", V), ("src/shop/db.clj", B)]
+    files = spark.createDataFrame([(p, "clojure", t, len(t), 1) for p, t in rows], "path string, language string, text string, size long, modified_at long")
+    t = extract.materialize(files, lisp.observe(files))
+    schema.check(t)
+    return t
+
+
+def test_topics_and_state(more):
+    name = {r.id: r.qualified_name for r in more["symbols"].collect()}
+    topic = {r.id: (r.kind, r.key) for r in more["topics"].collect()}
+    got = {(name[r.from_id], r.kind, *topic[r.to_id]) for r in more["edges"].where("to_type = 'topic'").collect()}
+    assert got == {
+        ("ui.state", "topic-registers", "event", ":ui.state/save"), ("ui.state", "state-writes", "state-key", ":saved"), ("ui.state", "topic-registers", "effect", ":http"),
+        ("ui.state", "topic-registers", "subscription", ":ui.names/all"), ("ui.state/go", "event-dispatches", "event", ":ui.state/save"), ("ui.state/read-it", "state-reads", "state-key", "[:a :b]"),
+        ("ui.state/read-it", "state-reads", "state-key", "atom:state"), ("ui.state/write-it", "state-writes", "state-key", "atom:state"), ("ui.state/write-it", "state-writes", "state-key", ":path"),
+    }
+    computed = {(name[r.symbol_id], r.kind, r.target_text) for r in more["references"].where("evidence = 'computed-topic'").collect()}
+    assert computed == {("ui.state/go", "event-dispatches", "[k 1]"), ("ui.state/read-it", "state-reads", "k")}
+
+
+def test_protocols_and_java(more):
+    name = {r.id: r.qualified_name for r in more["symbols"].collect()}
+    done = sorted((name[r.from_id], name[r.to_id]) for r in more["edges"].where("kind = 'protocol-implements'").collect())
+    assert done == [("net.box", "shop.db/put"), ("net.box", "shop.db/put"), ("net.box/Box", "shop.db/put"), ("net.box/make", "shop.db/put")]
+    calls = {(name[r.from_id], name[r.to_id]) for r in more["edges"].where("kind = 'calls'").collect()}
+    assert ("net.box/Box", "net.box/helper") in calls and not any(t == "shop.db/put" for _, t in calls)
+    java = {(name[r.symbol_id], r.kind, r.target_text, r.classification) for r in more["references"].collect() if r.target_text.startswith((".", "java."))}
+    assert {("net.box", "references", "java.io.File", "external"), ("net.box", "references", "java.util.Date", "external"), ("net.box", "calls", ".getName", "dynamic"), ("net.box", "calls", "java.lang.Math/abs", "dynamic"), ("net.box/make", "references", "java.io.File", "external"), ("net.box/make", "calls", "java.io.File/createTempFile", "dynamic")} == java
+    assert ("net.box/Box", "protocol-implements", "net.box/toString", "external") in {(name[r.symbol_id], r.kind, r.target_text, r.classification) for r in more["references"].collect()}
+
+
+def test_offsets_in_a_long_file():
+    text = "(ns a)\n" + "(def é \"ü\")\n(f é)\n" * 20_000
+    rows = lisp.Observer("a.clj", text, "clj").run()
+    last = max(r[12] for r in rows)
+    assert text.encode()[last:].decode().rstrip() == "é)" and len(rows) > 60_000

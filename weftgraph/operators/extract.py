@@ -70,14 +70,14 @@ def symbols_table(observed: DataFrame) -> DataFrame:
     kind = F.when(F.col("platform") == "janet", "module").otherwise("namespace")
     spaces = ns.select(
         digest_id("symbol", F.col("platform"), file, kind, F.col("name"), F.lit("")).alias("id"), "name", F.col("name").alias("qualified_name"), kind.alias("kind"), file.alias("file_id"), "platform", F.lit("reader").alias("analyzer"),
-        kind.alias("scope"), kind.alias("role"), F.lit(False).alias("indexable"), F.lit(None).cast("string").alias("signature"), F.col("r.detail").alias("doc"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"), F.col("name").alias("ns"),
+        kind.alias("scope"), kind.alias("role"), F.lit(False).alias("indexable"), F.lit(None).cast("string").alias("signature"), F.col("r.detail").alias("doc"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"), F.col("name").alias("ns"), F.lit("").alias("protocol"),
     )
     v = observed.where("kind = 'var'").groupBy("path", "platform", "ns", "name", F.coalesce("target", F.lit("")).alias("protocol")).agg(F.max_by(F.struct("detail", "start_line", "end_line"), "start_byte").alias("r")).withColumn("detail", F.col("r.detail"))
     q = F.concat("ns", F.lit("/"), "name")
     vars_ = v.select(
         digest_id("symbol", F.col("platform"), file, _detail(1), q, F.col("protocol")).alias("id"), "name", q.alias("qualified_name"), _detail(1).alias("kind"), file.alias("file_id"), "platform", F.lit("reader").alias("analyzer"),
         F.when(F.col("protocol") != "", "method").otherwise("top-level").alias("scope"), F.when(F.col("protocol") != "", "method").otherwise("definition").alias("role"), F.lit(True).alias("indexable"),
-        F.nullif(_detail(3), F.lit("")).alias("signature"), F.nullif(_detail(4), F.lit("")).alias("doc"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"), "ns",
+        F.nullif(_detail(3), F.lit("")).alias("signature"), F.nullif(_detail(4), F.lit("")).alias("doc"), F.col("r.start_line").alias("start_line"), F.col("r.end_line").alias("end_line"), "ns", "protocol",
     )
     return spaces.unionByName(vars_)
 
@@ -85,7 +85,7 @@ def symbols_table(observed: DataFrame) -> DataFrame:
 def _owned(observed: DataFrame, symbols: DataFrame) -> DataFrame:
     """Uses with from_id: the symbol around them in their file and platform, else the file's namespace."""
     key = F.concat_ws("|", F.concat(F.lit("file:"), "path"), "platform")
-    uses = observed.where(F.col("kind").isin("usage", "local-call", "require")).withColumn("point_id", F.sha2(F.concat_ws("|", "path", "platform", "kind", "start_byte", F.coalesce("target_ns", F.lit("")), F.coalesce("target", F.lit(""))), 256)).withColumn("spot", key)
+    uses = observed.where(F.col("kind").isin("usage", "local-call", "require", "java", "protocol-impl", "topic")).withColumn("point_id", F.sha2(F.concat_ws("|", "path", "platform", "kind", "start_byte", F.coalesce("target_ns", F.lit("")), F.coalesce("target", F.lit(""))), 256)).withColumn("spot", key)
     spans = symbols.where(~F.col("kind").isin("namespace", "module")).select("id", F.concat_ws("|", "file_id", "platform").alias("file_id"), "start_line", "end_line")
     owners = owner_intervals(uses.select("point_id", F.col("spot").alias("file_id"), F.col("start_line").alias("line")), spans)
     home = symbols.where(F.col("kind").isin("namespace", "module")).groupBy(F.concat_ws("|", "file_id", "platform").alias("home_spot")).agg(F.min("id").alias("home"))
@@ -112,8 +112,12 @@ def relations(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataF
     spaces = symbols.where(F.col("kind").isin("namespace", "module")).groupBy(F.col("platform").alias("d_platform"), F.col("qualified_name").alias("d_ns")).agg(F.count("*").alias("n"), F.min("id").alias("to_id"))
     imports = r.join(spaces, (F.col("platform") == F.col("d_platform")) & (F.col("target_ns") == F.col("d_ns")), "left").withColumn("full", F.col("target_ns")).withColumn("rel", F.lit("imports")).withColumn("state", F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("external"))
     local = uses.where("kind = 'local-call'").withColumn("full", F.col("target")).withColumn("rel", F.lit("calls")).withColumn("state", F.lit("dynamic")).withColumn("line", F.col("start_line")).withColumn("to_id", F.lit(None).cast("string"))
+    java = uses.where("kind = 'java'").withColumn("full", F.col("target")).withColumn("rel", _detail(1)).withColumn("state", _detail(2)).withColumn("line", F.col("start_line")).withColumn("to_id", F.lit(None).cast("string"))
+    methods = symbols.where("protocol <> ''").groupBy(F.col("platform").alias("d_platform"), F.col("ns").alias("d_ns"), F.col("name").alias("d_name"), "protocol").agg(F.countDistinct("id").alias("n"), F.min("id").alias("to_id"))
+    impl = uses.where("kind = 'protocol-impl'").join(methods, (F.col("platform") == F.col("d_platform")) & (F.col("target_ns") == F.col("d_ns")) & (F.col("target") == F.col("d_name")) & (F.col("detail") == F.col("protocol")), "left")
+    impl = impl.withColumn("full", F.concat("target_ns", F.lit("/"), "target")).withColumn("rel", F.lit("protocol-implements")).withColumn("state", F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("external")).withColumn("line", F.col("start_line"))
     cols = ["from_id", "to_id", "rel", "state", "full", "line"]
-    every = reduce(DataFrame.unionByName, [x.select(*cols) for x in (j, imports, local)])
+    every = reduce(DataFrame.unionByName, [x.select(*cols) for x in (j, imports, local, java, impl)])
     home = symbols.where(F.col("kind").isin("namespace", "module")).select(F.col("id").alias("from_id"), F.col("ns").alias("c_ns"), F.col("file_id").alias("c_file"), F.col("platform").alias("c_platform"), F.col("start_line").alias("line"))
     held = defs.select(F.col("id").alias("to_id"), F.col("qualified_name").alias("full"), "ns", "file_id", "platform")
     inside = held.join(home, (F.col("ns") == F.col("c_ns")) & (F.col("file_id") == F.col("c_file")) & (F.col("platform") == F.col("c_platform"))).select("from_id", "to_id", F.lit("contains").alias("rel"), F.lit("exact").alias("state"), "full", "line")
@@ -165,23 +169,30 @@ def aggregates_of(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, D
     return out, members
 
 
-def topics_of(observed: DataFrame, symbols: DataFrame, references: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(topics, edges to them). A call of a topic API whose line holds a keyword right after names that topic."""
-    names = F.create_map(*[F.lit(x) for k, (t, e) in TOPIC_APIS.items() for x in (k, f"{t}|{e}")])
-    calls = references.where("kind = 'calls'").select("symbol_id", "target_text", "line").unionByName(edges.where("kind = 'calls'").select(F.col("from_id").alias("symbol_id"), "target_text", "line"))
-    api = names[F.col("target_text")]
-    c = calls.withColumn("api", api).where("api is not null")
-    s = symbols.select(F.col("id").alias("s_id"), "file_id", "platform", "ns")
-    c = c.join(s, F.col("symbol_id") == F.col("s_id")).where("platform = 'cljs'")
-    keys = observed.where("kind = 'topic-key'").select(F.concat(F.lit("file:"), "path").alias("k_file"), F.col("platform").alias("k_platform"), F.col("start_line").alias("k_line"), F.col("target").alias("key"))
-    t = c.join(keys, (F.col("file_id") == F.col("k_file")) & (F.col("platform") == F.col("k_platform")) & (F.col("line") == F.col("k_line"))).withColumn("topic_kind", F.split("api", r"\|")[0]).withColumn("edge_kind", F.split("api", r"\|")[1])
+def topics_of(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(topics, edges to them, references). A call of a topic API with a literal key names that topic; with a computed one it
+    is a dynamic reference. A plain name counts as the language's own only where the namespace has no such definition."""
+    defs = symbols.select(F.col("platform").alias("d_platform"), F.col("ns").alias("d_ns"), F.col("name").alias("d_name"))
+    plain = (_detail(5) == "plain") & (F.col("platform") == F.col("d_platform")) & (F.col("target_ns") == F.col("d_ns")) & (F.col("target") == F.col("d_name"))
+    calls = _owned(observed, symbols).where("kind = 'topic' and platform = 'cljs'").join(defs, plain, "left_anti")
+    names = F.create_map(*[F.lit(x) for k, te in TOPIC_APIS.items() for x in (k, F.array(*map(F.lit, te)))])
+    api = names[F.concat("target_ns", F.lit("/"), "target")]
+    t = calls.select(
+        F.col("from_id").alias("symbol_id"), "platform", F.col("start_line").alias("line"), "start_byte", F.coalesce(F.nullif(_detail(2), F.lit("")), api[0]).alias("topic_kind"),
+        F.coalesce(F.nullif(_detail(1), F.lit("")), api[1]).alias("edge_kind"), F.nullif(_detail(3), F.lit("")).alias("key"), _detail(4).alias("said"),
+    ).where("edge_kind is not null")
     topic_id = digest_id("topic", F.col("topic_kind"), F.col("key"), F.col("platform"))
-    topics = t.select(topic_id.alias("id"), F.col("topic_kind").alias("kind"), "key", "platform").distinct()
-    out = t.select(
+    known = t.where("key is not null")
+    topics = known.select(topic_id.alias("id"), F.col("topic_kind").alias("kind"), "key", "platform").distinct()
+    out = known.select(
         digest_id("edge", F.col("edge_kind"), F.col("symbol_id"), topic_id, F.col("line")).alias("id"), F.col("edge_kind").alias("kind"), F.col("symbol_id").alias("from_id"), topic_id.alias("to_id"), F.lit("topic").alias("to_type"), F.col("key").alias("target_text"),
-        F.lit("exact").alias("resolution"), F.lit(1.0).alias("confidence"), F.lit("reader").alias("evidence"), "line",
+        F.lit("exact").alias("resolution"), F.lit(1.0).alias("confidence"), F.lit("literal-form").alias("evidence"), "line",
+    ).dropDuplicates(["id"])
+    refs = t.where("key is null").select(
+        digest_id("reference", F.col("symbol_id"), F.col("edge_kind"), F.col("said"), F.lit("dynamic"), F.col("line")).alias("id"), "symbol_id", F.col("edge_kind").alias("kind"), F.col("said").alias("target_text"),
+        F.lit("dynamic").alias("classification"), F.lit("computed-topic").alias("evidence"), "line",
     ).dropDuplicates(["id"])
-    return topics, out
+    return topics, out, refs
 
 
 def materialize(files: DataFrame, observed: DataFrame) -> dict[str, DataFrame]:
@@ -195,9 +206,9 @@ def materialize(files: DataFrame, observed: DataFrame) -> dict[str, DataFrame]:
     with_ns = cut(symbols_table(observed))
     edges, refs = (cut(x) for x in relations(observed, with_ns))
     aggregates, memberships = aggregates_of(observed, with_ns)
-    topics, topic_edges = topics_of(observed, with_ns, refs, edges)
+    topics, topic_edges, computed = topics_of(observed, with_ns)
     out = {
-        "files": files_table(files), "symbols": with_ns.drop("ns"), "edges": edges.unionByName(topic_edges), "references": refs, "topics": topics,
+        "files": files_table(files), "symbols": with_ns.drop("ns", "protocol"), "edges": edges.unionByName(topic_edges), "references": refs.unionByName(computed), "topics": topics,
         "effects": effects_of(edges, refs, with_ns), "aggregates": aggregates, "memberships": memberships,
     }
     return {name: df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]) for name, df in out.items()}

@@ -14,7 +14,7 @@ SEPARATOR = "\u001f"
 SYMBOL_KINDS = ("namespace", "module", "function", "macro", "method", "variable", "constant", "type", "protocol", "record", "multimethod", "test")
 EDGE_KINDS = ("contains", "calls", "macro-invokes", "references", "imports", "implements", "extends", "topic-registers", "event-dispatches", "subscribes", "state-reads", "state-writes", "protocol-implements")
 REFERENCE_CLASSES = ("external", "dynamic", "ambiguous", "unresolved")
-TOPIC_KINDS = ("event", "subscription", "state", "effect", "coeffect")
+TOPIC_KINDS = ("event", "subscription", "effect", "coeffect", "state-key")
 COMPLETENESS = ("complete-static", "complete-resolved", "partial-static", "dynamic", "unknown")
 CALL_KINDS = ("calls", "macro-invokes")
 ENTITY_TYPES = ("file", "symbol", "edge", "reference", "topic", "effect", "aggregate", "membership")

@@ -5,8 +5,10 @@ The reader is run file by file inside Spark (``observe``); everything after it i
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +25,13 @@ DEFINERS = {
 }
 BINDERS = {"let", "loop", "for", "doseq", "binding", "when-let", "if-let", "when-some", "if-some", "with-open", "dotimes", "let*", "loop*", "each", "eachp", "with-redefs"}
 FUNCTIONS = {"fn", "fn*", "defn", "defn-", "defmacro", "defmacro-", "varfn"}
-TOPIC_CALLS = {"reg-event-db", "reg-event-fx", "dispatch", "dispatch-sync", "reg-sub", "subscribe"}
+TOPIC_NAMESPACE = "re-frame.core"
+TOPIC_CALLS = {"reg-event-db", "reg-event-fx", "reg-event-ctx", "reg-sub", "reg-fx", "reg-cofx", "dispatch", "dispatch-sync", "subscribe"}
+HEAD_OF_VECTOR = TOPIC_CALLS - {"reg-fx", "reg-cofx"}  # where a vector's first item is the key
+STATE_READS, STATE_WRITES = {"get", "get-in"}, {"assoc", "assoc-in", "update", "update-in", "dissoc"}
+ATOM_CALLS = {"swap!", "deref", "reset!"}
+CORE = {"clojure.core", "cljs.core"}
+IMPLEMENTERS = {"defrecord", "deftype", "extend-type", "extend-protocol", "reify"}
 SPECIAL = {"if", "do", "quote", "recur", "throw", "try", "catch", "finally", "new", "set!", "var", "&", ".", "nil", "true", "false", "break", "while"}
 
 
@@ -208,13 +216,17 @@ class Observer:
         self.refers: dict[str, str] = {}
         self.rows: list[tuple] = []
         self.starts = [0, *[i + 1 for i, c in enumerate(text) if c == "\n"]]
+        self.bytes = None if text.isascii() else list(accumulate((len(c.encode()) for c in text), initial=0))
         self.owner: str | None = None
+        self.imports: dict[str, str] = {}
+        self.atoms: set[str] = set()
+        self.handlers: list[tuple[int, int, str]] = []  # where a handler's first parameter is the state
+        self.pending: list[tuple[Node, Node | None, tuple]] = []  # accesses whose root is known when the file is read
 
     def _place(self, n: Node) -> tuple:
-        from bisect import bisect_right
-
         a, b = bisect_right(self.starts, n.start) - 1, bisect_right(self.starts, n.end) - 1
-        return a + 1, n.start - self.starts[a] + 1, b + 1, n.end - self.starts[b] + 1, len(self.text[: n.start].encode()), len(self.text[: n.end].encode())
+        first, last = (n.start, n.end) if self.bytes is None else (self.bytes[n.start], self.bytes[n.end])
+        return a + 1, n.start - self.starts[a] + 1, b + 1, n.end - self.starts[b] + 1, first, last
 
     def _row(self, kind: str, n: Node, name: str | None = None, target_ns: str | None = None, target: str | None = None, detail: str | None = None) -> None:
         self.rows.append((self.path, self.platform, kind, self.ns, name, target_ns, target, detail, *self._place(n)))
@@ -229,6 +241,9 @@ class Observer:
             self._row("namespace", Node("symbol", self.ns, 0, len(self.text)), self.ns)
         for f in forms:
             self._top(f)
+        for head, root, row in self.pending:
+            if self._is_state(head, root):
+                self._row(*row)
         return self.rows
 
     def _top(self, f: Node) -> None:
@@ -251,11 +266,25 @@ class Observer:
         self._row("namespace", f, self.ns, detail=doc)
         for clause in f.children[2:]:
             if clause.kind == "list" and clause.children and clause.children[0].text in (":require", ":use", ":require-macros", ":refer-clojure", ":import"):
-                if clause.children[0].text in (":refer-clojure", ":import"):
+                if clause.children[0].text == ":refer-clojure":
+                    continue
+                if clause.children[0].text == ":import":
+                    if self.platform == "clj":
+                        for spec in clause.children[1:]:
+                            self._import(spec)
                     continue
                 for spec in clause.children[1:]:
                     self._require(spec, "")
 
+    def _import(self, spec: Node) -> None:
+        """A class by its full name, or a package and its classes."""
+        package = spec.children[0].text if spec.kind in ("vector", "list") and spec.children else None
+        for c in spec.children[1:] if package else [spec]:
+            if c.kind == "symbol":
+                full = f"{package}.{c.text}" if package else c.text
+                self.imports[full.rsplit(".", 1)[-1]] = full
+                self._row("java", c, target=full, detail="references\x1fexternal")
+
     def _require(self, spec: Node, prefix: str) -> None:
         if spec.kind == "symbol":
             return self._row("require", spec, target_ns=prefix + spec.text)
@@ -317,12 +346,38 @@ class Observer:
             return
         if kind in ("function", "macro"):
             self._function(rest, frozenset())
+        elif short in IMPLEMENTERS:
+            fields_ = self._names(rest[0]) if rest and rest[0].kind == "vector" else frozenset()
+            self._implements(short, rest[1:] if fields_ or rest and rest[0].kind == "vector" else rest, fields_)
         else:
             for c in rest:
                 self._walk(c, frozenset())
         if kind == "variable" and rest and rest[-1].kind in ("map", "vector", "set"):
             self._literal(name.text, rest[-1])
 
+    def _implements(self, form: str, parts: list[Node], scope: frozenset) -> None:
+        """Types or protocols, each followed by the methods that implement it; options come in pairs of a keyword and a value."""
+        protocol = parts[0] if form in ("extend-type", "extend-protocol") and parts else None
+        if form == "extend-type" and parts:
+            self._walk(parts[0], scope)
+        for c in parts[1:] if protocol else parts:
+            if c.kind == "list" and c.children and c.children[0].kind == "symbol":
+                if protocol is not None and protocol.kind == "symbol":
+                    space, name = self._resolved(protocol.text)
+                    self._row("protocol-impl", c, self.owner, space, c.children[0].text, name)
+                self._function(c.children[1:], scope | {c.children[0].text})
+            elif c.kind != "keyword":
+                if c.kind == "symbol" and form != "extend-protocol":
+                    protocol = c
+                self._walk(c, scope)
+
+    def _resolved(self, text: str) -> tuple[str, str]:
+        """(namespace, name) of a symbol that isn't a local."""
+        space, slash, short = text.partition("/")
+        if slash and space and short:
+            return self.alias.get(space, space), short
+        return self.refers.get(text, self.ns), text
+
     def _literal(self, owner: str, n: Node) -> None:
         """A collection that is a var's value, with its members in order."""
         self._row("aggregate", n, owner, detail=n.kind)
@@ -372,27 +427,117 @@ class Observer:
             elif name == "quote":
                 return
             else:
-                if name in TOPIC_CALLS and len(n.children) > 1:
-                    key = n.children[1]
-                    key = key.children[0] if key.kind == "vector" and key.children else key
-                    if key.kind == "keyword":
-                        self._row("topic-key", head, self.owner, target=self._keyword(key.text))
+                if head.kind == "symbol" and self.platform == "cljs" and name in TOPICAL and head.text not in scope and head.text.partition("/")[0] not in scope:
+                    self._topical(n, name)
+                if name in ("extend-type", "extend-protocol", "reify"):
+                    self._walk(head, scope, True)
+                    return self._implements(name, n.children[1:], scope)
                 self._walk(head, scope, True)
                 for c in n.children[1:]:
                     self._walk(c, scope)
         elif n.kind == "quote":
             return
         else:
+            if n.kind == "deref" and self.platform == "cljs" and self.text[n.start] == "@" and n.children[0].kind == "symbol" and n.children[0].text not in scope:
+                self._atom_access(n, n.children[0], "state-reads", "deref", True)
             for c in n.children:
                 if c.kind != "meta":
                     self._walk(c, scope)
 
+    # topics: what a call reads, writes, registers or sends, where its key is literal
+    def _topical(self, n: Node, name: str) -> None:
+        """Rows ``topic`` of a call: target_ns and target as called, detail: relation, kind of topic, key (empty where it is
+        computed), the argument's text, and whether the name is a plain one."""
+        head, args = n.children[0], n.children[1:]
+        arg = lambda i: args[i] if i < len(args) else None
+        space, short = self._resolved(head.text)
+        plain = "/" not in head.text and head.text not in self.refers
+        if space == TOPIC_NAMESPACE and short in TOPIC_CALLS:
+            self._topic_row(n, (space, short, False), "", "", arg(0), short in HEAD_OF_VECTOR)
+            handler = next((c for c in args[1:] if c.kind == "list" and c.children and c.children[0].text.rsplit("/", 1)[-1] == "fn"), None)
+            params = next((c for c in handler.children[1:] if c.kind == "vector"), None) if handler and short == "reg-event-db" else None
+            if params and params.children and params.children[0].kind == "symbol":
+                self.handlers.append((n.start, n.end, params.children[0].text))
+        elif not plain and space not in CORE:
+            return
+        elif short == "atom":
+            self.atoms |= {self.owner, f"{self.ns}/{self.owner}"} if self.owner else set()
+        elif short in STATE_READS | STATE_WRITES:
+            edge = "state-reads" if short in STATE_READS else "state-writes"
+            self._topic_row(n, (space, short, plain), edge, "state-key", arg(1), False, (n, arg(0)))
+        elif short in ATOM_CALLS and arg(0) is not None:
+            edge = "state-reads" if short == "deref" else "state-writes"
+            self._atom_access(n, arg(0), edge, short, plain)
+            if short == "swap!" and self._key(arg(2), False):
+                self._topic_row(n, (space, short, plain), edge, "state-key", arg(2), False, (n, self._atom_symbol(arg(0), True)))
+
+    def _atom_access(self, n: Node, root: Node, edge: str, short: str, plain: bool) -> None:
+        named = self._atom_symbol(root, short != "deref")
+        if named is not None:
+            where = self.ns if plain else "cljs.core"
+            detail = "\x1f".join([edge, "state-key", f"atom:{root.text}" if root.kind == "symbol" else f"atom:{named.text}", "", "plain" if plain else "qualified"])
+            self.pending.append((n, Node("atom", named.text, n.start, n.end), ("topic", n, self.owner, where, short, detail)))
+
+    def _topic_row(self, n: Node, called: tuple[str, str, bool], edge: str, kind: str, argument: Node | None, first: bool, root: tuple | None = None) -> None:
+        space, short, plain = called
+        said = self.text[argument.start : argument.end] if argument is not None else "<computed-topic>"
+        detail = "\x1f".join([edge, kind, self._key(argument, first) or "", said, "plain" if plain else "qualified"])
+        row = ("topic", n, self.owner, space, short, detail)
+        if root is None:
+            self._row(*row)
+        elif root[1] is not None:
+            self.pending.append((*root, row))
+
+    @staticmethod
+    def _atom_symbol(n: Node | None, deref: bool) -> Node | None:
+        """The symbol that names an atom, or the one that is dereferenced."""
+        if n is None or n.kind == "symbol":
+            return n
+        if deref and n.kind == "deref" and n.children[0].kind == "symbol":
+            return n.children[0]
+        if deref and n.kind == "list" and len(n.children) > 1 and n.children[0].text.rsplit("/", 1)[-1] == "deref" and n.children[1].kind == "symbol":
+            return n.children[1]
+        return None
+
+    def _is_state(self, call: Node, root: Node | None) -> bool:
+        """Whether a root is an atom of this file, or, as a symbol, the state that a handler around the call is given."""
+        named = root if root is not None and root.kind == "atom" else self._atom_symbol(root, True)
+        if named is None:
+            return False
+        if named.text in self.atoms:
+            return True
+        return root.kind == "symbol" and any(a <= call.start < b and root.text == name for a, b, name in self.handlers)
+
+    def _key(self, n: Node | None, first: bool) -> str | None:
+        """A topic's key: a keyword, or a vector of literals, as it prints; None for all that is computed."""
+        if n is None or not self._static(n):
+            return None
+        if first and n.kind == "vector":
+            n = n.children[0] if n.children else None
+        return self._printed(n) if n is not None and n.kind in ("keyword", "vector") else None
+
+    def _static(self, n: Node) -> bool:
+        if n.kind in ("vector", "map", "set"):
+            return all(self._static(c) for c in n.children)
+        return n.kind in ("keyword", "string", "number", "char") or (n.kind == "symbol" and n.text in ("nil", "true", "false"))
+
+    def _printed(self, n: Node) -> str:
+        if n.kind in ("vector", "map", "set"):
+            a, b = {"vector": "[]", "map": "{}", "set": ("#{", "}")}[n.kind]
+            return a + " ".join(map(self._printed, n.children)) + b
+        return self._keyword(n.text) if n.kind == "keyword" else self.text[n.start : n.end]
+
     def _keyword(self, text: str) -> str:
-        """``::name`` in its namespace."""
-        return f":{self.ns}/{text[2:]}" if text.startswith("::") and "/" not in text else text
+        """``::name`` in its namespace, ``::alias/name`` in the one that the alias stands for."""
+        if not text.startswith("::"):
+            return text
+        space, slash, name = text[2:].partition("/")
+        return f":{self.alias.get(space, space)}/{name}" if slash else f":{self.ns}/{space}"
 
     def _use(self, n: Node, scope: frozenset, call: bool) -> None:
         name = n.text
+        if self.platform == "clj" and name not in scope and self._java(n, name, call):
+            return
         if name in SPECIAL or name.startswith((".", "%")) or name.endswith("."):
             return
         kind = "call" if call else "mention"
@@ -409,6 +554,27 @@ class Observer:
             self._row("usage", n, self.owner, self.ns, name, f"{kind}\x1fplain")
 
 
+    def _java(self, n: Node, name: str, call: bool) -> bool:
+        """Calls of members are dynamic, classes by themselves external; both are told by the name alone."""
+        if name in SPECIAL or name == ".." or name.startswith("%"):
+            return False
+        if name.startswith("."):
+            if call and len(name) > 1:
+                self._row("java", n, self.owner, target=name, detail="calls\x1fdynamic")
+            return True
+        space, slash, member = name.partition("/")
+        bare = space.removesuffix(".") if not slash else space
+        known = self.imports.get(bare) or (bare if "." in bare and bare.rsplit(".", 1)[-1][:1].isupper() else None)
+        if slash and member and space not in self.alias and (known or space[:1].isupper()):
+            self._row("java", n, self.owner, target=f"{known or 'java.lang.' + space}/{member}", detail="calls\x1fdynamic")
+            return True
+        if not slash and (known or (name.endswith(".") and len(name) > 1)):
+            self._row("java", n, self.owner, target=known or bare, detail="references\x1fexternal")
+            return True
+        return False
+
+
+TOPICAL = TOPIC_CALLS | STATE_READS | STATE_WRITES | ATOM_CALLS | {"atom"}
 PLATFORMS = {"clj": ("clj",), "cljs": ("cljs",), "cljc": ("clj", "cljs"), "janet": ("janet",)}
 
 
