@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import SCHEMAS, content_hash, digest_id
 from .reads import owner_intervals
+from .traverse import cut
 
 # Forms of the language itself, whose use makes no relation.
 SUPPRESSED = ("def", "defn", "defn-", "defmacro", "defonce", "defmulti", "defmethod", "defprotocol", "defrecord", "deftype", "fn", "let", "loop", "if", "when", "cond", "case", "do", "and", "or", "not", "ns", "->", "->>", "for", "doseq", "recur")
@@ -92,10 +93,9 @@ def _owned(observed: DataFrame, symbols: DataFrame) -> DataFrame:
     return uses.join(owners, "point_id", "left").join(home, F.col("spot") == F.col("home_spot"), "left").withColumn("from_id", F.coalesce("owner", "home")).where("from_id is not null").drop("owner", "home", "home_spot")
 
 
-def relations(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, references). One definition of a target makes an exact edge, several an ambiguous reference, none an
+def relations(uses: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, references) of uses with their owners. One definition of a target makes an exact edge, several an ambiguous reference, none an
     unresolved one in a namespace of the project, else an external one; a call through a local is dynamic."""
-    uses = _owned(observed, symbols)
     u = uses.where("kind = 'usage'").where(~F.col("target").isin(*SUPPRESSED))
     defs = symbols.where(~F.col("kind").isin("namespace", "module"))
     d = defs.groupBy(F.col("platform").alias("d_platform"), F.col("ns").alias("d_ns"), F.col("name").alias("d_name")).agg(F.countDistinct("id").alias("n"), F.min("id").alias("to_id"), F.min_by("kind", "id").alias("to_kind"))
@@ -117,7 +117,7 @@ def relations(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataF
     impl = uses.where("kind = 'protocol-impl'").join(methods, (F.col("platform") == F.col("d_platform")) & (F.col("target_ns") == F.col("d_ns")) & (F.col("target") == F.col("d_name")) & (F.col("detail") == F.col("protocol")), "left")
     impl = impl.withColumn("full", F.concat("target_ns", F.lit("/"), "target")).withColumn("rel", F.lit("protocol-implements")).withColumn("state", F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("external")).withColumn("line", F.col("start_line"))
     cols = ["from_id", "to_id", "rel", "state", "full", "line"]
-    every = reduce(DataFrame.unionByName, [x.select(*cols) for x in (j, imports, local, java, impl)])
+    every = cut(reduce(DataFrame.unionByName, [x.select(*cols) for x in (j, imports, local, java, impl)]))
     home = symbols.where(F.col("kind").isin("namespace", "module")).select(F.col("id").alias("from_id"), F.col("ns").alias("c_ns"), F.col("file_id").alias("c_file"), F.col("platform").alias("c_platform"), F.col("start_line").alias("line"))
     held = defs.select(F.col("id").alias("to_id"), F.col("qualified_name").alias("full"), "ns", "file_id", "platform")
     inside = held.join(home, (F.col("ns") == F.col("c_ns")) & (F.col("file_id") == F.col("c_file")) & (F.col("platform") == F.col("c_platform"))).select("from_id", "to_id", F.lit("contains").alias("rel"), F.lit("exact").alias("state"), "full", "line")
@@ -169,18 +169,18 @@ def aggregates_of(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, D
     return out, members
 
 
-def topics_of(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def topics_of(uses: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, edges to them, references). A call of a topic API with a literal key names that topic; with a computed one it
     is a dynamic reference. A plain name counts as the language's own only where the namespace has no such definition."""
     defs = symbols.select(F.col("platform").alias("d_platform"), F.col("ns").alias("d_ns"), F.col("name").alias("d_name"))
     plain = (_detail(5) == "plain") & (F.col("platform") == F.col("d_platform")) & (F.col("target_ns") == F.col("d_ns")) & (F.col("target") == F.col("d_name"))
-    calls = _owned(observed, symbols).where("kind = 'topic' and platform = 'cljs'").join(defs, plain, "left_anti")
+    calls = uses.where("kind = 'topic' and platform = 'cljs'").join(defs, plain, "left_anti")
     names = F.create_map(*[F.lit(x) for k, te in TOPIC_APIS.items() for x in (k, F.array(*map(F.lit, te)))])
     api = names[F.concat("target_ns", F.lit("/"), "target")]
-    t = calls.select(
+    t = cut(calls.select(
         F.col("from_id").alias("symbol_id"), "platform", F.col("start_line").alias("line"), "start_byte", F.coalesce(F.nullif(_detail(2), F.lit("")), api[0]).alias("topic_kind"),
         F.coalesce(F.nullif(_detail(1), F.lit("")), api[1]).alias("edge_kind"), F.nullif(_detail(3), F.lit("")).alias("key"), _detail(4).alias("said"),
-    ).where("edge_kind is not null")
+    ).where("edge_kind is not null"))
     topic_id = digest_id("topic", F.col("topic_kind"), F.col("key"), F.col("platform"))
     known = t.where("key is not null")
     topics = known.select(topic_id.alias("id"), F.col("topic_kind").alias("kind"), "key", "platform").distinct()
@@ -198,15 +198,14 @@ def topics_of(observed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataF
 def materialize(files: DataFrame, observed: DataFrame) -> dict[str, DataFrame]:
     """All tables of the model from files (path, language, text, size, modified_at) and their observations.
 
-    Symbols and relations feed several tables, so both are written once to the shared folder.
+    What feeds several tables is written once to the shared folder: observations, symbols, owned uses, relations, topics.
     """
-    from .traverse import cut
-
     observed = cut(observed)
     with_ns = cut(symbols_table(observed))
-    edges, refs = (cut(x) for x in relations(observed, with_ns))
-    aggregates, memberships = aggregates_of(observed, with_ns)
-    topics, topic_edges, computed = topics_of(observed, with_ns)
+    uses = cut(_owned(observed, with_ns))
+    edges, refs = relations(uses, with_ns)
+    aggregates, memberships = (cut(x) for x in aggregates_of(observed, with_ns))
+    topics, topic_edges, computed = topics_of(uses, with_ns)
     out = {
         "files": files_table(files), "symbols": with_ns.drop("ns", "protocol"), "edges": edges.unionByName(topic_edges), "references": refs.unionByName(computed), "topics": topics,
         "effects": effects_of(edges, refs, with_ns), "aggregates": aggregates, "memberships": memberships,
