@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import export, extract, packets, reads, retrieve, traverse
 from .sources.index import VectorIndex, hashed_encoder
+from .sources.manifest import Observations
 from .sources.store import Store
 from .streaming import worker
 
@@ -24,6 +25,7 @@ class Engine:
         self.spark, self.uri = spark, uri.rstrip("/")
         self.store = Store(spark, f"{self.uri}/graph")
         self.index = VectorIndex(spark, f"{self.uri}/index")
+        self.observations = Observations(spark, f"{self.uri}/observations")
         self.encode, self.model, self.revision = encode or hashed_encoder(), model, revision
 
     @property
@@ -34,17 +36,18 @@ class Engine:
     def analyze(self, root: str, include: list[str] | None = None, exclude: list[str] | None = None, check_only: bool = False) -> dict:
         """Reads a project into a new generation and returns its counts; check_only writes nothing.
 
-        Where no file changed since the last generation, that one stays.
+        Where no file changed since the last generation, that one stays; else only changed files are read again, and what
+        was observed in the others is resolved anew with them.
         """
-        tables = extract.analyze(self.spark, root, include, exclude)
+        found = extract.sources(self.spark, root, include, exclude)
         if check_only:
-            return {name: df.count() for name, df in tables.items()}
+            return {name: df.count() for name, df in extract.materialize(found, extract.observed_of(found)).items()}
         if self.store.state() == "ready":
             from .operators.incremental import changed_files
 
-            if changed_files(self.graph.files, tables["files"]).isEmpty():
+            if changed_files(self.graph.files, extract.files_table(found)).isEmpty():
                 return self.graph.manifest["counts"]
-        return self.store.write(tables).manifest["counts"]
+        return self.store.write(extract.materialize(found, extract.observed_of(found, self.observations))).manifest["counts"]
 
     # queries
     def stats(self) -> DataFrame:

@@ -213,11 +213,22 @@ def materialize(files: DataFrame, observed: DataFrame) -> dict[str, DataFrame]:
     return {name: df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]) for name, df in out.items()}
 
 
-def analyze(spark, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> dict[str, DataFrame]:
-    """A project's graph from its source files: discover, decode, observe, materialize."""
+def sources(spark, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """A project's source files to analyse, decoded."""
     from ..sources import files as S
+
+    return S.decoded(S.discover(S.listing(spark, root), include, exclude).where("skipped is null"))
+
+
+def observed_of(found: DataFrame, cache=None) -> DataFrame:
+    """Observations of source files; with a cache (sources.manifest) only of those that it doesn't know."""
     from ..sources.lisp import observe
 
-    found = S.decoded(S.discover(S.listing(spark, root), include, exclude).where("skipped is null"))
-    code = found.where("language <> 'edn'").select("path", "text")
-    return materialize(found, observe(code))
+    code = found.where("language <> 'edn'").select("path", "text", "content_hash")
+    return cache.observed(code, observe) if cache else observe(code)
+
+
+def analyze(spark, root: str, include: list[str] | None = None, exclude: list[str] | None = None, cache=None) -> dict[str, DataFrame]:
+    """A project's graph from its source files: discover, decode, observe, materialize."""
+    found = sources(spark, root, include, exclude)
+    return materialize(found, observed_of(found, cache))
