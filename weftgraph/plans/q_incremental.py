@@ -114,14 +114,14 @@ def cascade(g):
     return reduce(lambda a, b: a.unionByName(b), [df.agg(F.lit(name).alias("entity"), F.count("*").alias("n")) for name, df in left.items()])
 
 
-@query("d_replace_identity")
+@query("d_replace_identity", "select id, 'changed' as change from symbols where file_id in (select id from files where modified_at in (1, 2))")
 def replace(g):
-    """A full replay of some files' own facts changes nothing: no rows."""
+    """Some files' own facts again, but for their symbols' documentation: those symbols change, and no edge or other symbol."""
     g = g.stored()
     tables = g.tables()
     f = g.files.where("modified_at in (1, 2)")
     gone = tables["symbols"].join(f.select(F.col("id").alias("x")), F.col("file_id") == F.col("x"), "left_semi").select(F.col("id").alias("x"))
-    new = {"files": f, "symbols": tables["symbols"].join(gone, F.col("id") == F.col("x"), "left_semi"), "topics": tables["topics"].limit(0)}
+    new = {"files": f, "symbols": tables["symbols"].join(gone, F.col("id") == F.col("x"), "left_semi").withColumn("doc", F.lit("written anew")), "topics": tables["topics"].limit(0)}
     new["edges"] = tables["edges"].join(gone, F.col("from_id") == F.col("x"), "left_semi")
     for name, col in (("references", "symbol_id"), ("effects", "symbol_id"), ("aggregates", "owner_id")):
         new[name] = tables[name].join(gone, F.col(col) == F.col("x"), "left_semi")
