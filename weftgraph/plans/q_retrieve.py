@@ -123,7 +123,7 @@ def plan(g):
     return R.resolve_plan(advice).select("question_id", "shape", "accepted", "answerability")
 
 
-@query("r_select_seeds")
+@query("r_select_seeds", "+ c as (select id, file_id, row_number() over (order by qualified_name, id) as rank from keyed where src='customer' order by rank limit 100), f as (select id, rank, row_number() over (partition by file_id order by rank) n from c) select cast(row_number() over (order by rank) - 1 as integer) place, id from f where n=1 order by rank limit 4")
 def seeds(g):
     from ..operators.reads import rank
 

@@ -22,7 +22,15 @@ def normalized(g):
     return g.symbols.select("name", X.normalized_identifier(F.col("name")).alias("words")).distinct()
 
 
-@query("t_search_text", "select id, (select string_agg(v, chr(10) order by i) from (select v, min(i) i from (select unnest([name, n1, qualified_name, n2, signature, n3, doc, n4]) v, generate_subscripts([name, n1, qualified_name, n2, signature, n3, doc, n4],1) i) where v is not null and trim(v)<>'' group by v)) as search_text from (select id, name, qualified_name, signature, doc, " + ", ".join(NORM.format(c) + f" as n{i}" for i, c in enumerate(("name", "qualified_name", "signature", "doc"), 1)) + " from keyed where src in ('part','nation'))")
+def _search_text(rows: str) -> str:
+    """id and search_text of the symbols in rows."""
+    columns = ("name", "qualified_name", "signature", "doc")
+    spread = "[name, n1, qualified_name, n2, signature, n3, doc, n4]"
+    words = ", ".join(NORM.format(c) + f" as n{i}" for i, c in enumerate(columns, 1))
+    return f"select id, (select string_agg(v, chr(10) order by i) from (select v, min(i) i from (select unnest({spread}) v, generate_subscripts({spread},1) i) where v is not null and trim(v)<>'' group by v)) as search_text from (select id, {', '.join(columns)}, {words} from {rows})"
+
+
+@query("t_search_text", _search_text("keyed where src in ('part','nation')"))
 def search_text(g):
     s = g.parts.unionByName(g.namespaces)
     return s.select("id", X.search_text(F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("doc")).alias("search_text"))
@@ -94,7 +102,7 @@ def symbols_substring(g):
     return retrieve.find_symbols(g, "ustomer#0000")
 
 
-@query("t_symbols_rank")
+@query("t_symbols_rank", "+ texts as (" + _search_text("symbols") + "), " + BM25.format("select id, search_text body from texts", "'promo','steel'") + " select id, qualified_name, 'fts' as matched, round(score, 6) score from scored join symbols using (id) order by scored.score desc, qualified_name, id limit 128")
 def symbols_rank(g):
     return retrieve.find_symbols(g, "promo steel").withColumn("score", F.round("score", 6))
 
